@@ -186,9 +186,10 @@ class RecommendScorer(Scorer):
         it. The join is left to adaptive execution: it broadcasts the lists when
         they turn out small and splits a user who holds a large share of the rows.
         """
-        users = rows.select("user").distinct()
-        lists = self.model.recommendForUserSubset(users.withColumnRenamed("user", self.model.userCol), self.num_items)
-        lists = lists.select(F.col(self.model.userCol).alias("user"), "recommendations")
+        user_column = self.model.getUserCol()
+        users = rows.select(F.col("user").alias(user_column)).distinct()
+        lists = self.model.recommendForUserSubset(users, self.num_items)
+        lists = lists.select(F.col(user_column).alias("user"), "recommendations")
         return rows.join(lists, "user", "left")
 
     def predict(self, rows: DataFrame) -> DataFrame:
@@ -231,18 +232,21 @@ class PandasScorer(Scorer):
         self._state = None
 
     @abstractmethod
-    def load_state(self, path: str) -> Any:
-        """The model at ``path`` as a picklable object."""
+    def load_state(self, path: str, spark: SparkSession | None = None) -> Any:
+        """The model at ``path`` as a picklable object; tasks call it without ``spark``."""
 
     @abstractmethod
     def predict_batch(self, state: Any, batch: pd.DataFrame) -> pd.DataFrame:
-        """One batch of parsed rows -> the columns of ``result_schema``, row for row."""
+        """One batch of parsed rows -> the columns of ``result_schema``, row for row.
+
+        A further column ``error`` may say, for each row, why it has no result.
+        """
 
     def load_model(self, spark: SparkSession, path: str) -> None:
         self._path = path
         if self.load_in_task:
             return
-        state = self.load_state(path)
+        state = self.load_state(path, spark)
         size = len(pickle.dumps(state))
         if size > MAX_BROADCAST_BYTES:
             raise ValueError(f"model state of {size} bytes is too large to broadcast: set load_in_task")
@@ -254,47 +258,59 @@ class PandasScorer(Scorer):
     def _state_in_task(self) -> Any:
         return self.load_state(self._path) if self.load_in_task else self._state.value
 
+    def _run(self, state: Any, batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.reset_index(drop=True)
+        out = self.predict_batch(state, batch).reset_index(drop=True)
+        if len(out) != len(batch):
+            raise ValueError(f"{len(out)} predictions for {len(batch)} rows")
+        return out
+
     def predict(self, rows: DataFrame) -> DataFrame:
-        """All input columns beside the predicted ones."""
+        """All input columns beside the predicted ones; an error in a row is raised."""
         result = T.StructType.fromDDL(self.result_schema)
         schema = T.StructType([*rows.schema.fields, *result.fields])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             state = self._state_in_task()
             for batch in batches:
-                out = self.predict_batch(state, batch).reset_index(drop=True)
+                out = self._run(state, batch)
+                if "error" in out and out["error"].notna().any():
+                    raise ValueError(out["error"].dropna().iloc[0])
                 yield pd.concat([batch.reset_index(drop=True), out[result.names]], axis=1)
 
         return rows.mapInPandas(run, schema)
 
     def respond(self, requests: DataFrame) -> DataFrame:
-        """Batches are predicted whole; one that fails is retried row by row, so
-        each failing request gets its own error and the others their answer."""
+        """Whatever is raised for a request answers that request.
+
+        Batches are predicted whole. One that raises is halved until the request
+        at fault stands alone, so the others keep their answer.
+        """
         parsed, names = parse_requests(requests, self.request_schema)
         result = T.StructType.fromDDL(self.result_schema)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             state = self._state_in_task()
 
-            def texts(rows: pd.DataFrame) -> list[str]:
-                out = self.predict_batch(state, rows.reset_index(drop=True))[result.names]
-                if len(out) != len(rows):
-                    raise ValueError(f"{len(out)} predictions for {len(rows)} rows")
-                return [json.dumps(r, default=str) for r in out.astype(object).to_dict("records")]
+            def answers(rows: pd.DataFrame) -> list[str]:
+                try:
+                    out = self._run(state, rows)
+                    texts = [json.dumps(r, default=str) for r in out[result.names].astype(object).to_dict("records")]
+                    if "error" in out:
+                        texts = [t if pd.isna(e) else ERROR_PREFIX + e for t, e in zip(texts, out["error"], strict=True)]
+                    return texts
+                except Exception as err:
+                    if len(rows) == 1:
+                        return [f"{ERROR_PREFIX}{err}"]
+                    half = len(rows) // 2
+                    return answers(rows.iloc[:half]) + answers(rows.iloc[half:])
 
             for batch in batches:
-                answers = pd.Series(ERROR_PREFIX + "malformed request", index=batch.index, dtype=object)
+                texts = pd.Series(ERROR_PREFIX + "malformed request", index=batch.index, dtype=object)
                 good = batch.loc[~batch[CORRUPT], names]
                 if len(good):
-                    try:
-                        answers.loc[good.index] = texts(good)
-                    except Exception:
-                        for i in good.index:
-                            try:
-                                answers.loc[i] = texts(good.loc[[i]])[0]
-                            except Exception as err:
-                                answers.loc[i] = f"{ERROR_PREFIX}{err}"
-                yield pd.DataFrame({"request_id": batch["request_id"], "result": answers})
+                    texts.loc[good.index] = answers(good)
+                yield pd.DataFrame({"request_id": batch["request_id"], "result": texts})
 
         return parsed.mapInPandas(run, RESPONSE_SCHEMA)
 
