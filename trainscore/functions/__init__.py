@@ -8,16 +8,16 @@ from .metrics import (
     confusion,
     regression_metrics,
 )
-from .parse import apply_data_spec, feature_array, parse_records
+from .parse import FeatureColumns, apply_data_spec, parse_records
 
 __all__ = [
+    "FeatureColumns",
     "apply_data_spec",
     "area_under_roc",
     "classification_by_class",
     "classification_metrics",
     "clustering_metrics",
     "confusion",
-    "feature_array",
     "parse_records",
     "regression_metrics",
 ]

@@ -70,67 +70,75 @@ def _literal_regex(delimiter: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() and not ch.isspace() else ch for ch in delimiter)
 
 
-def feature_array(df: DataFrame, features: tuple[str, ...]) -> Column:
-    """The feature expressions as one ``array<double>``, null if any part is null.
+class FeatureColumns:
+    """Feature expressions, each a number, an array of numbers or an ML vector.
 
-    An expression may be a number, an array of numbers or an ML vector. Runs of
-    scalars become one array, so wide inputs stay one JVM expression.
+    ``parts`` are the typed columns to select under their names; ``values`` joins
+    them to one ``array<double>`` and ``complete`` says that none of it is null.
+    Scalars are tested one by one, which stays inside generated code.
     """
-    types = df.select(*[F.expr(e).alias(f"f{i}") for i, e in enumerate(features)]).schema.fields
-    parts: list[Column] = []
-    scalars: list[Column] = []
 
-    def close_run() -> None:
-        if scalars:
-            parts.append(F.array(*scalars))
-            scalars.clear()
-
-    for expression, fld in zip(features, types, strict=True):
-        col = F.expr(expression)
-        if isinstance(fld.dataType, VectorUDT):
-            close_run()
-            parts.append(vector_to_array(col))
-        elif isinstance(fld.dataType, T.ArrayType):
-            close_run()
-            parts.append(col.try_cast("array<double>"))
-        else:
-            scalars.append(col.try_cast("double"))
-    close_run()
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
-
-
-def _no_nulls(values: Column) -> Column:
-    return values.isNotNull() & ~F.coalesce(F.exists(values, lambda v: v.isNull()), F.lit(False))
+    def __init__(self, df: DataFrame, features: tuple[str, ...]) -> None:
+        names = [f"__f{i}" for i in range(len(features))]
+        types = df.select(*[F.expr(e).alias(n) for e, n in zip(features, names, strict=True)]).schema.fields
+        self.parts: list[Column] = []
+        groups: list[list[str]] = []
+        tests: list[Column] = []
+        for expression, fld in zip(features, types, strict=True):
+            column, name = F.expr(expression), fld.name
+            tests.append(F.col(name).isNotNull())
+            if isinstance(fld.dataType, (VectorUDT, T.ArrayType)):
+                is_vector = isinstance(fld.dataType, VectorUDT)
+                values = vector_to_array(column) if is_vector else column.try_cast("array<double>")
+                if not is_vector and fld.dataType.containsNull:
+                    tests.append(~F.exists(name, lambda v: v.isNull()))
+                groups.append([])
+            else:
+                values = column.try_cast("double")
+                if not groups or not groups[-1]:
+                    groups.append([])
+                groups[-1].append(name)
+            self.parts.append(values.alias(name))
+            if isinstance(fld.dataType, (VectorUDT, T.ArrayType)):
+                groups[-1] = name
+        arrays = [F.col(g) if isinstance(g, str) else F.array(*g) for g in groups]
+        self.values = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
+        self.complete = F.coalesce(_all_of(tests), F.lit(False))
+        self.size = len(features) if all(not isinstance(g, str) for g in groups) else None
 
 
 def _all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def _check_rows(df: DataFrame, valid: Column, on_invalid: str, what: str, guard: str) -> DataFrame:
-    """Drop invalid rows (``skip``) or fail on the first one (``error``).
+def _check_rows(df: DataFrame, on_invalid: str, what: str, guard: str) -> DataFrame:
+    """Drop rows that are not ``__valid`` (``skip``) or fail on the first one (``error``).
 
     The failing branch sits in the projection of ``guard``, a column every model
     reads, so pruning cannot remove the check.
     """
     if on_invalid == "skip":
-        return df.where(valid)
-    checked = F.when(valid, F.col(guard)).otherwise(F.raise_error(F.lit(what)).cast(df.schema[guard].dataType))
-    return df.withColumn(guard, checked)
+        return df.where("__valid").drop("__valid")
+    fail = F.raise_error(F.lit(what)).cast(df.schema[guard].dataType)
+    return df.withColumn(guard, F.when(F.col("__valid"), F.col(guard)).otherwise(fail)).drop("__valid")
 
 
 def _labeled(df: DataFrame, data: DataSpec, with_label: bool) -> DataFrame:
-    columns = [feature_array(df, data.features).alias("__features")]
-    if with_label and data.label:
-        columns.append(F.expr(data.label).try_cast("double").alias("label"))
-    picked = df.select(*[_quoted(c) for c in data.keep if c not in ("label", "features")], *columns)
-
-    valid = [_no_nulls(F.col("__features"))]
-    if "label" in picked.columns:
-        valid.append(F.col("label").isNotNull())
-    checked = _check_rows(picked, _all_of(valid), data.onInvalid, "null or non-numeric feature or label", "__features")
-    out = [_quoted(c) for c in picked.columns if c != "__features"]
-    return checked.select(*out, array_to_vector("__features").alias("features"))
+    features = FeatureColumns(df, data.features)
+    with_label = with_label and data.label is not None
+    keep = [_quoted(c) for c in data.keep if c != "features" and not (with_label and c == "label")]
+    label = [F.expr(data.label).try_cast("double").alias("label")] if with_label else []
+    picked = df.select(*keep, *label, *features.parts)
+
+    valid = features.complete
+    if with_label:
+        valid = valid & F.col("label").isNotNull()
+    others = [*keep, *(["label"] if with_label else [])]
+    rows = picked.select(*others, features.values.alias("__features"), valid.alias("__valid"))
+    rows = _check_rows(rows, data.onInvalid, "null or non-numeric feature or label", "__features")
+    # The known vector size spares estimators a job that looks for it.
+    metadata = {"ml_attr": {"num_attrs": features.size}} if features.size else None
+    return rows.select(*others, array_to_vector("__features").alias("features", metadata=metadata))
 
 
 def _ratings(df: DataFrame, data: DataSpec, with_label: bool) -> DataFrame:
@@ -147,8 +155,11 @@ def _ratings(df: DataFrame, data: DataSpec, with_label: bool) -> DataFrame:
         raise ValueError("ratings cannot be both aggregated and kept beside other columns")
     picked = df.select(*keep, *columns)
 
-    valid = _all_of([F.col(c).isNotNull() for c in ("user", "item", "rating") if c in picked.columns])
-    checked = _check_rows(picked, valid, data.onInvalid, "null or non-integer user, item or rating", "user")
+    inputs = ["user", "item", *(["rating"] if with_rating else [])]
+    valid = _all_of([F.col(c).isNotNull() for c in inputs]).alias("__valid")
+    checked = _check_rows(
+        picked.select("*", valid), data.onInvalid, "null or non-integer user, item or rating", "user"
+    )
     if aggregate:
         # Summed map-side first: a very active user shuffles at most one row per
         # item and task, however many raw rows there are.

@@ -15,7 +15,7 @@ from ..storage import ensure_checkpoint_dir
 
 ML_MODULES = (classification, regression, clustering, recommendation)
 
-MIN_ALS_BLOCKS, MAX_ALS_BLOCKS = 10, 2000
+MAX_ALS_BLOCKS = 2000
 
 
 def find_estimator(name: str) -> type[Estimator] | None:
@@ -47,7 +47,7 @@ def _typed(estimator: Estimator, name: str, value: Any) -> Any:
 
 def als_blocks(spark: SparkSession) -> int:
     """Factor blocks that follow the cluster instead of the fixed default of 10."""
-    return max(MIN_ALS_BLOCKS, min(spark.sparkContext.defaultParallelism, MAX_ALS_BLOCKS))
+    return max(1, min(spark.sparkContext.defaultParallelism, MAX_ALS_BLOCKS))
 
 
 class MLAlgorithm(Algorithm):

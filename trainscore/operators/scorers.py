@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.parse import apply_data_spec, feature_array
+from ..functions.parse import FeatureColumns, apply_data_spec
 from ..plugins import ERROR_PREFIX, RESPONSE_SCHEMA, Parameter, Scorer, register_scorer
 from ..spec import DataSpec, _check_keys
+from .topn import top_items
 
 # The packages a saved model's class may come from.
 MODEL_PACKAGES = tuple(
@@ -119,19 +120,18 @@ class MLScorer(Scorer):
         parsed, _ = parse_requests(requests, self.request.schema)
         if self.request.columns:
             parsed = parsed.withColumns({n: F.expr(sql) for n, sql in self.request.columns.items()})
-        values = feature_array(parsed, self.request.features)
-        rows = parsed.select("request_id", CORRUPT, values.alias("__values"))
+        features = FeatureColumns(parsed, self.request.features)
+        parsed = parsed.select("request_id", CORRUPT, *features.parts)
+        rows = parsed.select("request_id", CORRUPT, features.complete.alias("__complete"), features.values.alias("__values"))
 
         size = feature_count(self.model)
-        has_null = F.col("__values").isNull() | F.exists("__values", lambda v: v.isNull())
         reason = F.when(F.col(CORRUPT), _failure("malformed request")).when(
-            has_null, _failure("missing or non-numeric feature")
+            ~F.col("__complete"), _failure("missing or non-numeric feature")
         )
-        if size is not None:
-            wrong_size = F.size("__values") != size
+        if size is not None and size != features.size:
+            got = F.size("__values").cast("string")
             reason = reason.when(
-                wrong_size,
-                _failure(F.concat(F.lit(f"expected {size} features, got "), F.size("__values").cast("string"))),
+                F.size("__values") != size, _failure(F.concat(F.lit(f"expected {size} features, got "), got))
             )
         if self.model.hasParam("modelType") and self.model.getOrDefault("modelType") == "bernoulli":
             beyond = F.exists("__values", lambda v: ~v.isin(0.0, 1.0))
@@ -175,25 +175,26 @@ class RecommendScorer(Scorer):
         if not isinstance(model, ALSModel):
             raise ValueError(f"{type(model).__name__} does not recommend items")
         self.model = model
+        self.n_users, self.n_items = model.userFactors.count(), model.itemFactors.count()
 
     def parse(self, raw: DataFrame, data: Parameter, source_type: str) -> DataFrame:
         return apply_data_spec(raw, DataSpec.parse(data.values), source_type, with_label=False)
 
-    def recommend(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with ``recommendations array<struct<item, rating>>`` added.
+    def recommend(self, rows: DataFrame, n_users: int) -> DataFrame:
+        """``rows``, at most ``n_users`` users among them, with ``recommendations array<struct<item, rating>>`` added.
 
         Each distinct user is scored once, then joined back to all rows asking for
         it. The join is left to adaptive execution: it broadcasts the lists when
         they turn out small and splits a user who holds a large share of the rows.
         """
-        user_column = self.model.getUserCol()
-        users = rows.select(F.col("user").alias(user_column)).distinct()
-        lists = self.model.recommendForUserSubset(users, self.num_items)
-        lists = lists.select(F.col(user_column).alias("user"), "recommendations")
+        factors = self.model.userFactors
+        users = rows.select("user").distinct().join(factors, F.col("user") == F.col("id")).select("id", "features")
+        lists = top_items(users, self.model.itemFactors, self.num_items, n_users, self.n_items)
         return rows.join(lists, "user", "left")
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        return self.recommend(rows)
+        """A table may name every user of the model, so blocks are made for all."""
+        return self.recommend(rows, self.n_users)
 
     def respond(self, requests: DataFrame) -> DataFrame:
         parsed, _ = parse_requests(requests, "user int")
@@ -202,7 +203,9 @@ class RecommendScorer(Scorer):
         # meet under one null join key.
         reason = F.when(F.col(CORRUPT), _failure("malformed request")).otherwise(_failure("missing user"))
         refused = parsed.where(bad).select("request_id", reason.alias("result"))
-        asked = self.recommend(parsed.where(~bad).select("request_id", "user"))
+        asked = parsed.where(~bad).select("request_id", "user")
+        n_users = min(asked.select("user").distinct().count(), self.n_users)
+        asked = self.recommend(asked, n_users)
         unknown = _failure(F.concat(F.lit("unknown user "), F.col("user").cast("string")))
         found = F.to_json(F.struct("user", "recommendations"))
         answered = asked.select(

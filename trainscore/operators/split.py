@@ -12,6 +12,7 @@ then reads only its own files.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -41,12 +42,16 @@ def _train_share(weights: Sequence[float]) -> float:
 def side_of_key(keys: Sequence[str], weights: Sequence[float], seed: int = 0) -> Column:
     """``'train'`` or ``'verify'``, from the first 32 bits of the key's md5.
 
+    A row trains if those bits are below ``share * 2^32``; hex digits of equal
+    width sort like the numbers they stand for, so they are compared as text.
     Seed 0 hashes the key alone; any other seed is prepended to it.
     """
+    limit = math.ceil(_train_share(weights) * 2**32)
     parts = [F.col(k).cast("string") for k in keys]
     text = F.concat_ws("|", *([F.lit(str(seed))] if seed else []), *parts)
-    bits = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double")
-    return F.when(bits < F.lit(_train_share(weights) * 2.0**32), TRAIN).otherwise(VERIFY)
+    if limit >= 2**32:
+        return F.lit(TRAIN)
+    return F.when(F.substring(F.md5(text), 1, 8) < f"{limit:08x}", TRAIN).otherwise(VERIFY)
 
 
 def keyed_split(df: DataFrame, keys: Sequence[str], weights: Sequence[float], seed: int = 0) -> Split:
