@@ -82,29 +82,30 @@ class FeatureColumns:
         names = [f"__f{i}" for i in range(len(features))]
         types = df.select(*[F.expr(e).alias(n) for e, n in zip(features, names, strict=True)]).schema.fields
         self.parts: list[Column] = []
-        groups: list[list[str]] = []
         tests: list[Column] = []
+        arrays: list[Column] = []
+        scalars: list[str] = []
         for expression, fld in zip(features, types, strict=True):
-            column, name = F.expr(expression), fld.name
+            column, name, kind = F.expr(expression), fld.name, fld.dataType
             tests.append(F.col(name).isNotNull())
-            if isinstance(fld.dataType, (VectorUDT, T.ArrayType)):
-                is_vector = isinstance(fld.dataType, VectorUDT)
-                values = vector_to_array(column) if is_vector else column.try_cast("array<double>")
-                if not is_vector and fld.dataType.containsNull:
-                    tests.append(~F.exists(name, lambda v: v.isNull()))
-                groups.append([])
+            if not isinstance(kind, (VectorUDT, T.ArrayType)):
+                self.parts.append(column.try_cast("double").alias(name))
+                scalars.append(name)
+                continue
+            if scalars:
+                arrays.append(F.array(*scalars))
+                scalars = []
+            arrays.append(F.col(name))
+            if isinstance(kind, VectorUDT):
+                self.parts.append(vector_to_array(column).alias(name))
             else:
-                values = column.try_cast("double")
-                if not groups or not groups[-1]:
-                    groups.append([])
-                groups[-1].append(name)
-            self.parts.append(values.alias(name))
-            if isinstance(fld.dataType, (VectorUDT, T.ArrayType)):
-                groups[-1] = name
-        arrays = [F.col(g) if isinstance(g, str) else F.array(*g) for g in groups]
+                self.parts.append(column.try_cast("array<double>").alias(name))
+                tests.append(~F.exists(name, lambda v: v.isNull()))
+        if scalars:
+            arrays.append(F.array(*scalars))
         self.values = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
+        self.size = len(features) if len(scalars) == len(features) else None
         self.complete = F.coalesce(_all_of(tests), F.lit(False))
-        self.size = len(features) if all(not isinstance(g, str) for g in groups) else None
 
 
 def _all_of(conditions: list[Column]) -> Column:

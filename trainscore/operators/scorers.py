@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ..functions.parse import FeatureColumns, apply_data_spec
 from ..plugins import ERROR_PREFIX, RESPONSE_SCHEMA, Parameter, Scorer, register_scorer
 from ..spec import DataSpec, _check_keys
+from ..storage import ship_package
 from .topn import top_items
 
 # The packages a saved model's class may come from.
@@ -174,6 +175,7 @@ class RecommendScorer(Scorer):
         model = load_ml_model(spark, path)
         if not isinstance(model, ALSModel):
             raise ValueError(f"{type(model).__name__} does not recommend items")
+        ship_package(spark)
         self.model = model
         self.n_users, self.n_items = model.userFactors.count(), model.itemFactors.count()
 
@@ -246,6 +248,7 @@ class PandasScorer(Scorer):
         """
 
     def load_model(self, spark: SparkSession, path: str) -> None:
+        ship_package(spark)
         self._path = path
         if self.load_in_task:
             return

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..spec import check_weights
 from ..storage import delete_path, fresh_path
@@ -74,7 +75,7 @@ def random_split(df: DataFrame, weights: Sequence[float], seed: int = 0) -> Spli
     path = fresh_path(spark, "split")
     side = F.when(F.rand(seed) < share, TRAIN).otherwise(VERIFY)
     df.withColumn(SIDE, side).write.partitionBy(SIDE).parquet(path)
-    schema = df.schema.add(SIDE, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(SIDE, T.StringType())])
     table = spark.read.schema(schema).parquet(path)
     return Split(
         table.where(F.col(SIDE) == TRAIN).drop(SIDE),

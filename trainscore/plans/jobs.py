@@ -4,21 +4,19 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass
-from pathlib import Path
 from typing import Any
 
-from pyspark import SparkContext, StorageLevel
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.sinks import save_indicator, save_model, save_predictions
 from ..operators.split import Split, drop_sides, keyed_split, random_split
 from ..plugins import Algorithm, Scorer, read_parameter, resolve_algorithm, resolve_scorer
 from ..spec import BatchSpec, TrainSpec
+from ..storage import ship_package
 
 log = logging.getLogger(__name__)
 
-PACKAGE = Path(__file__).resolve().parent.parent
-
 
 @dataclass(frozen=True)
 class TrainResult:
@@ -27,20 +25,10 @@ class TrainResult:
 
 
 def add_plugin_code(spark: SparkSession, path: str | None) -> None:
-    """Ship plugin code (a .py, .zip or .egg) to driver and executors.
-
-    On a cluster this package itself comes with ``--py-files`` or is installed; in
-    local mode the Python workers are told where it lies.
-    """
-    sc = spark.sparkContext
-    if sc.master.startswith("local") and str(PACKAGE) not in _added(sc):
-        sc.addFile(str(PACKAGE), recursive=True)
+    """Ship plugin code (a .py, .zip or .egg) to driver and executors."""
     if path:
-        sc.addPyFile(path)
-
-
-def _added(sc: SparkContext) -> list[str]:
-    return [f.removeprefix("file:").rstrip("/") for f in sc.listFiles]
+        ship_package(spark)
+        spark.sparkContext.addPyFile(path)
 
 
 def _split(rows: DataFrame, spec: TrainSpec) -> Split:

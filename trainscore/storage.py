@@ -8,12 +8,17 @@ machine is used only in local mode, where driver and executors are one process.
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+PACKAGE = Path(__file__).resolve().parent
+
 _local_root: str | None = None
 
 
@@ -60,3 +65,26 @@ def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder that ``fresh_path`` named."""
     fs, target = _hadoop_path(spark, path)
     fs.delete(target, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application.
+
+    The code goes to the shared folder as a zip and from there to each executor.
+    """
+    sc = spark.sparkContext
+    archive = f"{PACKAGE.name}.zip"
+    if any(path.endswith(f"/{archive}") for path in sc.listFiles):
+        return
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as code:
+        for file in sorted(PACKAGE.rglob("*.py")):
+            code.write(file, file.relative_to(PACKAGE.parent))
+    path = f"{fresh_path(spark, 'code')}/{archive}"
+    fs, target = _hadoop_path(spark, path)
+    stream = fs.create(target)
+    try:
+        stream.write(bytearray(buffer.getvalue()))
+    finally:
+        stream.close()
+    sc.addPyFile(path)

@@ -94,5 +94,7 @@ def als_job(sf_dir: str, **more: Any) -> dict[str, Any]:
         "sourceParameter": {"source": sf_dir, "type": "parquet"},
         "dataParameter": RATINGS,
         "algoParameter": {"rank": 8, "maxIter": 5, "regParam": 0.1, "seed": 7},
+        # Two shuffles stand behind the ratings: keep them between fit and verify.
+        "persist": True,
         **more,
     }
