@@ -133,6 +133,8 @@ def test_missing_column_fails_at_analysis(spark, line):
         ("LogisticRegression", {}, "accuracy"),
         ("RandomForestClassifier", {"numTrees": 3, "seed": 1}, "accuracy"),
         ("LinearSVC", {"maxIter": 5}, "accuracy"),
+        ("OneVsRest", {"classifier": {"algoClass": "LinearSVC", "algoParameter": {"maxIter": 5}}}, "accuracy"),
+        ("MultilayerPerceptronClassifier", {"layers": [1, 2], "seed": 1}, "accuracy"),
         ("KMeans", {"k": 2, "seed": 1}, "silhouette"),
         ("BisectingKMeans", {"k": 2, "seed": 1}, "silhouette"),
         ("GaussianMixture", {"k": 2, "seed": 1}, "silhouette"),
@@ -159,6 +161,19 @@ def test_any_estimator_trains_saves_and_scores(spark, line, tmp_path, name, para
     assert scored.columns == ["id", "prediction"] and scored.count() == 200
 
 
+def test_topic_model(spark, line, tmp_path):
+    model = f"{tmp_path}/m"
+    data = {"features": ["x", "1"]}
+    job = train_job(
+        line, algoClass="LDA", algoParameter={"k": 2, "maxIter": 2, "seed": 1}, dataParameter=data, modelSavePath=model
+    )
+    assert run_train(spark, job).metrics.columns == ["n", "log_likelihood", "log_perplexity"]
+    scorer = MLScorer({"schema": "data array<double>", "features": "data", "outputs": ["topicDistribution"]})
+    scorer.load_model(spark, model)
+    assert sum(json.loads(scorer.answer(spark, '{"data":[1,2]}'))["topicDistribution"]) == pytest.approx(1.0)
+    assert scorer.answer(spark, '{"data":[1]}') == "Exception:expected 2 features, got 1"
+
+
 class TextAlgorithm(Algorithm):
     """Everything a plugin may do itself: loader, model with save, textual indicator."""
 
@@ -470,6 +485,33 @@ def test_recommendation_stream_replays_without_new_rows(spark, als, tmp_path):
         start_stream(spark, {**job, "checkpointPath": f"{tmp_path}/new"})
 
 
+def test_hot_user_is_split_in_the_join(spark, als, tmp_path):
+    """A user holding most rows of a table: adaptive execution cuts that partition."""
+    spark.range(200_000).selectExpr(
+        "id", "cast(if(id % 10 < 9, 1, id % 30) as int) as user", "repeat(md5(cast(id as string)), 4) as text"
+    ).write.parquet(f"{tmp_path}/t")
+    scorer = RecommendScorer({"numItems": 2})
+    scorer.load_model(spark, als)
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1MB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1MB",
+    }
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = scorer.predict(spark.read.parquet(f"{tmp_path}/t"))
+        rows = out.groupBy("user").agg(F.count("recommendations").alias("n"))
+        out.write.format("noop").mode("overwrite").save()
+        assert sum(r.n for r in rows.collect()) == 200_000
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_recommender_needs_an_als_model(spark, model_path):
     with pytest.raises(ValueError, match="does not recommend"):
         RecommendScorer().load_model(spark, model_path)

@@ -26,6 +26,7 @@ from trainscore.operators import (
     save_predictions,
     topn,
 )
+from trainscore import storage
 from trainscore.storage import delete_path, fresh_path, path_exists
 
 
@@ -161,6 +162,23 @@ def test_storage(spark):
     assert not path_exists(spark, path)
 
 
+def test_shuffles_follow_the_size_of_the_source(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/t"
+    spark.range(10_000).write.parquet(path)
+    size = storage.stored_bytes(spark, [path])
+    assert size > 10_000 and storage.stored_bytes(spark, [f"{path}/*.parquet", f"{tmp_path}/none"]) <= size
+    read = lambda: spark.conf.get(storage.INITIAL_PARTITIONS, None)
+    with storage.sized_shuffles(spark, [path]):
+        assert read() is None  # small data: the usual number is enough
+    monkeypatch.setattr(storage, "STORED_BYTES_PER_PARTITION", 1000)
+    with storage.sized_shuffles(spark, [path]):
+        assert int(read()) == math.ceil(size / 1000)
+        with storage.sized_shuffles(spark, [f"{tmp_path}/none"]):
+            assert int(read()) == math.ceil(size / 1000)
+        assert spark.range(100).groupBy("id").count().count() == 100
+    assert read() is None
+
+
 # -- top-N -------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from .metrics import (
     clustering_metrics,
     confusion,
     regression_metrics,
+    topic_metrics,
 )
 from .parse import FeatureColumns, apply_data_spec, parse_records
 
@@ -20,4 +21,5 @@ __all__ = [
     "confusion",
     "parse_records",
     "regression_metrics",
+    "topic_metrics",
 ]

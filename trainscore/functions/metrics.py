@@ -6,6 +6,7 @@ depends on the number of classes (or distinct scores), not on the number of rows
 
 from __future__ import annotations
 
+from pyspark.ml.clustering import LDAModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,3 +98,9 @@ def clustering_metrics(df: DataFrame, features: str = "features", prediction: st
     return df.sparkSession.createDataFrame(
         [(int(n), int(clusters), silhouette)], "n bigint, n_clusters bigint, silhouette double"
     )
+
+
+def topic_metrics(df: DataFrame, model: LDAModel) -> DataFrame:
+    """One row ``n, log_likelihood, log_perplexity`` of a topic model."""
+    row = (df.count(), float(model.logLikelihood(df)), float(model.logPerplexity(df)))
+    return df.sparkSession.createDataFrame([row], "n bigint, log_likelihood double, log_perplexity double")

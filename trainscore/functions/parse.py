@@ -97,7 +97,7 @@ class FeatureColumns:
                 scalars = []
             arrays.append(F.col(name))
             if isinstance(kind, VectorUDT):
-                self.parts.append(vector_to_array(column).alias(name))
+                self.parts.append(F.when(column.isNotNull(), vector_to_array(column)).alias(name))
             else:
                 self.parts.append(column.try_cast("array<double>").alias(name))
                 tests.append(~F.exists(name, lambda v: v.isNull()))

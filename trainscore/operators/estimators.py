@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.ml import Estimator, Model, classification, clustering, recommendation, regression
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.metrics import classification_metrics, clustering_metrics, regression_metrics
+from ..functions.metrics import classification_metrics, clustering_metrics, regression_metrics, topic_metrics
 from ..functions.parse import apply_data_spec
 from ..plugins import Algorithm, Parameter
 from ..spec import DataSpec
@@ -30,7 +30,11 @@ def find_estimator(name: str) -> type[Estimator] | None:
 
 
 def configure(estimator_class: type[Estimator], params: dict[str, Any]) -> Estimator:
-    """An estimator with ``params`` set; an unknown name lists the valid ones."""
+    """An estimator with ``params`` set; an unknown name lists the valid ones.
+
+    A value ``{"algoClass": ..., "algoParameter": {...}}`` is itself an estimator,
+    as ``OneVsRest`` wants for its classifier.
+    """
     estimator = estimator_class()
     unknown = sorted(k for k in params if not estimator.hasParam(k))
     if unknown:
@@ -42,6 +46,11 @@ def configure(estimator_class: type[Estimator], params: dict[str, Any]) -> Estim
 
 
 def _typed(estimator: Estimator, name: str, value: Any) -> Any:
+    if isinstance(value, dict) and "algoClass" in value:
+        inner = find_estimator(value["algoClass"])
+        if inner is None:
+            raise ValueError(f"Unknown algorithm: {value['algoClass']}")
+        return configure(inner, value.get("algoParameter") or {})
     return estimator.getParam(name).typeConverter(value)
 
 
@@ -58,9 +67,6 @@ class MLAlgorithm(Algorithm):
         self.name = estimator_class.__name__
         self.kind = estimator_class.__module__.rpartition(".")[2]
 
-    def check_params(self, params: Parameter) -> None:
-        configure(self.estimator_class, params.values)
-
     def parse(self, raw: DataFrame, data: Parameter, source_type: str) -> DataFrame:
         return apply_data_spec(raw, DataSpec.parse(data.values), source_type)
 
@@ -76,6 +82,8 @@ class MLAlgorithm(Algorithm):
         return estimator.fit(rows)
 
     def verify(self, rows: DataFrame, model: Any) -> DataFrame:
+        if isinstance(model, clustering.LDAModel):
+            return topic_metrics(rows, model)
         scored = model.transform(rows)
         if self.kind == "classification":
             return classification_metrics(scored)

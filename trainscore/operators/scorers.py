@@ -10,6 +10,8 @@ from typing import Any
 
 import pandas as pd
 from pyspark.ml import Model
+from pyspark.ml.classification import OneVsRestModel
+from pyspark.ml.clustering import LDAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.recommendation import ALSModel
@@ -49,11 +51,9 @@ def load_ml_model(spark: SparkSession, path: str) -> Model:
 
 def feature_count(model: Model) -> int | None:
     """How many features the model expects, where it says so."""
-    count = getattr(model, "numFeatures", None)
-    if callable(count):
-        count = count()
-    if count is None and hasattr(model, "clusterCenters"):
-        count = len(model.clusterCenters()[0])
+    if isinstance(model, OneVsRestModel):
+        return feature_count(model.models[0])
+    count = model.vocabSize() if isinstance(model, LDAModel) else getattr(model, "numFeatures", None)
     return int(count) if count is not None and int(count) >= 0 else None
 
 
@@ -142,7 +142,8 @@ class MLScorer(Scorer):
         zeros = F.array_repeat(F.lit(0.0), size if size is not None else 1)
         safe = F.when(F.col("__reason").isNull(), F.col("__values")).otherwise(zeros)
         scored = self.model.transform(rows.select("request_id", "__reason", array_to_vector(safe).alias("features")))
-        fields = [F.col("prediction"), *[vector_to_array(o).alias(o) for o in self.outputs]]
+        fields = [F.col(c) for c in scored.columns if c == "prediction"]
+        fields += [vector_to_array(o).alias(o) for o in self.outputs]
         return scored.select(
             "request_id", F.coalesce("__reason", F.to_json(F.struct(*fields))).alias("result")
         )

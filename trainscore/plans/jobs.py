@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.sinks import save_indicator, save_model, save_predictions
 from ..operators.split import Split, drop_sides, keyed_split, random_split
-from ..plugins import Algorithm, Scorer, read_parameter, resolve_algorithm, resolve_scorer
+from ..plugins import Algorithm, Parameter, Scorer, read_parameter, resolve_algorithm, resolve_scorer
 from ..spec import BatchSpec, TrainSpec
-from ..storage import ship_package
+from ..storage import ship_package, sized_shuffles
 
 log = logging.getLogger(__name__)
 
@@ -45,6 +45,26 @@ def _small_copy(spark: SparkSession, indicator: DataFrame | str) -> DataFrame:
     return spark.createDataFrame([] if row is None else [row], indicator.schema)
 
 
+def _fit_and_verify(
+    spark: SparkSession, spec: TrainSpec, algorithm: Algorithm, data: Parameter, params: Parameter
+) -> tuple[Any, DataFrame]:
+    raw = algorithm.load(spark, spec.sourceParameter)
+    rows = algorithm.parse(raw, data, spec.sourceParameter.type)
+    if spec.persist:
+        rows.persist(StorageLevel.MEMORY_AND_DISK)
+    split: Split | None = None
+    try:
+        split = _split(rows, spec)
+        log.info("%s: training, weights %s", spec.app_name, spec.dataWeight)
+        model = algorithm.train(split.train, params)
+        return model, _small_copy(spark, algorithm.verify(split.verify, model))
+    finally:
+        if split is not None:
+            drop_sides(split)
+        if spec.persist:
+            rows.unpersist()
+
+
 def run_train(
     spark: SparkSession, setting: TrainSpec | dict[str, Any] | str, algorithm: Algorithm | None = None
 ) -> TrainResult:
@@ -61,21 +81,8 @@ def run_train(
     data = read_parameter(spec.dataParameter, spec.dataParameterClass)
     params = read_parameter(spec.algoParameter, spec.algoParameterClass)
 
-    raw = algorithm.load(spark, spec.sourceParameter)
-    rows = algorithm.parse(raw, data, spec.sourceParameter.type)
-    if spec.persist:
-        rows.persist(StorageLevel.MEMORY_AND_DISK)
-    split: Split | None = None
-    try:
-        split = _split(rows, spec)
-        log.info("%s: training, weights %s", spec.app_name, spec.dataWeight)
-        model = algorithm.train(split.train, params)
-        metrics = _small_copy(spark, algorithm.verify(split.verify, model))
-    finally:
-        if split is not None:
-            drop_sides(split)
-        if spec.persist:
-            rows.unpersist()
+    with sized_shuffles(spark, spec.sourceParameter.paths):
+        model, metrics = _fit_and_verify(spark, spec, algorithm, data, params)
 
     if spec.modelSavePath:
         save_model(spark, model, spec.modelSavePath, overwrite=spec.overwriteModel)
@@ -99,8 +106,9 @@ def run_batch(
     data = read_parameter(spec.dataParameter, spec.dataParameterClass)
     try:
         scorer.load_model(spark, spec.modelPath)
-        raw = scorer.load(spark, spec.sourceParameter)
-        rows = scorer.parse(raw, data, spec.sourceParameter.type)
-        return save_predictions(scorer.predict(rows), spec.resultSavePath, spec.resultFormat, spec.resultMode)
+        with sized_shuffles(spark, spec.sourceParameter.paths):
+            raw = scorer.load(spark, spec.sourceParameter)
+            rows = scorer.parse(raw, data, spec.sourceParameter.type)
+            return save_predictions(scorer.predict(rows), spec.resultSavePath, spec.resultFormat, spec.resultMode)
     finally:
         scorer.unload()

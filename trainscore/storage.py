@@ -9,16 +9,24 @@ from __future__ import annotations
 
 import atexit
 import io
+import math
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+# Compressed columnar bytes; several times as much once decoded and shuffled.
+STORED_BYTES_PER_PARTITION = 64 * 1024 * 1024
+MAX_SHUFFLE_PARTITIONS = 100_000
+
 _local_root: str | None = None
 
 
@@ -67,6 +75,39 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def stored_bytes(spark: SparkSession, paths: Sequence[str]) -> int:
+    """Size of the files under ``paths`` (globs allowed); 0 for what does not exist."""
+    total = 0
+    for path in paths:
+        fs, target = _hadoop_path(spark, path)
+        for status in fs.globStatus(target) or ():
+            total += fs.getContentSummary(status.getPath()).getLength()
+    return total
+
+
+@contextmanager
+def sized_shuffles(spark: SparkSession, paths: Sequence[str]) -> Iterator[None]:
+    """Let shuffles start with enough partitions for the data under ``paths``.
+
+    The fixed number of shuffle partitions suits small data; at 100 TB it would put
+    hundreds of gigabytes into each. Adaptive execution merges partitions that turn
+    out small, so only the starting number matters; one already set is respected.
+    """
+    if spark.conf.get(INITIAL_PARTITIONS, None) is not None:
+        yield
+        return
+    wanted = math.ceil(stored_bytes(spark, paths) / STORED_BYTES_PER_PARTITION)
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if wanted <= usual:
+        yield
+        return
+    spark.conf.set(INITIAL_PARTITIONS, str(min(wanted, MAX_SHUFFLE_PARTITIONS)))
+    try:
+        yield
+    finally:
+        spark.conf.unset(INITIAL_PARTITIONS)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per application.
 

@@ -28,4 +28,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import scoring, sources, training, verifying  # noqa: E402,F401
+from . import sources, training, verifying, scoring  # noqa: E402,F401,I001
