@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import subprocess
+import sys
 from pathlib import Path
 
 import numpy as np
@@ -25,7 +27,8 @@ from trainscore.plugins import (
 )
 from trainscore.storage import shared_root
 
-EXAMPLE = str(Path(__file__).resolve().parent.parent / "examples" / "deviation_plugin.py")
+ROOT = Path(__file__).resolve().parent.parent
+EXAMPLE = str(ROOT / "examples" / "deviation_plugin.py")
 
 
 @pytest.fixture(scope="module")
@@ -532,5 +535,28 @@ def test_ratings_plugin_with_own_loader(spark):
     assert run_train(spark, job, Fixed(find_estimator("ALS"))).metrics.first().n == 3
 
 
-def test_command_line_knows_the_jobs():
+def test_command_line(line, model_path, tmp_path):
     assert sorted(JOBS) == ["batch", "stream", "train"]
+    settings = tmp_path / "job.json"
+    settings.write_text(json.dumps(batch_job(line, model_path, f"{tmp_path}/r")))
+    command = [sys.executable, "-m", "trainscore", "batch", str(settings)]
+    done = subprocess.run(command, cwd=ROOT, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    assert (tmp_path / "r" / "_SUCCESS").exists()
+    wrong = subprocess.run([*command[:-1], '{"appName": "x"}'], cwd=ROOT, capture_output=True, text=True, timeout=300)
+    assert wrong.returncode != 0 and "Missing option" in wrong.stderr
+
+
+def test_settings_are_checked_before_data_is_read(spark, line, model_path):
+    def never(*_):
+        raise AssertionError("data was touched")
+
+    for more, reason in (
+        ({"algoParameter": {"depth": 1}}, "Unknown parameter"),
+        ({"dataParameter": {"feature": "x"}}, "Illegal option"),
+        ({"modelSavePath": model_path}, "already exists"),
+    ):
+        algorithm = resolve_algorithm("LinearRegression")
+        algorithm.load = never
+        with pytest.raises(ValueError, match=reason):
+            run_train(spark, train_job(line, **more), algorithm)

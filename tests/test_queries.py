@@ -13,6 +13,9 @@ import __spark_entry__ as driver
 QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
 
 
+SPARK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
 def _rows(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return Counter(tuple((type(r[i]).__name__, r[i]) for i in order) for r in rows)
@@ -36,7 +39,7 @@ def test_query_equals_oracle(spark, sf_dir, duck, name):
     df = QUERIES[name](spark, sf_dir)
     expected = duck.execute(ORACLES[name])
     columns = [d[0] for d in expected.description]
-    assert sorted(df.columns) == sorted(columns)
+    assert sorted(df.dtypes) == sorted((d[0], SPARK_TYPES[str(d[1])]) for d in expected.description)
     got, want = _rows(df.columns, df.collect()), _rows(columns, expected.fetchall())
     assert got == want, f"only ours: {list((got - want).items())[:3]}; only SQL: {list((want - got).items())[:3]}"
 

@@ -1,8 +1,4 @@
-"""Run a job from a settings file::
-
-    spark-submit --py-files trainscore.zip run.py train settings.json
-    python -m trainscore batch settings.json
-"""
+"""Run a job from a settings file: ``python -m trainscore train settings.json``."""
 
 from __future__ import annotations
 
@@ -12,9 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from .plans import run_batch, run_train
-from .spec import BatchSpec, StreamSpec, TrainSpec
-from .streaming import run_stream
+from trainscore import BatchSpec, StreamSpec, TrainSpec, run_batch, run_stream, run_train
 
 JOBS = {"train": (TrainSpec, run_train), "batch": (BatchSpec, run_batch), "stream": (StreamSpec, run_stream)}
 

@@ -67,6 +67,10 @@ class MLAlgorithm(Algorithm):
         self.name = estimator_class.__name__
         self.kind = estimator_class.__module__.rpartition(".")[2]
 
+    def check(self, data: Parameter, params: Parameter) -> None:
+        DataSpec.parse(data.values)
+        configure(self.estimator_class, params.values)
+
     def parse(self, raw: DataFrame, data: Parameter, source_type: str) -> DataFrame:
         return apply_data_spec(raw, DataSpec.parse(data.values), source_type)
 

@@ -13,7 +13,7 @@ from ..operators.sinks import save_indicator, save_model, save_predictions
 from ..operators.split import Split, drop_sides, keyed_split, random_split
 from ..plugins import Algorithm, Parameter, Scorer, read_parameter, resolve_algorithm, resolve_scorer
 from ..spec import BatchSpec, TrainSpec
-from ..storage import ship_package, sized_shuffles
+from ..storage import path_exists, ship_package, sized_shuffles
 
 log = logging.getLogger(__name__)
 
@@ -81,6 +81,10 @@ def run_train(
     data = read_parameter(spec.dataParameter, spec.dataParameterClass)
     params = read_parameter(spec.algoParameter, spec.algoParameterClass)
 
+    algorithm.check(data, params)
+    if spec.modelSavePath and not spec.overwriteModel and path_exists(spark, spec.modelSavePath):
+        raise ValueError(f"{spec.modelSavePath} already exists: ask for overwriteModel or name another path")
+
     with sized_shuffles(spark, spec.sourceParameter.paths):
         model, metrics = _fit_and_verify(spark, spec, algorithm, data, params)
 

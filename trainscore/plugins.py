@@ -45,6 +45,9 @@ class Algorithm(ABC):
 
     name: str = ""
 
+    def check(self, data: Parameter, params: Parameter) -> None:
+        """Raise ``ValueError`` for settings that cannot work; called before any data is read."""
+
     def load(self, spark: SparkSession, source: SourceSpec) -> DataFrame:
         """Raw rows of the source; override to read something else."""
         return load_source(spark, source)
