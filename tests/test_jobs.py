@@ -164,6 +164,29 @@ def test_any_estimator_trains_saves_and_scores(spark, line, tmp_path, name, para
     assert scored.columns == ["id", "prediction"] and scored.count() == 200
 
 
+def test_split_without_key_stages_only_where_rows_have_no_place(spark, line, tmp_path, monkeypatch):
+    from trainscore.plans import jobs
+
+    staged_splits = []
+    monkeypatch.setattr(jobs, "drop_sides", lambda split: staged_splits.append(split.staged))
+    run_train(spark, train_job(line, dataWeight=[0.7, 0.3]))
+    spark.read.parquet(line).write.option("header", "true").csv(f"{tmp_path}/c")
+    csv = {"source": f"{tmp_path}/c", "type": "csv"}
+    result = run_train(spark, train_job(line, dataWeight=[0.7, 0.3], sourceParameter=csv))
+    assert result.metrics.first().r2 == pytest.approx(1.0)
+    assert staged_splits[0] is None and staged_splits[1] is not None
+
+
+def test_roc_is_asked_for(spark, line):
+    data = {"features": ["x"], "label": "case when x >= 100 then 1 else 0 end"}
+    job = train_job(line, algoClass="LogisticRegression", dataParameter=data)
+    assert "area_under_roc" not in run_train(spark, job).metrics.columns
+    metrics = run_train(spark, {**job, "algoParameter": {"areaUnderROC": True, "maxIter": 3}}).metrics.first()
+    assert metrics.area_under_roc == 1.0
+    with pytest.raises(ValueError, match="needs a classifier"):
+        run_train(spark, train_job(line, algoParameter={"areaUnderROC": True}))
+
+
 def test_topic_model(spark, line, tmp_path):
     model = f"{tmp_path}/m"
     data = {"features": ["x", "1"]}

@@ -21,10 +21,12 @@ from trainscore.operators import (
     drop_sides,
     keyed_split,
     random_split,
+    row_split,
     save_indicator,
     save_model,
     save_predictions,
     topn,
+    with_row_key,
 )
 from trainscore import storage
 from trainscore.storage import delete_path, fresh_path, path_exists
@@ -79,6 +81,20 @@ def test_random_split_parts_read_their_own_files(spark):
     drop_sides(split)
 
 
+def test_rows_are_split_by_their_place(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    # Every row is a copy of every other.
+    spark.range(4000).selectExpr("7 as v").repartition(4).write.parquet(path)
+    scan = spark.read.parquet(path)
+    split = row_split(with_row_key(scan), (0.6, 0.4), seed=5)
+    n_train, n_verify = split.train.count(), split.verify.count()
+    assert n_train + n_verify == 4000 and abs(n_train - 2400) < 5 * math.sqrt(4000 * 0.24)
+    assert split.train.columns == ["v"] and split.staged is None
+    again = row_split(with_row_key(scan.repartition(1).sparkSession.read.parquet(path)), (0.6, 0.4), seed=5)
+    assert again.train.count() == n_train
+    assert "Exchange" not in split.train._jdf.queryExecution().executedPlan().toString()
+
+
 def test_verify_weight_zero(spark):
     df = spark.range(10)
     for split in (random_split(df, (1.0, 0)), keyed_split(df, ["id"], (0.5, 0))):
@@ -162,21 +178,26 @@ def test_storage(spark):
     assert not path_exists(spark, path)
 
 
-def test_shuffles_follow_the_size_of_the_source(spark, tmp_path, monkeypatch):
+def test_sizes_follow_the_source(spark, tmp_path, monkeypatch):
     path = f"{tmp_path}/t"
     spark.range(10_000).write.parquet(path)
     size = storage.stored_bytes(spark, [path])
-    assert size > 10_000 and storage.stored_bytes(spark, [f"{path}/*.parquet", f"{tmp_path}/none"]) <= size
-    read = lambda: spark.conf.get(storage.INITIAL_PARTITIONS, None)
-    with storage.sized_shuffles(spark, [path]):
-        assert read() is None  # small data: the usual number is enough
+    assert size > 10_000 and 0 < storage.stored_bytes(spark, [f"{path}/*.parquet", f"{tmp_path}/none"]) <= size
+    partitions = lambda: spark.conf.get(storage.INITIAL_PARTITIONS, None)
+    split = lambda: int(spark.conf.get(storage.SPLIT_BYTES).rstrip("b"))
+    with storage.sized_for(spark, [path]):
+        assert partitions() is None and split() == storage.DEFAULT_SPLIT_BYTES  # small data: as usual
     monkeypatch.setattr(storage, "STORED_BYTES_PER_PARTITION", 1000)
-    with storage.sized_shuffles(spark, [path]):
-        assert int(read()) == math.ceil(size / 1000)
-        with storage.sized_shuffles(spark, [f"{tmp_path}/none"]):
-            assert int(read()) == math.ceil(size / 1000)
+    with storage.sized_for(spark, [path]):
+        assert int(partitions()) == math.ceil(size / 1000)
+        with storage.sized_for(spark, [f"{tmp_path}/none"]):
+            assert int(partitions()) == math.ceil(size / 1000)
         assert spark.range(100).groupBy("id").count().count() == 100
-    assert read() is None
+    monkeypatch.setattr(storage, "stored_bytes", lambda *_: 100 * 10**12)
+    with storage.sized_for(spark, [path]):
+        assert int(partitions()) == storage.MAX_SHUFFLE_PARTITIONS
+        assert 256 * storage.MB < split() <= storage.MAX_SPLIT_BYTES
+    assert partitions() is None and split() == storage.DEFAULT_SPLIT_BYTES
 
 
 # -- top-N -------------------------------------------------------------------

@@ -1,15 +1,17 @@
 """The steps a job is made of: split, fit, score, save."""
 
 from .sinks import save_indicator, save_model, save_predictions
-from .split import Split, drop_sides, keyed_split, random_split, side_of_key
+from .split import Split, drop_sides, keyed_split, random_split, row_split, side_of_key, with_row_key
 
 __all__ = [
     "Split",
     "drop_sides",
     "keyed_split",
     "random_split",
+    "row_split",
     "save_indicator",
     "save_model",
     "save_predictions",
     "side_of_key",
+    "with_row_key",
 ]

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Any
 
 from pyspark.ml import Estimator, Model, classification, clustering, recommendation, regression
 from pyspark.sql import DataFrame, SparkSession
-
-from ..functions.metrics import classification_metrics, clustering_metrics, regression_metrics, topic_metrics
+from pyspark.sql import functions as F
+
+from ..functions.metrics import (
+    area_under_roc,
+    classification_metrics,
+    clustering_metrics,
+    regression_metrics,
+    topic_metrics,
+)
 from ..functions.parse import apply_data_spec
 from ..plugins import Algorithm, Parameter
 from ..spec import DataSpec
 from ..storage import ensure_checkpoint_dir
+from .split import ROW_KEY
 
 ML_MODULES = (classification, regression, clustering, recommendation)
 
 MAX_ALS_BLOCKS = 2000
 
+ROC = "areaUnderROC"
+
 
 def find_estimator(name: str) -> type[Estimator] | None:
     """``LinearRegression`` or ``pyspark.ml.regression.LinearRegression`` as a class."""
@@ -60,23 +71,44 @@ def als_blocks(spark: SparkSession) -> int:
 
 
 class MLAlgorithm(Algorithm):
-    """Fits one ``pyspark.ml`` estimator and verifies it by its kind's metrics."""
+    """Fits one ``pyspark.ml`` estimator and verifies it by its kind's metrics.
+
+    Beside the estimator's own parameters, ``areaUnderROC: true`` adds that metric
+    for a classifier of two classes; it sorts the distinct scores, so it is asked for.
+    """
 
     def __init__(self, estimator_class: type[Estimator]) -> None:
         self.estimator_class = estimator_class
         self.name = estimator_class.__name__
         self.kind = estimator_class.__module__.rpartition(".")[2]
+        self.with_roc = False
+
+    def _estimator(self, params: Parameter) -> Estimator:
+        return configure(self.estimator_class, {k: v for k, v in params.values.items() if k != ROC})
 
     def check(self, data: Parameter, params: Parameter) -> None:
         DataSpec.parse(data.values)
-        configure(self.estimator_class, params.values)
+        self._estimator(params)
+        if params.values.get(ROC) and self.kind != "classification":
+            raise ValueError(f"{ROC} needs a classifier, not {self.name}")
 
     def parse(self, raw: DataFrame, data: Parameter, source_type: str) -> DataFrame:
-        return apply_data_spec(raw, DataSpec.parse(data.values), source_type)
+        spec = DataSpec.parse(data.values)
+        if set(ROW_KEY) <= set(raw.columns) and (spec.keep or spec.features or spec.ratings):
+            spec = replace(spec, keep=(*spec.keep, *ROW_KEY))
+        return apply_data_spec(raw, spec, source_type)
+
+    def keeps_row_key(self, data: Parameter) -> bool:
+        """Whether each parsed row stands for one row of the source, read the usual way."""
+        cls = type(self)
+        spec = DataSpec.parse(data.values)
+        plain = cls.load is Algorithm.load and cls.parse is MLAlgorithm.parse
+        return plain and not spec.explode and not (spec.ratings or {}).get("aggregate")
 
     def train(self, rows: DataFrame, params: Parameter) -> Model:
         spark = rows.sparkSession
-        estimator = configure(self.estimator_class, params.values)
+        self.with_roc = bool(params.values.get(ROC))
+        estimator = self._estimator(params)
         if estimator.hasParam("checkpointInterval"):
             ensure_checkpoint_dir(spark)
         if isinstance(estimator, recommendation.ALS):
@@ -90,7 +122,11 @@ class MLAlgorithm(Algorithm):
             return topic_metrics(rows, model)
         scored = model.transform(rows)
         if self.kind == "classification":
-            return classification_metrics(scored)
+            metrics = classification_metrics(scored)
+            if self.with_roc:
+                auc = area_under_roc(scored).first()["area_under_roc"]
+                metrics = metrics.withColumn("area_under_roc", F.lit(auc))
+            return metrics
         if self.kind == "clustering":
             return clustering_metrics(scored)
         if self.kind == "recommendation":

@@ -3,7 +3,10 @@
 ``keyed_split`` decides each row by a hash of its key columns. It is a narrow
 filter, needs no copy of the data, and gives the same parts on every cluster.
 
-``random_split`` has no key to hold on to. Drawing a random number in two separate
+``keyed_split`` also serves where no key is named but rows have a place of their own:
+``with_row_key`` adds file and row number to a Parquet scan.
+
+``random_split`` has neither to hold on to. Drawing a random number in two separate
 scans would draw twice, and a lost executor or another number of cores changes
 the draw, so rows could land in both parts or in neither. The draw is therefore
 written down once, in a table on shared storage partitioned by part; each part
@@ -24,6 +27,7 @@ from ..spec import check_weights
 from ..storage import delete_path, fresh_path
 
 SIDE = "__side"
+ROW_KEY = ("__file", "__row")
 TRAIN, VERIFY = "train", "verify"
 
 
@@ -63,6 +67,21 @@ def keyed_split(df: DataFrame, keys: Sequence[str], weights: Sequence[float], se
     return Split(df.where(side == TRAIN), df.where(side == VERIFY))
 
 
+def with_row_key(scan: DataFrame) -> DataFrame:
+    """The rows of a Parquet scan with the file and the row number each came from."""
+    file, row = ROW_KEY
+    return scan.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+
+
+def row_split(df: DataFrame, weights: Sequence[float], seed: int = 0) -> Split:
+    """Split rows that still carry their ``ROW_KEY``, and drop it.
+
+    Copies of a row lie in different places, so they are divided like any others.
+    """
+    split = keyed_split(df, ROW_KEY, weights, seed)
+    return Split(split.train.drop(*ROW_KEY), split.verify.drop(*ROW_KEY))
+
+
 def random_split(df: DataFrame, weights: Sequence[float], seed: int = 0) -> Split:
     """Bernoulli split by ``weights``; verify on the training rows at weight 0.
 

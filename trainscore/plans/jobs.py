@@ -9,14 +9,25 @@ from typing import Any
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.estimators import MLAlgorithm
 from ..operators.sinks import save_indicator, save_model, save_predictions
-from ..operators.split import Split, drop_sides, keyed_split, random_split
+from ..operators.split import (
+    ROW_KEY,
+    Split,
+    drop_sides,
+    keyed_split,
+    random_split,
+    row_split,
+    with_row_key,
+)
 from ..plugins import Algorithm, Parameter, Scorer, read_parameter, resolve_algorithm, resolve_scorer
 from ..spec import BatchSpec, TrainSpec
-from ..storage import path_exists, ship_package, sized_shuffles
+from ..storage import path_exists, ship_package, sized_for
 
 log = logging.getLogger(__name__)
 
+MAX_INDICATOR_ROWS = 10_000
+
 
 @dataclass(frozen=True)
 class TrainResult:
@@ -34,21 +45,34 @@ def add_plugin_code(spark: SparkSession, path: str | None) -> None:
 def _split(rows: DataFrame, spec: TrainSpec) -> Split:
     if spec.splitKey:
         return keyed_split(rows, spec.splitKey, spec.dataWeight, spec.seed)
+    if set(ROW_KEY) <= set(rows.columns):
+        return row_split(rows, spec.dataWeight, spec.seed)
     return random_split(rows, spec.dataWeight, spec.seed)
 
 
 def _small_copy(spark: SparkSession, indicator: DataFrame | str) -> DataFrame:
-    """The indicator row as a constant, so that reading it later runs no job."""
+    """The indicator's rows as constants, so that reading them later runs no job."""
     if isinstance(indicator, str):
         return spark.createDataFrame([(indicator,)], "indicator string")
-    row = indicator.first()
-    return spark.createDataFrame([] if row is None else [row], indicator.schema)
+    rows = indicator.take(MAX_INDICATOR_ROWS + 1)
+    if len(rows) > MAX_INDICATOR_ROWS:
+        raise ValueError(f"an indicator has at most {MAX_INDICATOR_ROWS} rows")
+    return spark.createDataFrame(rows, indicator.schema)
+
+
+def _splits_by_row(spec: TrainSpec, algorithm: Algorithm, data: Parameter) -> bool:
+    """No key is named, but the rows of a Parquet scan can be told by their place."""
+    if spec.splitKey or spec.dataWeight[1] == 0 or spec.sourceParameter.type != "PARQUET":
+        return False
+    return isinstance(algorithm, MLAlgorithm) and algorithm.keeps_row_key(data)
 
 
 def _fit_and_verify(
     spark: SparkSession, spec: TrainSpec, algorithm: Algorithm, data: Parameter, params: Parameter
 ) -> tuple[Any, DataFrame]:
     raw = algorithm.load(spark, spec.sourceParameter)
+    if _splits_by_row(spec, algorithm, data):
+        raw = with_row_key(raw)
     rows = algorithm.parse(raw, data, spec.sourceParameter.type)
     if spec.persist:
         rows.persist(StorageLevel.MEMORY_AND_DISK)
@@ -85,7 +109,7 @@ def run_train(
     if spec.modelSavePath and not spec.overwriteModel and path_exists(spark, spec.modelSavePath):
         raise ValueError(f"{spec.modelSavePath} already exists: ask for overwriteModel or name another path")
 
-    with sized_shuffles(spark, spec.sourceParameter.paths):
+    with sized_for(spark, spec.sourceParameter.paths):
         model, metrics = _fit_and_verify(spark, spec, algorithm, data, params)
 
     if spec.modelSavePath:
@@ -110,7 +134,7 @@ def run_batch(
     data = read_parameter(spec.dataParameter, spec.dataParameterClass)
     try:
         scorer.load_model(spark, spec.modelPath)
-        with sized_shuffles(spark, spec.sourceParameter.paths):
+        with sized_for(spark, spec.sourceParameter.paths):
             raw = scorer.load(spark, spec.sourceParameter)
             rows = scorer.parse(raw, data, spec.sourceParameter.type)
             return save_predictions(scorer.predict(rows), spec.resultSavePath, spec.resultFormat, spec.resultMode)

@@ -23,9 +23,15 @@ from pyspark.sql import SparkSession
 PACKAGE = Path(__file__).resolve().parent
 
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-# Compressed columnar bytes; several times as much once decoded and shuffled.
-STORED_BYTES_PER_PARTITION = 64 * 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 100_000
+SPLIT_BYTES = "spark.sql.files.maxPartitionBytes"
+MB = 1024 * 1024
+# Compressed bytes of all columns; a shuffle mostly carries a few of them, decoded.
+STORED_BYTES_PER_PARTITION = 128 * MB
+# Beyond this the number of map-to-reduce blocks costs more than larger partitions.
+MAX_SHUFFLE_PARTITIONS = 20_000
+MAX_SCAN_TASKS = 200_000
+DEFAULT_SPLIT_BYTES = 128 * MB
+MAX_SPLIT_BYTES = 512 * MB
 
 _local_root: str | None = None
 
@@ -85,27 +91,41 @@ def stored_bytes(spark: SparkSession, paths: Sequence[str]) -> int:
     return total
 
 
+def _setting_for(spark: SparkSession, stored: int) -> dict[str, str]:
+    wanted: dict[str, str] = {}
+    if spark.conf.get(INITIAL_PARTITIONS, None) is None:
+        partitions = min(math.ceil(stored / STORED_BYTES_PER_PARTITION), MAX_SHUFFLE_PARTITIONS)
+        if partitions > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            wanted[INITIAL_PARTITIONS] = str(partitions)
+    if spark.conf.get(SPLIT_BYTES).rstrip("b") == str(DEFAULT_SPLIT_BYTES):
+        split = min(math.ceil(stored / MAX_SCAN_TASKS), MAX_SPLIT_BYTES)
+        if split > DEFAULT_SPLIT_BYTES:
+            wanted[SPLIT_BYTES] = str(split)
+    return wanted
+
+
 @contextmanager
-def sized_shuffles(spark: SparkSession, paths: Sequence[str]) -> Iterator[None]:
-    """Let shuffles start with enough partitions for the data under ``paths``.
+def sized_for(spark: SparkSession, paths: Sequence[str]) -> Iterator[None]:
+    """Size shuffles and scan splits for the data under ``paths`` while a job runs.
 
     The fixed number of shuffle partitions suits small data; at 100 TB it would put
     hundreds of gigabytes into each. Adaptive execution merges partitions that turn
-    out small, so only the starting number matters; one already set is respected.
+    out small, so only the starting number matters. Scan splits grow once the usual
+    size would make more than ``MAX_SCAN_TASKS`` of them, each reading few columns.
+    What the session has set itself is respected.
     """
-    if spark.conf.get(INITIAL_PARTITIONS, None) is not None:
-        yield
-        return
-    wanted = math.ceil(stored_bytes(spark, paths) / STORED_BYTES_PER_PARTITION)
-    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if wanted <= usual:
-        yield
-        return
-    spark.conf.set(INITIAL_PARTITIONS, str(min(wanted, MAX_SHUFFLE_PARTITIONS)))
+    wanted = _setting_for(spark, stored_bytes(spark, paths))
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(INITIAL_PARTITIONS)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from trainscore import load_source, run_train
 from trainscore.functions import apply_data_spec
-from trainscore.operators import keyed_split, random_split
+from trainscore.operators import Split, keyed_split, random_split, row_split, with_row_key
 from trainscore.operators.estimators import MLAlgorithm, find_estimator
 from trainscore.operators.scorers import load_ml_model
 from trainscore.spec import DataSpec, SourceSpec
 from trainscore.storage import fresh_path
 
-from . import query
+from . import ORACLES, query
 from .common import LINEAR_FIT, ORDER_BITS, als_job, linear_job, parquet_source, table
 
 
@@ -61,7 +61,16 @@ def split_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def split_random_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The random split keeps every row once, in about the share asked for."""
-    split = random_split(table(spark, sf_dir, "orders").select("o_orderkey"), (0.7, 0.3), seed=11)
+    return _whole_and_disjoint(random_split(table(spark, sf_dir, "orders").select("o_orderkey"), (0.7, 0.3), seed=11))
+
+
+@query(ORACLES["split_random_partition"])
+def split_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, decided by the place of each row in its file."""
+    return _whole_and_disjoint(row_split(with_row_key(table(spark, sf_dir, "orders")), (0.7, 0.3), seed=11))
+
+
+def _whole_and_disjoint(split: Split) -> DataFrame:
     rows = split.train.select("o_orderkey", F.lit(1).alias("in_train")).unionByName(
         split.verify.select("o_orderkey", F.lit(0).alias("in_train"))
     )
@@ -185,6 +194,34 @@ def train_logistic_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return params.select(*[F.round(c, 4).alias(c) for c in params.columns])
 
 
+@query(
+    """WITH rows AS (SELECT quality, n_chars FROM documents JOIN labels USING (doc_id)),
+       ranked AS (
+         SELECT quality = 1 AS positive,
+                rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS mid_rank
+         FROM rows),
+       area AS (
+         SELECT (sum(mid_rank) FILTER (positive) - count(*) FILTER (positive) * (count(*) FILTER (positive) + 1) / 2.0)
+                / (count(*) FILTER (positive) * CAST(count(*) FILTER (NOT positive) AS DOUBLE)) AS a
+         FROM ranked)
+       SELECT (SELECT count(*) FROM rows) AS n,
+              round(CASE WHEN (SELECT covar_pop(quality, n_chars) FROM rows) > 0 THEN a ELSE 1 - a END, 6)
+                AS area_under_roc
+       FROM area"""
+)
+def train_logistic_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With one feature the scores rank documents as the feature does, or in reverse."""
+    job = {
+        "appName": "quality",
+        "algoClass": "LogisticRegression",
+        "sourceParameter": {"source": sf_dir, "type": "parquet"},
+        "dataParameter": {"label": "quality", "features": ["n_chars"]},
+        "algoParameter": {"areaUnderROC": True},
+    }
+    metrics = run_train(spark, job, DocumentQuality(find_estimator("LogisticRegression"))).metrics
+    return metrics.select("n", F.round("area_under_roc", 6).alias("area_under_roc"))
+
+
 @query(
     """WITH bins AS (SELECT l_quantity AS x, count(*) AS n, sum(l_extendedprice) AS s FROM lineitem GROUP BY 1),
        cuts AS (
