@@ -335,6 +335,20 @@ def test_harness_requests_on_a_stream(spark, model_path, tmp_path):
         assert json.loads(got[n])["prediction"] == pytest.approx(3 * n + 1, abs=1e-3)
 
 
+def test_requests_from_any_stream(spark, model_path, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("5|4\n6|x\n")
+    lines = spark.readStream.text(f"{tmp_path}/in")
+    parts = F.split("value", "[|]")
+    requests = lines.select(
+        parts[0].cast("bigint").alias("request_id"), F.concat(F.lit('{"data":['), parts[1], F.lit("]}")).alias("data")
+    )
+    start_stream(spark, stream_job(tmp_path, model_path), requests=requests).awaitTermination()
+    got = responses(spark, tmp_path)
+    assert json.loads(got[5])["prediction"] == pytest.approx(13.0, abs=1e-3)
+    assert got[6] == "Exception:malformed request"
+
+
 def test_running_query_can_be_stopped(spark, model_path, tmp_path):
     write_requests(spark, f"{tmp_path}/in", [(1, '{"data":[1]}')])
     query = start_stream(spark, stream_job(tmp_path, model_path, triggerInterval="1 second"))

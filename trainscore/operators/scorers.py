@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import pickle
 from abc import abstractmethod
 from collections.abc import Iterator
@@ -22,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.parse import FeatureColumns, apply_data_spec
 from ..plugins import ERROR_PREFIX, RESPONSE_SCHEMA, Parameter, Scorer, register_scorer
-from ..spec import DataSpec, _check_keys
+from ..spec import DataSpec, check_keys
 from ..storage import ship_package
 from .topn import top_items
 
@@ -39,6 +38,7 @@ DEFAULT_REQUEST = {"schema": "data array<double>", "features": ["data"]}
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 
 CORRUPT = "__corrupt"
+REASON = "__reason"
 
 
 def load_ml_model(spark: SparkSession, path: str) -> Model:
@@ -61,7 +61,7 @@ def parse_requests(requests: DataFrame, schema: str) -> tuple[DataFrame, list[st
     """Add the fields of the request's JSON; ``__corrupt`` says it was malformed."""
     record = T.StructType.fromDDL(schema)
     names = record.fieldNames()
-    clash = sorted({"request_id", "data_text"} & set(names))
+    clash = sorted({"request_id", CORRUPT, REASON} & set(names))
     if clash:
         raise ValueError(f"request schema uses reserved names: {', '.join(clash)}")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
@@ -88,7 +88,7 @@ class MLScorer(Scorer):
 
     def __init__(self, parameter: dict[str, Any] | None = None) -> None:
         super().__init__(parameter)
-        _check_keys(self.parameter, set(), {"schema", "columns", "features", "outputs"}, "modelParameter")
+        check_keys(self.parameter, set(), {"schema", "columns", "features", "outputs"}, "modelParameter")
         self.outputs = list(self.parameter.get("outputs") or [])
         request = {k: v for k, v in self.parameter.items() if k != "outputs"}
         self.request = DataSpec.parse(request or DEFAULT_REQUEST)
@@ -138,14 +138,14 @@ class MLScorer(Scorer):
             beyond = F.exists("__values", lambda v: ~v.isin(0.0, 1.0))
             reason = reason.when(beyond, _failure("features must be 0 or 1"))
 
-        rows = rows.withColumn("__reason", reason)
+        rows = rows.withColumn(REASON, reason)
         zeros = F.array_repeat(F.lit(0.0), size if size is not None else 1)
-        safe = F.when(F.col("__reason").isNull(), F.col("__values")).otherwise(zeros)
-        scored = self.model.transform(rows.select("request_id", "__reason", array_to_vector(safe).alias("features")))
+        safe = F.when(F.col(REASON).isNull(), F.col("__values")).otherwise(zeros)
+        scored = self.model.transform(rows.select("request_id", REASON, array_to_vector(safe).alias("features")))
         fields = [F.col(c) for c in scored.columns if c == "prediction"]
         fields += [vector_to_array(o).alias(o) for o in self.outputs]
         return scored.select(
-            "request_id", F.coalesce("__reason", F.to_json(F.struct(*fields))).alias("result")
+            "request_id", F.coalesce(REASON, F.to_json(F.struct(*fields))).alias("result")
         )
 
     def unload(self) -> None:
@@ -166,7 +166,7 @@ class RecommendScorer(Scorer):
 
     def __init__(self, parameter: dict[str, Any] | None = None) -> None:
         super().__init__(parameter)
-        _check_keys(self.parameter, set(), {"numItems"}, "modelParameter")
+        check_keys(self.parameter, set(), {"numItems"}, "modelParameter")
         self.num_items = int(self.parameter.get("numItems", 10))
         if self.num_items < 1:
             raise ValueError("numItems must be positive")
@@ -291,35 +291,40 @@ class PandasScorer(Scorer):
         """Whatever is raised for a request answers that request.
 
         Batches are predicted whole. One that raises is halved until the request
-        at fault stands alone, so the others keep their answer.
+        at fault stands alone, so the others keep their answer. Python returns
+        columns; the JSON of the responses is written by Spark.
         """
         parsed, names = parse_requests(requests, self.request_schema)
         result = T.StructType.fromDDL(self.result_schema)
+        fields = [T.StructField("request_id", T.LongType()), *result.fields, T.StructField(REASON, T.StringType())]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             state = self._state_in_task()
 
-            def answers(rows: pd.DataFrame) -> list[str]:
+            def predict(rows: pd.DataFrame) -> list[pd.DataFrame]:
                 try:
-                    out = self._run(state, rows)
-                    texts = [json.dumps(r, default=str) for r in out[result.names].astype(object).to_dict("records")]
-                    if "error" in out:
-                        texts = [t if pd.isna(e) else ERROR_PREFIX + e for t, e in zip(texts, out["error"], strict=True)]
-                    return texts
+                    out = self._run(state, rows[names])
+                    reasons = out["error"] if "error" in out else None
                 except Exception as err:
-                    if len(rows) == 1:
-                        return [f"{ERROR_PREFIX}{err}"]
-                    half = len(rows) // 2
-                    return answers(rows.iloc[:half]) + answers(rows.iloc[half:])
+                    if len(rows) > 1:
+                        half = len(rows) // 2
+                        return predict(rows.iloc[:half]) + predict(rows.iloc[half:])
+                    out, reasons = pd.DataFrame(dict.fromkeys(result.names), index=[0]), str(err)
+                ids = rows["request_id"].reset_index(drop=True)
+                return [out[result.names].assign(request_id=ids, **{REASON: reasons})]
 
             for batch in batches:
-                texts = pd.Series(ERROR_PREFIX + "malformed request", index=batch.index, dtype=object)
-                good = batch.loc[~batch[CORRUPT], names]
-                if len(good):
-                    texts.loc[good.index] = answers(good)
-                yield pd.DataFrame({"request_id": batch["request_id"], "result": texts})
-
-        return parsed.mapInPandas(run, RESPONSE_SCHEMA)
+                malformed = batch[CORRUPT]
+                refused = batch.loc[malformed, ["request_id"]]
+                if len(refused):
+                    yield refused.assign(**dict.fromkeys(result.names), **{REASON: "malformed request"})
+                if not malformed.all():
+                    yield from predict(batch.loc[~malformed])
+
+        answered = parsed.mapInPandas(run, T.StructType(fields))
+        text = F.to_json(F.struct(*[F.col(f"`{n}`") for n in result.names]), {"ignoreNullFields": "false"})
+        failed = F.when(F.col(REASON).isNotNull(), _failure(F.col(REASON)))
+        return answered.select("request_id", F.coalesce(failed, text).alias("result"))
 
     def unload(self) -> None:
         if self._state is not None:

@@ -33,7 +33,7 @@ def as_mapping(setting: Any, what: str) -> dict[str, Any]:
     return dict(setting)
 
 
-def _check_keys(given: Mapping[str, Any], mandatory: set[str], optional: set[str], what: str) -> None:
+def check_keys(given: Mapping[str, Any], mandatory: set[str], optional: set[str], what: str) -> None:
     unknown = sorted(set(given) - mandatory - optional)
     if unknown:
         raise ValueError(f"Illegal option in {what}: {', '.join(unknown)}")
@@ -66,7 +66,7 @@ def _positive_int(value: Any, what: str) -> int | None:
 def check_weights(weights: Any) -> tuple[float, float]:
     """Train weight in (0, 1], verify weight in [0, 1], their sum at most 1."""
     if isinstance(weights, Mapping):
-        _check_keys(weights, {"dataWeight"}, set(), "dataWeight")
+        check_keys(weights, {"dataWeight"}, set(), "dataWeight")
         weights = weights["dataWeight"]
     if not isinstance(weights, (list, tuple)) or len(weights) < 2:
         raise ValueError(f"Invalid weight:{weights!r}, expected [train, verify]")
@@ -96,7 +96,7 @@ class SourceSpec:
         if isinstance(setting, cls):
             return setting
         raw = as_mapping(setting, "sourceParameter")
-        _check_keys(
+        check_keys(
             raw,
             {"source", "type"},
             {"schema", "options", "inputFormat", "keyClass", "valueClass"},
@@ -133,11 +133,11 @@ class DataSpec:
         if isinstance(setting, cls):
             return setting
         raw = as_mapping(setting, "dataParameter")
-        _check_keys(raw, set(), set(cls.__dataclass_fields__), "dataParameter")
+        check_keys(raw, set(), set(cls.__dataclass_fields__), "dataParameter")
         ratings = raw.get("ratings")
         if ratings is not None:
             ratings = as_mapping(ratings, "ratings")
-            _check_keys(ratings, {"user", "item"}, {"rating", "aggregate"}, "ratings")
+            check_keys(ratings, {"user", "item"}, {"rating", "aggregate"}, "ratings")
         if ratings and raw.get("features"):
             raise ValueError("dataParameter names both ratings and features")
         if raw.get("delimiter") and not raw.get("schema"):
@@ -181,7 +181,7 @@ class TrainSpec:
             return setting
         raw = as_mapping(setting, "train settings")
         mandatory = {"appName", "algoClass", "sourceParameter", "dataParameter", "algoParameter"}
-        _check_keys(raw, mandatory, set(cls.__dataclass_fields__) - mandatory, "train settings")
+        check_keys(raw, mandatory, set(cls.__dataclass_fields__) - mandatory, "train settings")
         if raw.get("dataWeight") is None:
             raw.pop("dataWeight", None)
         elif isinstance(raw["dataWeight"], str):
@@ -222,7 +222,7 @@ class BatchSpec:
             return setting
         raw = as_mapping(setting, "batch settings")
         mandatory = {"appName", "modelClass", "modelPath", "sourceParameter", "dataParameter", "resultSavePath"}
-        _check_keys(raw, mandatory, set(cls.__dataclass_fields__) - mandatory, "batch settings")
+        check_keys(raw, mandatory, set(cls.__dataclass_fields__) - mandatory, "batch settings")
         return cls(
             **{
                 **raw,
@@ -268,7 +268,7 @@ class StreamSpec:
             return setting
         raw = as_mapping(setting, "stream settings")
         mandatory = {"appName", "modelClass", "modelPath", "requestPath", "responsePath", "checkpointPath"}
-        _check_keys(raw, mandatory, set(cls.__dataclass_fields__) - mandatory, "stream settings")
+        check_keys(raw, mandatory, set(cls.__dataclass_fields__) - mandatory, "stream settings")
         _positive_int(raw.get("maxFilesPerTrigger"), "maxFilesPerTrigger")
         _positive_int(raw.get("threadParallel"), "threadParallel")
         return cls(

@@ -135,8 +135,8 @@ def ship_package(spark: SparkSession) -> None:
     """
     sc = spark.sparkContext
     archive = f"{PACKAGE.name}.zip"
-    if any(path.endswith(f"/{archive}") for path in sc.listFiles):
-        return
+    if not PACKAGE.is_dir() or any(path.endswith(f"/{archive}") for path in sc.listFiles):
+        return  # it came as an archive itself, or was shipped before
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as code:
         for file in sorted(PACKAGE.rglob("*.py")):

@@ -45,14 +45,22 @@ def _save_each_batch(scorer: Scorer, spec: StreamSpec):
 
 
 def start_stream(
-    spark: SparkSession, setting: StreamSpec | dict[str, Any] | str, scorer: Scorer | None = None
+    spark: SparkSession,
+    setting: StreamSpec | dict[str, Any] | str,
+    scorer: Scorer | None = None,
+    requests: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Load the model and start answering; returns the running query."""
+    """Load the model and start answering; returns the running query.
+
+    ``requests`` may be any stream of ``request_id, data``, such as one read from a
+    message topic; it then takes the place of the files under ``requestPath``.
+    """
     spec = StreamSpec.parse(setting)
     add_plugin_code(spark, spec.algoPluginPath)
     scorer = scorer or resolve_scorer(spec.modelClass, spec.modelParameter)
     scorer.load_model(spark, spec.modelPath)
-    requests = read_requests(spark, spec)
+    if requests is None:
+        requests = read_requests(spark, spec)
 
     if scorer.runs_jobs:
         if path_exists(spark, spec.responsePath) and not path_exists(spark, f"{spec.checkpointPath}/metadata"):
