@@ -552,6 +552,36 @@ def test_hot_user_is_split_in_the_join(spark, als, tmp_path):
             spark.conf.set(k, v)
 
 
+def test_hot_order_is_split_in_the_rating_join(spark, tmp_path):
+    """One order holding a third of all lines: its partition is cut, its sum combined before."""
+    from workload.common import ratings
+
+    spark.range(300_000).selectExpr(
+        "if(id % 3 = 0, 7, id % 50000) as l_orderkey", "abs(hash(id)) as l_partkey", "1.0 as l_quantity"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(50_000).selectExpr("id as o_orderkey", "id % 1000 as o_custkey").write.parquet(
+        f"{tmp_path}/orders.parquet"
+    )
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = ratings(spark, str(tmp_path))
+        assert sum(r.rating for r in rows.collect()) == 300_000.0
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan and "partial_sum" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_recommender_needs_an_als_model(spark, model_path):
     with pytest.raises(ValueError, match="does not recommend"):
         RecommendScorer().load_model(spark, model_path)

@@ -182,6 +182,7 @@ def test_sizes_follow_the_source(spark, tmp_path, monkeypatch):
     path = f"{tmp_path}/t"
     spark.range(10_000).write.parquet(path)
     size = storage.stored_bytes(spark, [path])
+    assert storage.stored_bytes(spark, ["jdbc:some://where", "a:b:c"]) == 0
     assert size > 10_000 and 0 < storage.stored_bytes(spark, [f"{path}/*.parquet", f"{tmp_path}/none"]) <= size
     partitions = lambda: spark.conf.get(storage.INITIAL_PARTITIONS, None)
     split = lambda: int(spark.conf.get(storage.SPLIT_BYTES).rstrip("b"))

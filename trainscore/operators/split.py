@@ -68,9 +68,10 @@ def keyed_split(df: DataFrame, keys: Sequence[str], weights: Sequence[float], se
 
 
 def with_row_key(scan: DataFrame) -> DataFrame:
-    """The rows of a Parquet scan with the file and the row number each came from."""
+    """The rows of a Parquet scan with the file (hashed) and row number each came from."""
     file, row = ROW_KEY
-    return scan.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    place = F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)
+    return scan.select("*", *place)
 
 
 def row_split(df: DataFrame, weights: Sequence[float], seed: int = 0) -> Split:

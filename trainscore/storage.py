@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import io
+import logging
 import math
 import shutil
 import tempfile
@@ -18,8 +19,12 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
+log = logging.getLogger(__name__)
+
 PACKAGE = Path(__file__).resolve().parent
 
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
@@ -82,12 +87,19 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def stored_bytes(spark: SparkSession, paths: Sequence[str]) -> int:
-    """Size of the files under ``paths`` (globs allowed); 0 for what does not exist."""
+    """Size of the files under ``paths`` (globs allowed).
+
+    What does not exist, or is no path at all (a plugin may load from anywhere),
+    counts as nothing.
+    """
     total = 0
     for path in paths:
-        fs, target = _hadoop_path(spark, path)
-        for status in fs.globStatus(target) or ():
-            total += fs.getContentSummary(status.getPath()).getLength()
+        try:
+            fs, target = _hadoop_path(spark, path)
+            for status in fs.globStatus(target) or ():
+                total += fs.getContentSummary(status.getPath()).getLength()
+        except (Py4JJavaError, PySparkException) as err:
+            log.info("size of %s is not known: %s", path, err)
     return total
 
 
