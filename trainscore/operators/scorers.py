@@ -20,15 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.parse import FeatureColumns, apply_data_spec
-from ..plugins import ERROR_PREFIX, RESPONSE_SCHEMA, Parameter, Scorer, register_scorer
+from ..plugins import ERROR_PREFIX, Parameter, Scorer, import_class, register_scorer
 from ..spec import DataSpec, check_keys
 from ..storage import ship_package
 from .topn import top_items
 
 # The packages a saved model's class may come from.
 MODEL_PACKAGES = tuple(
-    f"{root}.{module}."
-    for root in ("org.apache.spark.ml", "pyspark.ml")
+    f"{root}.ml.{module}."
+    for root in ("org.apache.spark", "pyspark")
     for module in ("classification", "regression", "clustering", "recommendation")
 )
 
@@ -46,7 +46,7 @@ def load_ml_model(spark: SparkSession, path: str) -> Model:
     class_name = DefaultParamsReader.loadMetadata(path, spark)["class"]
     if not class_name.startswith(MODEL_PACKAGES):
         raise ValueError(f"Refusing to load {class_name}: not an MLlib model class")
-    return DefaultParamsReader.loadParamsInstance(path, spark)
+    return import_class(class_name.replace("org.apache.spark", "pyspark"), Model).load(path)
 
 
 def feature_count(model: Model) -> int | None:
@@ -68,7 +68,8 @@ def parse_requests(requests: DataFrame, schema: str) -> tuple[DataFrame, list[st
     with_corrupt = T.StructType([*record.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = requests.select("request_id", F.from_json("data", with_corrupt, options).alias("__r"))
     malformed = F.col("__r").isNull() | F.col(f"__r.{CORRUPT}").isNotNull()
-    return parsed.select("request_id", malformed.alias(CORRUPT), *[F.col(f"__r.`{n}`").alias(n) for n in names]), names
+    fields = [F.col(f"__r.`{n}`").alias(n) for n in names]
+    return parsed.select("request_id", malformed.alias(CORRUPT), *fields), names
 
 
 def _failure(reason: Column | str) -> Column:
@@ -116,6 +117,8 @@ class MLScorer(Scorer):
         What the model would fail on is found before it: such rows carry a row of
         zeros through the model and their reason beside it.
         """
+        if isinstance(self.model, ALSModel):
+            raise ValueError("an ALS model answers requests through the recommend scorer")
         if not self.request.features or not self.request.schema:
             raise ValueError("modelParameter must give schema and features of a request")
         parsed, _ = parse_requests(requests, self.request.schema)
@@ -123,7 +126,9 @@ class MLScorer(Scorer):
             parsed = parsed.withColumns({n: F.expr(sql) for n, sql in self.request.columns.items()})
         features = FeatureColumns(parsed, self.request.features)
         parsed = parsed.select("request_id", CORRUPT, *features.parts)
-        rows = parsed.select("request_id", CORRUPT, features.complete.alias("__complete"), features.values.alias("__values"))
+        rows = parsed.select(
+            "request_id", CORRUPT, features.complete.alias("__complete"), features.values.alias("__values")
+        )
 
         size = feature_count(self.model)
         reason = F.when(F.col(CORRUPT), _failure("malformed request")).when(
@@ -144,9 +149,7 @@ class MLScorer(Scorer):
         scored = self.model.transform(rows.select("request_id", REASON, array_to_vector(safe).alias("features")))
         fields = [F.col(c) for c in scored.columns if c == "prediction"]
         fields += [vector_to_array(o).alias(o) for o in self.outputs]
-        return scored.select(
-            "request_id", F.coalesce(REASON, F.to_json(F.struct(*fields))).alias("result")
-        )
+        return scored.select("request_id", F.coalesce(REASON, F.to_json(F.struct(*fields))).alias("result"))
 
     def unload(self) -> None:
         self.model = None
