@@ -14,7 +14,7 @@ from pyspark.ml.classification import NaiveBayes
 from pyspark.sql import functions as F
 
 from trainscore import run_batch, run_stream, run_train, start_stream
-from trainscore.__main__ import JOBS
+from trainscore.__main__ import JOBS, main
 from trainscore.operators.estimators import MLAlgorithm, find_estimator
 from trainscore.operators.scorers import MLScorer, PandasScorer, RecommendScorer, load_ml_model
 from trainscore.plugins import (
@@ -284,6 +284,14 @@ def test_batch_is_one_narrow_plan(spark, line, model_path):
     assert "Exchange" not in text and "ReadSchema: struct<id:bigint,x:double>" in text
 
 
+def test_answers_to_requests_stay_in_the_jvm(spark, model_path):
+    scorer = MLScorer()
+    scorer.load_model(spark, model_path)
+    requests = spark.range(10).selectExpr("id as request_id", "'{}' as data")
+    text = scorer.respond(requests)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Python" not in text and "Pandas" not in text
+
+
 def test_vector_outputs(spark, line, tmp_path):
     model = f"{tmp_path}/m"
     data = {"features": ["x"], "label": "case when x >= 100 then 1 else 0 end"}
@@ -582,6 +590,18 @@ def test_hot_order_is_split_in_the_rating_join(spark, tmp_path):
             spark.conf.set(k, v)
 
 
+def test_ml_scorer_and_als_model(spark, als, tmp_path):
+    scorer = MLScorer()
+    scorer.load_model(spark, als)
+    with pytest.raises(ValueError, match="recommend scorer"):
+        scorer.answer(spark, "{}")
+    spark.createDataFrame([(1, 2), (1, 999)], "u int, i int").write.parquet(f"{tmp_path}/t")
+    data = {"ratings": {"user": "u", "item": "i"}}
+    out = run_batch(spark, batch_job(f"{tmp_path}/t", als, f"{tmp_path}/r", dataParameter=data)).collect()
+    rating = {r.item: r.prediction for r in out}
+    assert np.isnan(rating[999]) and 0 < rating[2] < 10
+
+
 def test_recommender_needs_an_als_model(spark, model_path):
     with pytest.raises(ValueError, match="does not recommend"):
         RecommendScorer().load_model(spark, model_path)
@@ -602,6 +622,18 @@ def test_ratings_plugin_with_own_loader(spark):
     assert run_train(spark, job, Fixed(find_estimator("ALS"))).metrics.first().n == 3
 
 
+def test_estimator_with_own_parser(spark, line):
+    class Doubled(MLAlgorithm):
+        def parse(self, raw, data, source_type):
+            factor = data.values["factor"]
+            own = read_parameter({"features": [f"x * {factor}"], "label": "y"})
+            return super().parse(raw, own, source_type)
+
+    job = train_job(line, dataParameter={"factor": 2}, dataWeight=[0.5, 0.5])
+    result = run_train(spark, job, Doubled(find_estimator("LinearRegression")))
+    assert result.model.coefficients[0] == pytest.approx(1.5, abs=1e-6)
+
+
 def test_command_line(line, model_path, tmp_path):
     assert sorted(JOBS) == ["batch", "stream", "train"]
     settings = tmp_path / "job.json"
@@ -610,8 +642,8 @@ def test_command_line(line, model_path, tmp_path):
     done = subprocess.run(command, cwd=ROOT, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr
     assert (tmp_path / "r" / "_SUCCESS").exists()
-    wrong = subprocess.run([*command[:-1], '{"appName": "x"}'], cwd=ROOT, capture_output=True, text=True, timeout=300)
-    assert wrong.returncode != 0 and "Missing option" in wrong.stderr
+    with pytest.raises(ValueError, match="Missing option"):
+        main(["batch", '{"appName": "x"}'])
 
 
 def test_settings_are_checked_before_data_is_read(spark, line, model_path):

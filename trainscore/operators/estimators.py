@@ -86,8 +86,12 @@ class MLAlgorithm(Algorithm):
     def _estimator(self, params: Parameter) -> Estimator:
         return configure(self.estimator_class, {k: v for k, v in params.values.items() if k != ROC})
 
+    def _parses_as_usual(self) -> bool:
+        return type(self).parse is MLAlgorithm.parse
+
     def check(self, data: Parameter, params: Parameter) -> None:
-        DataSpec.parse(data.values)
+        if self._parses_as_usual():
+            DataSpec.parse(data.values)
         self._estimator(params)
         if params.values.get(ROC) and self.kind != "classification":
             raise ValueError(f"{ROC} needs a classifier, not {self.name}")
@@ -100,10 +104,10 @@ class MLAlgorithm(Algorithm):
 
     def keeps_row_key(self, data: Parameter) -> bool:
         """Whether each parsed row stands for one row of the source, read the usual way."""
-        cls = type(self)
+        if type(self).load is not Algorithm.load or not self._parses_as_usual():
+            return False
         spec = DataSpec.parse(data.values)
-        plain = cls.load is Algorithm.load and cls.parse is MLAlgorithm.parse
-        return plain and not spec.explode and not (spec.ratings or {}).get("aggregate")
+        return not spec.explode and not (spec.ratings or {}).get("aggregate")
 
     def train(self, rows: DataFrame, params: Parameter) -> Model:
         spark = rows.sparkSession
