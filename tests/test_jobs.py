@@ -622,6 +622,29 @@ def test_ratings_plugin_with_own_loader(spark):
     assert run_train(spark, job, Fixed(find_estimator("ALS"))).metrics.first().n == 3
 
 
+@pytest.mark.parametrize(
+    "name, params, data",
+    [
+        ("ALS", {"rank": 2, "seed": 1}, {"ratings": {"user": "id", "item": "id % 7", "rating": "y", "aggregate": True}}),
+        ("LDA", {"k": 2, "maxIter": 2, "seed": 1, "optimizer": "em"}, {"features": ["x", "1"]}),
+    ],
+)
+def test_distributed_models_do_not_need_the_training_rows(spark, line, tmp_path, name, params, data):
+    """What the model is made of can be computed again after the source is gone."""
+    source = f"{tmp_path}/t"
+    spark.read.parquet(line).write.parquet(source)
+    job = train_job(source, algoClass=name, algoParameter=params, dataParameter=data, dataWeight=[0.7, 0.3])
+    model = run_train(spark, job).model
+    for file in Path(source).glob("*"):
+        file.write_bytes(b"")
+    spark.catalog.clearCache()
+    for rdd in spark.sparkContext._jsc.getPersistentRDDs().values():
+        rdd.unpersist(True)
+    model.save(f"{tmp_path}/m")
+    if name == "ALS":
+        assert load_ml_model(spark, f"{tmp_path}/m").userFactors.count() > 0
+
+
 def test_estimator_with_own_parser(spark, line):
     class Doubled(MLAlgorithm):
         def parse(self, raw, data, source_type):

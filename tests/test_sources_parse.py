@@ -99,7 +99,9 @@ def test_scalar_features_carry_their_number(spark):
     assert parse(df, features=["a", "b"]).schema["features"].metadata == {"ml_attr": {"num_attrs": 2}}
 
 
-@pytest.mark.parametrize("bad", [(None, [1.0], "1"), (1.0, None, "1"), (1.0, [None], "1"), (1.0, [1.0], "x"), (1.0, [1.0], None)])
+@pytest.mark.parametrize(
+    "bad", [(None, [1.0], "1"), (1.0, None, "1"), (1.0, [None], "1"), (1.0, [1.0], "x"), (1.0, [1.0], None)]
+)
 def test_invalid_rows(spark, bad):
     df = spark.createDataFrame([(0.0, [2.0], "3"), bad], "a double, c array<double>, y string")
     data = {"features": ["a", "c"], "label": "y"}

@@ -19,13 +19,15 @@ from ..functions.metrics import (
 from ..functions.parse import apply_data_spec
 from ..plugins import Algorithm, Parameter
 from ..spec import DataSpec
-from ..storage import ensure_checkpoint_dir
+from ..storage import ensure_checkpoint_dir, fresh_path
 from .split import ROW_KEY
 
 ML_MODULES = (classification, regression, clustering, recommendation)
 
 MAX_ALS_BLOCKS = 2000
 
+DISTRIBUTED_MODELS = (recommendation.ALSModel, clustering.DistributedLDAModel)
+
 ROC = "areaUnderROC"
 
 
@@ -70,6 +72,18 @@ def als_blocks(spark: SparkSession) -> int:
     return max(1, min(spark.sparkContext.defaultParallelism, MAX_ALS_BLOCKS))
 
 
+def settled(spark: SparkSession, model: Model) -> Model:
+    """The model as written to the shared folder and read back.
+
+    Some models are data on the executors, computed from the training rows. If one
+    of those executors is lost after the job has dropped its split table or cache,
+    that data must not have to be computed again.
+    """
+    path = fresh_path(spark, "model")
+    model.save(path)
+    return type(model).load(path)
+
+
 class MLAlgorithm(Algorithm):
     """Fits one ``pyspark.ml`` estimator and verifies it by its kind's metrics.
 
@@ -119,7 +133,8 @@ class MLAlgorithm(Algorithm):
             for block in ("numUserBlocks", "numItemBlocks"):
                 if block not in params.values:
                     estimator.set(estimator.getParam(block), als_blocks(spark))
-        return estimator.fit(rows)
+        model = estimator.fit(rows)
+        return settled(spark, model) if isinstance(model, DISTRIBUTED_MODELS) else model
 
     def verify(self, rows: DataFrame, model: Any) -> DataFrame:
         if isinstance(model, clustering.LDAModel):
