@@ -76,15 +76,19 @@ class Words:
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of n consecutive words (none when there are fewer)."""
+    """Hashes of all runs of n consecutive words (none when there are fewer), by doubling."""
     count = len(hashes) - n + 1
     if count <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(count, np.uint64)
-    for i in range(n):
-        out = out * MIX_A + hashes[i : i + count]
-        out ^= out >> np.uint64(29)
-    return mixed(out)
+    base, length = int(MIX_A), 1
+    run = hashes
+    for bit in bin(n)[3:]:  # from the highest bit down: twice as long, and one word more
+        run = run[: len(run) - length] * np.uint64(pow(base, length, 1 << 64)) + run[length:]
+        length *= 2
+        if bit == "1":
+            run = run[:-1] * MIX_A + hashes[length:]
+            length += 1
+    return mixed(run)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
