@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, near_dedup, secret_scan, substring_dedup
+from . import bpe, langid, lm, near_dedup, secret_scan, substring_dedup
 from .words import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,8 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(documents(spark, sf_dir)).drop("kept")
+
+
+@query
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(documents(spark, sf_dir), WORD_BPE)
