@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, near_dedup, secret_scan, substring_dedup
-from .words import documents
+from . import ann, bpe, langid, lm, near_dedup, secret_scan, substring_dedup, topk
+from .words import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,3 +55,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(documents(spark, sf_dir), WORD_BPE)
+
+
+@query
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top(table(spark, sf_dir, "embeddings"), k=5, every=50)
