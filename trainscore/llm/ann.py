@@ -4,7 +4,7 @@ Vectors are lifted by one component so that all of a shard have one length; then
 inner product is the smallest angle. Each of ``TREES`` trees is a sorted array of
 ``BITS``-bit strings, the sides of random hyperplanes through the shard's mean. A query
 descends in each tree to its longest matching prefix; then all trees ascend together, a bit at
-a time, until the matches of that prefix length number ``WANTED`` in all (or all rows).
+a time, until the matches of that prefix length are ``WANTED`` times the shard's rows.
 These are scored exactly, in double precision, on the original vectors.
 
 Measured recall and how rows without a usable vector are treated: README and ``vectors``.
@@ -22,7 +22,7 @@ from .vectors import best, blank, meeting, ranked, shards_and_blocks
 TREES, BITS = 16, 64
 SHARD_ROWS = 8192
 BLOCK_ROWS = 1024
-WANTED = 8192  # matches over all trees for a query and shard, before doubles are merged
+WANTED = 1.5  # matches over all trees, as a share of the shard's rows, before doubles are merged
 
 
 class Forest:
@@ -57,7 +57,7 @@ class Forest:
             last = first | np.uint64((1 << (BITS - length)) - 1)
             a = np.stack([np.searchsorted(self.sorted[t], first[t], "left") for t in range(TREES)])
             b = np.stack([np.searchsorted(self.sorted[t], last[t], "right") for t in range(TREES)])
-            enough = (b - a).sum(axis=0) >= min(WANTED, len(self.ids))
+            enough = (b - a).sum(axis=0) >= WANTED * len(self.ids)
             low[:, going[enough]], high[:, going[enough]] = a[:, enough], b[:, enough]
             going = going[~enough]
         return low, high

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, lm, near_dedup, secret_scan, substring_dedup, topk
+from . import ann, bpe, langid, line_dedup, lm, near_dedup, secret_scan, substring_dedup, topk
 from .words import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +65,43 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, dropped, left = line_dedup.without_recurring(documents(spark, sf_dir))
+    return rows.select("doc_id", F.col(dropped).alias("n_dropped"), F.sha2(F.coalesce(left, F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLES["op1_line_dedup"] = r"""
+WITH raw AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
+  FROM documents WHERE text IS NOT NULL
+), spaced AS (
+  SELECT doc_id, text, line, place, string_split(trim(regexp_replace(line, '[ \t\r\x0B\f]+', ' ', 'g')), ' ') AS words FROM raw
+), hidden AS (
+  SELECT doc_id, text, line, place, list_transform(words, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS tokens FROM spaced
+), each AS (
+  SELECT *, array_to_string(tokens, ' ') AS masked, array_to_string(list_slice(tokens, 1, 3), ' ') AS head, len(tokens) AS size,
+    replace(replace(array_to_string(tokens, ' '), '<*>', ''), ' ', '') <> '' AS constant FROM hidden
+), counts AS (
+  SELECT size, head, masked, any_value(tokens) AS tokens, count(DISTINCT (doc_id, text)) AS n FROM each WHERE constant GROUP BY ALL
+), general AS (
+  SELECT size, head, masked AS template, tokens AS shape FROM counts
+  QUALIFY row_number() OVER (PARTITION BY size, head ORDER BY n DESC, md5(masked)) = 1
+), belongs AS (
+  SELECT c.masked,
+    CASE WHEN len(list_filter(list_zip(c.tokens, g.shape), lambda z: z[1] = z[2])) >= 0.8 * c.size THEN g.template ELSE c.masked END AS template
+  FROM counts c JOIN general g ON c.size = g.size AND c.head = g.head
+), owned AS (
+  SELECT e.*, b.template FROM each e LEFT JOIN belongs b ON e.constant AND e.masked = b.masked
+), recurring AS (
+  SELECT template, min(doc_id) AS first FROM owned WHERE template IS NOT NULL GROUP BY template HAVING count(DISTINCT (doc_id, text)) >= 5
+), judged AS (
+  SELECT o.doc_id, o.text, o.line, o.place, r.template IS NOT NULL AND o.doc_id <> r.first AS gone FROM owned o LEFT JOIN recurring r ON o.template = r.template
+), kept AS (
+  SELECT doc_id, text, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone) AS kept FROM judged GROUP BY doc_id, text
+)
+SELECT d.doc_id, coalesce(k.n_dropped, 0) AS n_dropped, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id AND d.text = k.text
+"""
