@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, line_dedup, lm, near_dedup, secret_scan, substring_dedup, topk
+from . import ann, bpe, langid, line_dedup, lm, near_dedup, packing, secret_scan, substring_dedup, topk
 from .words import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,8 @@ WITH raw AS (
 SELECT d.doc_id, coalesce(k.n_dropped, 0) AS n_dropped, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id AND d.text = k.text
 """
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), WORD_BPE)
