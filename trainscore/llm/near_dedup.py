@@ -19,7 +19,7 @@ million links, for 0.8 one in a hundred thousand.
 
 Empty and null texts have an empty set and are linked with nothing. Repeated rows are copies of each other.
 A null id counts as larger than any other; a row without an id in a component of such rows
-alone has a null component and is kept. Other columns are not read.
+alone has a null component and is kept. Other columns are not read, or pass through.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import Scratch, connected
@@ -239,43 +239,63 @@ def links(members: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """Each row's id with ``n_shingles``, ``component_id`` (least id reachable over links) and ``kept``.
-
-    Rows are linked when 100 * intersection >= percent * union of their sets of distinct
-    shingles of n words (A-Z lower-cased; a shorter text is one shingle).
-    """
+def components(docs: DataFrame, n: int, percent: int, text: str, id_column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows ``id, key, n, class`` and, for each class, its component's ``first``: no id or not, least id, its key."""
     scratch = Scratch(docs.sparkSession)
-    # A row is found again by its id, or by its text where it has none.
-    key = F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("text "), F.xxhash64(whole(text)).cast("string"))).alias("key")
-    rows = docs.select(F.col(id_column).alias("id"), key, whole(text).alias("text"))
+    rows = docs.select(F.col(id_column).alias("id"), row_key(id_column, text).alias("key"), whole(text).alias("text"))
     signs = scratch.keep(signed(rows, n), "signatures")
-    one = signs.filter("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.min("key").alias("key"), F.first("sig").alias("sig"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    one = signs.filter("class is not null").groupBy("class").agg(first, F.first("sig").alias("sig"))
     classes = scratch.keep(one, "classes")
     found = scratch.keep(regions(classes, percent / 100), "forest")
     region = scratch.keep(connected(scratch, found.filter("end is null").select("a", "b").unionByName(across(found))), "regions")
     # The sets of the classes in regions, made again from the text of one row of each.
-    wanted = region.join(classes.select(F.col("class").alias("node"), "key"), "node").select("key", "node", F.col("root").alias("region"))
-    sources = wanted.groupBy("key").agg(F.collect_set(F.struct("node", "region")).alias("classes")).join(rows.select("key", "text"), "key").select("classes", "text")
+    wanted = region.join(classes.select(F.col("class").alias("node"), "first.key"), "node").select("key", "node", F.col("root").alias("region"))
+    sources = wanted.join(rows.select("key", "text"), "key")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows_in in batches:
             for batch in bounded(rows_in):
-                out = []
-                for shingles, classes in zip(shingle_sets(column(batch, "text"), n), column(batch, "classes").to_pylist(), strict=True):
-                    name = class_of(shingles)
-                    out += [(c["region"], name, len(shingles), shingles.tobytes()) for c in classes if c["node"] == name]
-                kinds = (pa.binary(), pa.binary(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=["region", "class", "n", "set"])
+                out = shingle_sets(column(batch, "text"), n)
+                made = [column(batch, "region"), column(batch, "node"), pa.array([len(s) for s in out], pa.int64()), pa.array([s.tobytes() for s in out], pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, names=["region", "class", "n", "set"])
 
     members = sources.mapInArrow(sets, "region binary, class binary, n long, set binary").dropDuplicates(["region", "class"])
     members = scratch.keep(members, "sets")
     root = scratch.keep(connected(scratch, links(members, percent)), "components")
     scratch.drop(members, found, region)
-    place = classes.join(root.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "id", F.coalesce("root", "class").alias("root"))
-    least = place.groupBy("root").agg(F.min("id").alias("component_id"))
-    place = place.join(least, "root").select("class", "component_id")
+    place = classes.join(root.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "first", F.coalesce("root", "class").alias("root"))
+    least = place.groupBy("root").agg(F.min("first").alias("first"))
+    return signs.drop("sig"), place.select("class", "root").join(least, "root").select("class", "first")
+
+
+def row_key(id_column: str, text: str) -> Column:
+    """What a row is found again by: its id and a hash of its text."""
+    return F.concat_ws(" ", F.col(id_column).cast("string"), F.xxhash64(whole(text)).cast("string"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """Each row's id with ``n_shingles``, ``component_id`` (least id reachable over links) and ``kept``.
+
+    Rows are linked when 100 * intersection >= percent * union of their sets of distinct
+    shingles of n words (A-Z lower-cased; a shorter text is one shingle).
+    """
+    signs, place = components(docs, n, percent, text, id_column)
     result = signs.select("id", F.col("n").alias("n_shingles"), "class").join(place, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+    component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id")
     result = result.select("id", "n_shingles", component)
     return result.select(F.col("id").alias(id_column), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """The rows of all columns that stay: one of each component, and all with an empty set.
+
+    The row of least id stays, of several with that id the one of least key; of rows alike in both, one.
+    """
+    signs, place = components(docs, n, percent, text, id_column)
+    keys = place.select("first.key").unionByName(signs.filter("class is null").select("key")).distinct()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(id_column, text).alias("key"))
+    kept = packed.join(keys, "key", "left_semi")
+    empty = F.trim(F.regexp_replace(F.coalesce(F.col(f"row.`{text}`").cast("string"), F.lit("")), r"[ \t\n\r\x0B\f]+", " ")) == ""
+    some = kept.filter(~empty).groupBy("key").agg(F.first("row").alias("row")).select("row")
+    return some.unionByName(kept.filter(empty).select("row")).select("row.*")
