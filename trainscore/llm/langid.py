@@ -34,7 +34,7 @@ BUCKETS = 1 << 13
 PER_LANGUAGE = 400
 CENTROIDS = 3
 ROUNDS = 10
-SLACK = 0.5  # of the least cosine that a training text has with its own language
+SLACK = 0.2  # of the least cosine that a training text has with its own language
 UNKNOWN = "und"
 
 
