@@ -82,7 +82,7 @@ def repeating(rows: DataFrame, hashes: str) -> DataFrame:
 def without_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Each row's id with ``n_words, n_removed, kept_sha256`` and ``kept``, the words left joined by one space (null: all)."""
     scratch = Scratch(docs.sparkSession)
-    key = F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("text "), F.xxhash64(whole(text)).cast("string"))).alias("key")
+    key = F.concat_ws(" ", F.col(id_column).cast("string"), F.xxhash64(whole(text)).cast("string")).alias("key")
     rows = docs.select(F.col(id_column).alias("id"), key, whole(text).alias("text"))
     levels = lengths(window, first)
     kind = rows.schema["id"].dataType.simpleString()
@@ -113,7 +113,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, t
         if "text" in alive.columns:
             source = alive.drop("hashes").join(found, "cid")
         else:
-            source = alive.drop("hashes").join(found, "cid").join(rows.select("key", "text"), "key").dropDuplicates(["content"])
+            # Several rows under a key are copies: their content is removed whole, however often it is counted.
+            source = alive.drop("hashes").join(found, "cid").join(rows.select("key", "text"), "key")
 
         def extended(batches: Iterable[pa.RecordBatch], length: int = length, longer: int = longer) -> Iterator[pa.RecordBatch]:
             """The windows whose chosen sub-window repeats, by what they choose at the next length."""
