@@ -106,6 +106,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, t
     contents = all_rows.filter(F.col("n_words") >= window).groupBy("content").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("hashes").alias("hashes"))
     contents = contents.select(cid, "content", "key", "copies", "hashes")
     alive = scratch.keep(contents, "windows")
+    described_rows, all_rows = all_rows, scratch.keep(all_rows.drop("hashes"), "contents")
+    scratch.drop(described_rows)
     for level, length in enumerate(levels[:-1]):
         longer = levels[level + 1]
         found = repeating(alive, "hashes")
