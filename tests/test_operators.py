@@ -159,11 +159,51 @@ def test_predictions_round_trip(spark, tmp_path, fmt):
 def test_indicator_is_one_replaced_file(spark, tmp_path):
     path = f"{tmp_path}/metrics"
     for n in (1, 2):
-        save_indicator(spark.createDataFrame([(n,)], "n int"), path)
+        save_indicator(spark.createDataFrame([(n,)], "n int").coalesce(1), spark, path)
     parts = list(Path(path).glob("part-*"))
     assert len(parts) == 1 and parts[0].read_text().strip() == '{"n":2}'
 
 
+def test_csv_and_json_give_back_what_was_written(spark, tmp_path):
+    texts = ["", None, 'a "quoted", text', "two\nlines\r\n", "  outer ", "\\n", "x,y", '"', "NULL"]
+    rows = [(i, t, x) for i, (t, x) in enumerate(zip(texts, [0.5, None, float("inf"), 1e-300, 2.0, 3.0, 4.0, 5.0, 6.0]))]
+    df = spark.createDataFrame(rows, "i int, t string, x double")
+    for fmt in ("csv", "json"):
+        assert sorted(map(tuple, save_predictions(df, f"{tmp_path}/{fmt}", fmt).collect())) == rows
+    nan = save_predictions(spark.createDataFrame([(float("nan"),)], "x double"), f"{tmp_path}/nan", "json")
+    assert math.isnan(nan.first()["x"])
+
+
+def test_ties_at_the_last_place_go_to_the_smaller_item(spark):
+    user = spark.createDataFrame([(1, [1.0, 0.0])], "id int, features array<float>")
+    items = [(-2_000_000_000, [1.0, 0.0]), (5, [1.0, 3.0]), (2_000_000_000, [1.0, 1.0]), (7, [2.0, 0.0])]
+    for order in (items, items[::-1]):
+        frame = spark.createDataFrame(order, "id int, features array<float>").coalesce(1)
+        got = topn.top_items(user, frame, 2, 1, 3).first()["recommendations"]
+        assert [r.item for r in got] == [7, -2_000_000_000]
+
+
+def test_own_model_is_overwritten_whole(spark, tmp_path):
+    class Text:
+        def __init__(self, text):
+            self.text = text
+
+        def save(self, spark, path):
+            Path(path).mkdir()
+            Path(path, "m").write_text(self.text)
+
+    path = tmp_path / "model"
+    save_model(spark, Text("one"), str(path))
+    save_model(spark, Text("two"), str(path), overwrite=True)
+    assert (path / "m").read_text() == "two" and [p.name for p in tmp_path.iterdir()] == ["model"]
+
+
+def test_metrics_of_nothing(spark):
+    empty = spark.createDataFrame([], "label double, prediction double, rawPrediction double")
+    assert classification_metrics(empty).first()["n"] == 0
+    assert area_under_roc(empty).first()["area_under_roc"] is None
+
+
 def test_model_without_save_is_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="no save"):
         save_model(spark, object(), f"{tmp_path}/m")
@@ -207,8 +247,6 @@ def test_sizes_follow_the_source(spark, tmp_path, monkeypatch):
 @pytest.mark.parametrize("per_block", [(32_768, 32_768), (10, 7), (3, 100)])
 def test_top_items_against_brute_force(spark, monkeypatch, per_block):
     monkeypatch.setattr(topn, "USERS_PER_BLOCK", per_block[0])
-    monkeypatch.setattr(topn, "ITEMS_PER_BLOCK", per_block[1])
-    monkeypatch.setattr(topn, "MAX_TASKS", 16)
     rng = np.random.default_rng(1)
     users, items = rng.normal(size=(37, 5)).astype(np.float32), rng.normal(size=(23, 5)).astype(np.float32)
     frame = lambda m: spark.createDataFrame(
@@ -216,7 +254,7 @@ def test_top_items_against_brute_force(spark, monkeypatch, per_block):
     )
     got = {
         r.user: [(x.item, x.rating) for x in r.recommendations]
-        for r in topn.top_items(frame(users), frame(items), 4, len(users), len(items)).collect()
+        for r in topn.top_items(frame(users), frame(items), 4, len(users), per_block[1]).collect()
     }
     scores = users @ items.T
     assert len(got) == len(users)
@@ -228,4 +266,4 @@ def test_top_items_against_brute_force(spark, monkeypatch, per_block):
 
 def test_top_items_with_fewer_items_than_asked(spark):
     user, item = (spark.createDataFrame([(1, [1.0, 2.0])], "id int, features array<float>") for _ in range(2))
-    assert topn.top_items(user, item, 10, 1, 1).select(F.size("recommendations")).collect() == [(1,)]
+    assert topn.top_items(user, item, 10, 1).select(F.size("recommendations")).collect() == [(1,)]

@@ -79,7 +79,7 @@ def test_object_needs_schema_and_keeps_it_when_empty(spark, tmp_path):
 
 
 def test_delimiter_is_taken_literally(spark):
-    df = spark.createDataFrame([("1||x",), ("2||",), ("bad||y",)], "value string")
+    df = spark.createDataFrame([("1||x",), ("2||",), ("||y",)], "value string")
     rows = parse(df, "TEXT", schema="n int, s string", delimiter="||").collect()
     assert [tuple(r) for r in rows] == [(1, "x"), (2, ""), (None, "y")]
 
@@ -146,3 +146,52 @@ def test_summed_ratings_combine_before_the_shuffle(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_sum") > plan.index("Exchange hashpartitioning")
     assert sorted(map(tuple, rows.collect())) == [(7, 0, 10000.0), (7, 1, 10000.0), (7, 2, 10000.0)]
+
+
+BROKEN = {"bad cell": "3|bad", "bad key": "x|3.5", "short": "4", "long": "5|6|7", "nan": "5|NaN", "infinite": "5|1e400"}
+
+
+@pytest.mark.parametrize("way", BROKEN)
+@pytest.mark.parametrize("condition", [None, "b > 0"])
+def test_malformed_lines_fail_or_are_left_out(spark, way, condition):
+    raw = spark.createDataFrame([("1|2.5",), (BROKEN[way],), ("2|",)], "value string")
+    setting = {"schema": "a bigint, b double", "delimiter": "|", "keep": ["a"], **({"filter": condition} if condition else {})}
+    with pytest.raises(Exception, match="malformed record"):
+        apply_data_spec(raw, DataSpec.parse(setting), "TEXT").collect()
+    left = apply_data_spec(raw, DataSpec.parse({**setting, "onInvalid": "skip"}), "TEXT")
+    assert sorted(r.a for r in left.collect()) == ([1] if condition else [1, 2])
+
+
+@pytest.mark.parametrize("cell", ["bad,3", "1,2,3", "1"])
+@pytest.mark.parametrize("condition", ["true", "a > 0"])
+def test_malformed_csv_fails(spark, tmp_path, cell, condition):
+    (tmp_path / "t.csv").write_text(f"a,b\n1,2\n{cell}\n")
+    source = {"source": str(tmp_path), "type": "csv", "schema": "a int, b int"}
+    with pytest.raises(Exception, match="(?i)malformed"):
+        load_source(spark, source).where(condition).collect()
+    assert load_source(spark, {**source, "options": {"mode": "DROPMALFORMED"}}).where(condition).collect() == [(1, 2)]
+
+
+def test_nan_is_no_feature_label_or_rating(spark):
+    rows = spark.createDataFrame([(1.0, [1.0]), (float("nan"), [1.0]), (1.0, [float("inf")])], "y double, x array<double>")
+    setting = {"label": "y", "features": ["x"], "onInvalid": "skip"}
+    assert apply_data_spec(rows, DataSpec.parse(setting)).count() == 1
+    ratings = {"ratings": {"user": "1", "item": "1", "rating": "y"}, "onInvalid": "skip"}
+    assert apply_data_spec(rows, DataSpec.parse(ratings)).count() == 2
+
+
+def test_pairs_become_rows_in_the_jvm(spark, tmp_path):
+    spark.sparkContext.parallelize([(1, "a"), (2, "b")]).saveAsSequenceFile(f"{tmp_path}/s")
+    rows = load_source(spark, {"source": f"{tmp_path}/s", "type": "sequence"})
+    assert sorted(rows.collect()) == [(1, "a"), (2, "b")]
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "k").write_text("a\tb\tc\nno tab\n\t\n")
+    form = "org.apache.hadoop.mapred.KeyValueTextInputFormat"
+    pairs = load_source(spark, {"source": f"{tmp_path}/k", "type": "hadoop", "inputFormat": form})
+    assert sorted(pairs.collect()) == [("", ""), ("a", "b\tc"), ("no tab", "")]
+
+
+def test_braces_hold_a_path_together(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.txt").write_text(name)
+    assert sorted(r.value for r in load_source(spark, {"source": f"{tmp_path}/{{a,b}}.txt", "type": "text"}).collect()) == ["a", "b"]

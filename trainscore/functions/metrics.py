@@ -7,6 +7,7 @@ depends on the number of classes (or distinct scores), not on the number of rows
 from __future__ import annotations
 
 from pyspark.ml.clustering import LDAModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
         return (F.sum(F.col(name) * F.col("n_actual")) / F.sum("n_actual")).alias(name)
 
     return classification_by_class(df, label, prediction).agg(
-        F.sum("n_actual").alias("n"),
+        F.coalesce(F.sum("n_actual"), F.lit(0)).alias("n"),
         (F.sum("n_correct") / F.sum("n_actual")).alias("accuracy"),
         weighted("precision"),
         weighted("recall"),
@@ -78,14 +79,15 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
 
 
 def area_under_roc(df: DataFrame, label: str = "label", score: str = "rawPrediction") -> DataFrame:
-    """One row ``area_under_roc``, exact also for tied scores.
+    """One row ``area_under_roc``, exact also for tied scores; null without rows.
 
     The evaluator groups equal scores map-side and range-partitions the distinct
     ones; ``numBins=0`` keeps every one of them instead of approximating.
     """
     evaluator = BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label, numBins=0)
     scored = df.select(F.col(score), F.col(label).cast("double").alias(label))
-    return df.sparkSession.createDataFrame([(float(evaluator.evaluate(scored)),)], "area_under_roc double")
+    auc = None if scored.isEmpty() else float(evaluator.evaluate(scored))
+    return df.sparkSession.createDataFrame([(auc,)], "area_under_roc double")
 
 
 def clustering_metrics(df: DataFrame, features: str = "features", prediction: str = "prediction") -> DataFrame:
@@ -102,5 +104,10 @@ def clustering_metrics(df: DataFrame, features: str = "features", prediction: st
 
 def topic_metrics(df: DataFrame, model: LDAModel) -> DataFrame:
     """One row ``n, log_likelihood, log_perplexity`` of a topic model."""
-    row = (df.count(), float(model.logLikelihood(df)), float(model.logPerplexity(df)))
+    # The perplexity's logarithm is the bound per token, so one pass over the topics serves both.
+    column = model.getFeaturesCol()
+    tokens = F.aggregate(vector_to_array(column), F.lit(0.0), lambda s, x: s + x)
+    n, total = df.agg(F.count(F.lit(1)), F.sum(tokens)).first()
+    bound = float(model.logLikelihood(df)) if n else None
+    row = (n, bound, -bound / total if total else None)
     return df.sparkSession.createDataFrame([row], "n bigint, log_likelihood double, log_perplexity double")

@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 
 from ..spec import DataSpec
 
+VALID = "__valid"
+
 # The text column each source type delivers.
 RAW_COLUMN = {
     "TEXT": "value",
@@ -53,8 +55,17 @@ def parse_records(df: DataFrame, data: DataSpec, source_type: str) -> DataFrame:
 
     if data.delimiter is not None:
         parts = F.split(text, _literal_regex(data.delimiter), -1)
-        fields = [F.get(parts, F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(record)]
-        return df.select(*[_quoted(c) for c in others], *fields)
+        cells = [F.get(parts, F.lit(i)) for i in range(len(record))]
+        fields = [cell.try_cast(f.dataType) for cell, f in zip(cells, record, strict=True)]
+        # An empty cell is a missing value; any other text must have the field's type.
+        tests = [F.size(parts) == len(record)]
+        for cell, fld, f in zip(cells, fields, record, strict=True):
+            if not isinstance(f.dataType, T.StringType):
+                tests.append(F.coalesce(cell == "", F.lit(True)) | _usable(fld, f.dataType))
+        valid = F.coalesce(_all_of(tests), F.lit(False))
+        named = [fld.alias(f.name) for fld, f in zip(fields, record, strict=True)]
+        checked = df.select(*[_quoted(c) for c in others], *named, valid.alias(VALID))
+        return _only_valid(checked, data.onInvalid, "malformed record")
 
     # FAILFAST makes a malformed document an error instead of a silent null.
     mode = {"mode": "FAILFAST" if data.onInvalid == "error" else "PERMISSIVE"}
@@ -66,6 +77,42 @@ def parse_records(df: DataFrame, data: DataSpec, source_type: str) -> DataFrame:
     return parsed.select(*[_quoted(c) for c in others], "__record.*")
 
 
+def _finite(value: Column) -> Column:
+    return ~F.isnan(value) & (F.abs(value) < float("inf"))
+
+
+def _usable(value: Column, kind: T.DataType) -> Column:
+    """Not null and, where it is a floating-point number, finite."""
+    fractional = isinstance(kind, (T.DoubleType, T.FloatType))
+    return value.isNotNull() & _finite(value) if fractional else value.isNotNull()
+
+
+def _only_valid(df: DataFrame, on_invalid: str, what: str) -> DataFrame:
+    """Drop rows that are not ``__valid`` (``skip``), or fail on the first one (``error``).
+
+    The verdict on a failing row must come before any later filter. A projection
+    with an expression that is not deterministic is evaluated for each row, and no
+    filter is pushed below it.
+    """
+    if on_invalid == "skip":
+        return df.where(VALID).drop(VALID)
+    always = F.monotonically_increasing_id() >= 0
+    passed = F.when(F.col(VALID), always).otherwise(F.raise_error(F.lit(what)).cast("boolean"))
+    return df.withColumn(VALID, passed).where(VALID).drop(VALID)
+
+
+def finite_cells(df: DataFrame, on_invalid: str) -> DataFrame:
+    """Rows of a typed CSV whose floating-point cells are numbers: NaN and infinity are not."""
+    tests = [
+        F.coalesce(_finite(F.col(_quoted(f.name))), F.lit(True))
+        for f in df.schema.fields
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+    ]
+    if not tests:
+        return df
+    return _only_valid(df.withColumn(VALID, _all_of(tests)), on_invalid, "NaN or infinity in a CSV cell")
+
+
 def _literal_regex(delimiter: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() and not ch.isspace() else ch for ch in delimiter)
 
@@ -74,7 +121,7 @@ class FeatureColumns:
     """Feature expressions, each a number, an array of numbers or an ML vector.
 
     ``parts`` are the typed columns to select under their names; ``values`` joins
-    them to one ``array<double>`` and ``complete`` says that none of it is null.
+    them to one ``array<double>`` and ``complete`` says that all of it is finite numbers.
     Scalars are tested one by one, which stays inside generated code.
     """
 
@@ -90,6 +137,7 @@ class FeatureColumns:
             tests.append(F.col(name).isNotNull())
             if not isinstance(kind, (VectorUDT, T.ArrayType)):
                 self.parts.append(column.try_cast("double").alias(name))
+                tests.append(_finite(F.col(name)))
                 scalars.append(name)
                 continue
             if scalars:
@@ -100,7 +148,7 @@ class FeatureColumns:
                 self.parts.append(F.when(column.isNotNull(), vector_to_array(column)).alias(name))
             else:
                 self.parts.append(column.try_cast("array<double>").alias(name))
-                tests.append(~F.exists(name, lambda v: v.isNull()))
+            tests.append(F.forall(name, lambda v: F.coalesce(_finite(v), F.lit(False))))
         if scalars:
             arrays.append(F.array(*scalars))
         self.values = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
@@ -133,7 +181,7 @@ def _labeled(df: DataFrame, data: DataSpec, with_label: bool) -> DataFrame:
 
     valid = features.complete
     if with_label:
-        valid = valid & F.col("label").isNotNull()
+        valid = valid & F.coalesce(_finite(F.col("label")), F.lit(False))
     others = [*keep, *(["label"] if with_label else [])]
     rows = picked.select(*others, features.values.alias("__features"), valid.alias("__valid"))
     rows = _check_rows(rows, data.onInvalid, "null or non-numeric feature or label", "__features")
@@ -157,7 +205,10 @@ def _ratings(df: DataFrame, data: DataSpec, with_label: bool) -> DataFrame:
     picked = df.select(*keep, *columns)
 
     inputs = ["user", "item", *(["rating"] if with_rating else [])]
-    valid = _all_of([F.col(c).isNotNull() for c in inputs]).alias("__valid")
+    tests = [F.col(c).isNotNull() for c in inputs]
+    if with_rating:
+        tests.append(F.coalesce(_finite(F.col("rating")), F.lit(False)))
+    valid = _all_of(tests).alias("__valid")
     checked = _check_rows(
         picked.select("*", valid), data.onInvalid, "null or non-integer user, item or rating", "user"
     )
@@ -174,6 +225,8 @@ def apply_data_spec(
     """Raw rows -> model input. ``with_label=False`` is the scoring side."""
     if data.schema:
         df = parse_records(df, data, source_type)
+    elif source_type == "CSV":
+        df = finite_cells(df, data.onInvalid)
     if data.columns:
         df = df.withColumns({name: F.expr(sql) for name, sql in data.columns.items()})
     if data.filter:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import math
 from dataclasses import replace
 from typing import Any
 
+from py4j.protocol import Py4JError
 from pyspark.ml import Estimator, Model, classification, clustering, recommendation, regression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +22,12 @@ from ..functions.metrics import (
 from ..functions.parse import apply_data_spec
 from ..plugins import Algorithm, Parameter
 from ..spec import DataSpec
-from ..storage import ensure_checkpoint_dir, fresh_path
+from ..storage import delete_path, ensure_checkpoint_dir, fresh_path
 from .split import ROW_KEY
 
 ML_MODULES = (classification, regression, clustering, recommendation)
 
-MAX_ALS_BLOCKS = 2000
+RATINGS_PER_BLOCK_PAIR = 25_000
 
 DISTRIBUTED_MODELS = (recommendation.ALSModel, clustering.DistributedLDAModel)
 
@@ -67,9 +70,12 @@ def _typed(estimator: Estimator, name: str, value: Any) -> Any:
     return estimator.getParam(name).typeConverter(value)
 
 
-def als_blocks(spark: SparkSession) -> int:
-    """Factor blocks that follow the cluster instead of the fixed default of 10."""
-    return max(1, min(spark.sparkContext.defaultParallelism, MAX_ALS_BLOCKS))
+def als_blocks(n_ratings: int) -> int:
+    """Factor blocks that follow the data: the same model on every cluster.
+
+    Users and items are cut into so many blocks each, and ratings into pairs of blocks.
+    """
+    return max(1, math.ceil(math.sqrt(n_ratings / RATINGS_PER_BLOCK_PAIR)))
 
 
 def settled(spark: SparkSession, model: Model) -> Model:
@@ -77,13 +83,21 @@ def settled(spark: SparkSession, model: Model) -> Model:
 
     Some models are data on the executors, computed from the training rows. If one
     of those executors is lost after the job has dropped its split table or cache,
-    that data must not have to be computed again.
+    that data must not have to be computed again. The copy goes when the driver ends.
     """
     path = fresh_path(spark, "model")
     model.save(path)
+    atexit.register(_forget, spark, path)
     return type(model).load(path)
 
 
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        delete_path(spark, path)
+    except (Py4JError, OSError, AttributeError):
+        pass  # the session is gone
+
+
 class MLAlgorithm(Algorithm):
     """Fits one ``pyspark.ml`` estimator and verifies it by its kind's metrics.
 
@@ -130,11 +144,11 @@ class MLAlgorithm(Algorithm):
         if estimator.hasParam("checkpointInterval"):
             ensure_checkpoint_dir(spark)
         if isinstance(estimator, recommendation.ALS):
-            for block in ("numUserBlocks", "numItemBlocks"):
-                if block not in params.values:
-                    estimator.set(estimator.getParam(block), als_blocks(spark))
-        model = estimator.fit(rows)
-        return settled(spark, model) if isinstance(model, DISTRIBUTED_MODELS) else model
+            free = [b for b in ("numUserBlocks", "numItemBlocks") if b not in params.values]
+            blocks = als_blocks(rows.count()) if free else 0
+            for block in free:
+                estimator.set(estimator.getParam(block), blocks)
+        return estimator.fit(rows)
 
     def verify(self, rows: DataFrame, model: Any) -> DataFrame:
         if isinstance(model, clustering.LDAModel):

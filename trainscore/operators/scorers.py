@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pickle
+import uuid
 from abc import abstractmethod
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.classification import OneVsRestModel
 from pyspark.ml.clustering import LDAModel
@@ -23,7 +25,7 @@ from ..functions.parse import FeatureColumns, apply_data_spec
 from ..plugins import ERROR_PREFIX, Parameter, Scorer, import_class, register_scorer
 from ..spec import DataSpec, check_keys
 from ..storage import ship_package
-from .topn import top_items
+from .topn import ITEMS_PER_PACK, packs, top_items
 
 # The packages a saved model's class may come from.
 MODEL_PACKAGES = tuple(
@@ -35,8 +37,10 @@ MODEL_PACKAGES = tuple(
 # The request a model answers when no other shape is described.
 DEFAULT_REQUEST = {"schema": "data array<double>", "features": ["data"]}
 
-MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+# In a worker process: the state that ``load_in_task`` has loaded.
+_states: dict[tuple, Any] = {}
 
+ANSI = "spark.sql.ansi.enabled"
 CORRUPT = "__corrupt"
 REASON = "__reason"
 
@@ -72,6 +76,20 @@ def parse_requests(requests: DataFrame, schema: str) -> tuple[DataFrame, list[st
     return parsed.select("request_id", malformed.alias(CORRUPT), *fields), names
 
 
+@contextmanager
+def lenient_casts(spark: SparkSession) -> Iterator[None]:
+    """Expressions built here give null where a cast or a division fails.
+
+    Whether an expression raises is fixed when it is built, so the setting need not last until it runs.
+    """
+    before = spark.conf.get(ANSI)
+    spark.conf.set(ANSI, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(ANSI, before)
+
+
 def _failure(reason: Column | str) -> Column:
     return F.concat(F.lit(ERROR_PREFIX), F.lit(reason) if isinstance(reason, str) else reason)
 
@@ -122,10 +140,11 @@ class MLScorer(Scorer):
         if not self.request.features or not self.request.schema:
             raise ValueError("modelParameter must give schema and features of a request")
         parsed, _ = parse_requests(requests, self.request.schema)
-        if self.request.columns:
-            parsed = parsed.withColumns({n: F.expr(sql) for n, sql in self.request.columns.items()})
-        features = FeatureColumns(parsed, self.request.features)
-        parsed = parsed.select("request_id", CORRUPT, *features.parts)
+        with lenient_casts(requests.sparkSession):
+            if self.request.columns:
+                parsed = parsed.withColumns({n: F.expr(sql) for n, sql in self.request.columns.items()})
+            features = FeatureColumns(parsed, self.request.features)
+            parsed = parsed.select("request_id", CORRUPT, *features.parts)
         rows = parsed.select(
             "request_id", CORRUPT, features.complete.alias("__complete"), features.values.alias("__values")
         )
@@ -174,6 +193,7 @@ class RecommendScorer(Scorer):
         if self.num_items < 1:
             raise ValueError("numItems must be positive")
         self.model: ALSModel | None = None
+        self.items: DataFrame | None = None
 
     def load_model(self, spark: SparkSession, path: str) -> None:
         model = load_ml_model(spark, path)
@@ -181,7 +201,9 @@ class RecommendScorer(Scorer):
             raise ValueError(f"{type(model).__name__} does not recommend items")
         ship_package(spark)
         self.model = model
-        self.n_users, self.n_items = model.userFactors.count(), model.itemFactors.count()
+        self.n_users = model.userFactors.count()
+        # Packed once and kept: each micro-batch only sends the packs to its blocks of users.
+        self.items = packs(model.itemFactors, ITEMS_PER_PACK).persist(StorageLevel.MEMORY_AND_DISK)
 
     def parse(self, raw: DataFrame, data: Parameter, source_type: str) -> DataFrame:
         return apply_data_spec(raw, DataSpec.parse(data.values), source_type, with_label=False)
@@ -195,7 +217,7 @@ class RecommendScorer(Scorer):
         """
         factors = self.model.userFactors
         users = rows.select("user").distinct().join(factors, F.col("user") == F.col("id")).select("id", "features")
-        lists = top_items(users, self.model.itemFactors, self.num_items, n_users, self.n_items)
+        lists = top_items(users, self.items, self.num_items, n_users)
         return rows.join(lists, "user", "left")
 
     def predict(self, rows: DataFrame) -> DataFrame:
@@ -220,15 +242,17 @@ class RecommendScorer(Scorer):
         return answered.unionByName(refused)
 
     def unload(self) -> None:
-        self.model = None
+        if self.items is not None:
+            self.items.unpersist()
+        self.model = self.items = None
 
 
 class PandasScorer(Scorer):
     """Base for models that are plain Python: the model state meets Arrow batches.
 
     Implement ``load_state`` and ``predict_batch`` and set ``result_schema``. The
-    state is broadcast once; a state above ``MAX_BROADCAST_BYTES`` is refused,
-    set ``load_in_task`` to have each task load it from shared storage instead.
+    state is broadcast once; for a large one set ``load_in_task``, and each worker
+    process loads it from shared storage once.
     """
 
     result_schema: str = "prediction double"
@@ -238,6 +262,7 @@ class PandasScorer(Scorer):
     def __init__(self, parameter: dict[str, Any] | None = None) -> None:
         super().__init__(parameter)
         self._path: str | None = None
+        self._loaded = ""
         self._state = None
 
     @abstractmethod
@@ -253,20 +278,22 @@ class PandasScorer(Scorer):
 
     def load_model(self, spark: SparkSession, path: str) -> None:
         ship_package(spark)
-        self._path = path
-        if self.load_in_task:
-            return
-        state = self.load_state(path, spark)
-        size = len(pickle.dumps(state))
-        if size > MAX_BROADCAST_BYTES:
-            raise ValueError(f"model state of {size} bytes is too large to broadcast: set load_in_task")
-        self._state = spark.sparkContext.broadcast(state)
+        self._path, self._loaded = path, uuid.uuid4().hex
+        if not self.load_in_task:
+            self._state = spark.sparkContext.broadcast(self.load_state(path, spark))
 
     def parse(self, raw: DataFrame, data: Parameter, source_type: str) -> DataFrame:
         return apply_data_spec(raw, DataSpec.parse(data.values), source_type, with_label=False)
 
     def _state_in_task(self) -> Any:
-        return self.load_state(self._path) if self.load_in_task else self._state.value
+        if not self.load_in_task:
+            return self._state.value
+        # Once per worker process and loading of the model, not once per task.
+        key = (type(self).__qualname__, self._path, self._loaded)
+        if key not in _states:
+            _states.clear()
+            _states[key] = self.load_state(self._path)
+        return _states[key]
 
     def _run(self, state: Any, batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.reset_index(drop=True)

@@ -2,31 +2,57 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Any
 
 from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..spec import SINK_FORMATS
+from ..storage import delete_path, path_exists, rename_path
+
+# What makes a CSV file give back the text that was written: line breaks, quotes,
+# outer white space. Null has a mark of its own (U+2400), empty text is a quoted nothing; a text
+# that is nothing but the mark cannot be told from null.
+CSV_OPTIONS = {
+    "header": "true",
+    "multiLine": "true",
+    "lineSep": "\n",
+    "escape": '"',
+    "nullValue": "\u2400",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def save_model(spark: SparkSession, model: Any, path: str, *, overwrite: bool = False) -> None:
     """Save an MLlib model, or any object with ``save(spark, path)``.
 
-    An existing MLlib model is an error unless ``overwrite`` is asked for.
+    An existing model is an error unless ``overwrite`` is asked for. A model that
+    saves itself is written beside the old one, which goes once the new one is complete.
     """
     if isinstance(model, MLWritable):
         writer = model.write()
         (writer.overwrite() if overwrite else writer).save(path)
     elif callable(getattr(model, "save", None)):
-        model.save(spark, path)
+        if overwrite and path_exists(spark, path):
+            beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+            model.save(spark, beside)
+            delete_path(spark, path)
+            rename_path(spark, beside, path)
+        else:
+            model.save(spark, path)
     else:
         raise ValueError(f"{type(model).__name__} has no save(spark, path) method")
 
 
-def save_indicator(metrics: DataFrame, path: str) -> None:
-    """Write the metrics row as one JSON file, replacing what was there."""
-    metrics.coalesce(1).write.mode("overwrite").json(path)
+def save_indicator(metrics: DataFrame | str, spark: SparkSession, path: str) -> None:
+    """Write the metrics as JSON, or a plugin's text as it is, replacing what was there."""
+    if isinstance(metrics, str):
+        text = spark.createDataFrame([(metrics,)], "value string").coalesce(1)
+        text.write.mode("overwrite").text(path)
+    else:
+        metrics.write.mode("overwrite").json(path)
 
 
 def save_predictions(
@@ -35,7 +61,7 @@ def save_predictions(
     """Write predictions and return them as read back from ``path``."""
     if fmt not in SINK_FORMATS:
         raise ValueError(f"Unsupported result format:{fmt}")
-    options = {"header": "true"} if fmt == "csv" else {}
+    options = CSV_OPTIONS if fmt == "csv" else {}
     predictions.write.format(fmt).mode(mode).options(**options).save(path)
     reader = predictions.sparkSession.read.format(fmt).options(**options)
     return reader.schema(predictions.schema).load(path)

@@ -18,7 +18,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,16 +47,27 @@ def _train_share(weights: Sequence[float]) -> float:
     return train / (train + verify)
 
 
-def side_of_key(keys: Sequence[str], weights: Sequence[float], seed: int = 0) -> Column:
+def _any_null(parts: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, [p.isNull() for p in parts])
+
+
+def side_of_key(keys: Sequence[str], weights: Sequence[float], seed: int = 0, others: Sequence[str] = ()) -> Column:
     """``'train'`` or ``'verify'``, from the first 32 bits of the key's md5.
 
     A row trains if those bits are below ``share * 2^32``; hex digits of equal
     width sort like the numbers they stand for, so they are compared as text.
-    Seed 0 hashes the key alone; any other seed is prepended to it.
+    Seed 0 hashes the key alone; any other seed is prepended to it. ``others`` are the
+    columns that rows with a null in their key are divided by.
     """
     limit = math.ceil(_train_share(weights) * 2**32)
     parts = [F.col(k).cast("string") for k in keys]
     text = F.concat_ws("|", *([F.lit(str(seed))] if seed else []), *parts)
+    # Nulls would vanish from the text: where there is one, each part says what it is. Such
+    # rows are told apart by all that the row holds, so they are divided like others.
+    if others:
+        marked = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("null")) for p in parts]
+        whole = F.concat_ws("|", F.lit(str(seed)), *marked, F.xxhash64(*[F.col(f"`{c}`") for c in others]).cast("string"))
+        text = F.when(_any_null(parts), whole).otherwise(text)
     if limit >= 2**32:
         return F.lit(TRAIN)
     return F.when(F.substring(F.md5(text), 1, 8) < f"{limit:08x}", TRAIN).otherwise(VERIFY)
@@ -63,7 +77,14 @@ def keyed_split(df: DataFrame, keys: Sequence[str], weights: Sequence[float], se
     if float(weights[1]) == 0:
         check_weights(list(weights))
         return Split(df, df)
-    side = side_of_key(keys, weights, seed)
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.UserDefinedType))]
+    if any(isinstance(f.dataType, VectorUDT) for f in df.schema.fields):
+        vectors = {f.name: vector_to_array(f.name) for f in df.schema.fields if isinstance(f.dataType, VectorUDT)}
+        wide = df.withColumns({f"__array_{n}": v for n, v in vectors.items()})
+        side = side_of_key(keys, weights, seed, [*hashable, *[f"__array_{n}" for n in vectors]])
+        extra = [f"__array_{n}" for n in vectors]
+        return Split(wide.where(side == TRAIN).drop(*extra), wide.where(side == VERIFY).drop(*extra))
+    side = side_of_key(keys, weights, seed, hashable)
     return Split(df.where(side == TRAIN), df.where(side == VERIFY))
 
 

@@ -1,89 +1,130 @@
 """Exact top-N items per user from the two factor tables of a recommender.
 
-Scoring all items for a user is a matrix product. Both tables are cut into blocks
-of bounded size by a hash of their ids, which are unique, so no block can be hot.
-Every user block meets every item block by an equi-join on the pair of block
-numbers, and one task multiplies one pair, keeping the N best per user. The lists
-of a user from the item blocks, N entries each, are then merged.
+Scoring all items for a user is a matrix product. Users are cut into blocks by a hash
+of their ids, items into packs of a bounded number of rows, one row each. Every pack
+is sent once to each block of users, which holds its users and their best N so far
+while the packs stream by: no list has to be merged after a shuffle, and only the packs are
+replicated, never single rows. Among equal ratings the smaller item id is better.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 USERS_PER_BLOCK = 32_768
-ITEMS_PER_BLOCK = 32_768
+ITEMS_PER_PACK = 32_768
 # Fewer users than this are not worth a task of their own.
 MIN_USERS_PER_BLOCK = 1_024
-# Rows of a user block multiplied at a time: bounds the score matrix to 64 MB.
+# Users multiplied at a time: bounds the score matrix to 64 MB.
 USERS_PER_STEP = 512
-# A task takes several pairs, one after the other, when there are more pairs.
-MAX_TASKS = 10_000
 
+PACKS = "ids binary, factors binary"
 LISTS = "user int, items array<int>, ratings array<float>"
 
 
-def best_items(users: pd.DataFrame, items: pd.DataFrame, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(user, item ids, ratings)`` per user, best rating first."""
-    if users.empty or items.empty:
-        return
-    item_ids = items["id"].to_numpy()
-    item_factors = np.stack(items["features"].to_numpy()).astype(np.float32, copy=False).T
-    n = min(n, len(item_ids))
-    for start in range(0, len(users), USERS_PER_STEP):
-        step = users.iloc[start : start + USERS_PER_STEP]
-        scores = np.stack(step["features"].to_numpy()).astype(np.float32, copy=False) @ item_factors
-        best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-        ratings = np.take_along_axis(scores, best, axis=1)
-        order = np.lexsort((item_ids[best], -ratings), axis=1)
-        best, ratings = np.take_along_axis(best, order, axis=1), np.take_along_axis(ratings, order, axis=1)
-        yield from zip(step["id"].to_numpy(), item_ids[best], ratings, strict=True)
-
-
-def top_items(users: DataFrame, items: DataFrame, n: int, n_users: int, n_items: int) -> DataFrame:
+def _matrix(column: pa.Array) -> np.ndarray:
+    width = len(column[0])
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, width)
+
+
+def packs(items: DataFrame, size: int) -> DataFrame:
+    """``id, features`` rows packed as they lie in the partitions, at most ``size`` to a row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                ids = part.column(0).to_numpy().astype(np.int64)
+                values = [pa.array([x.tobytes()], pa.binary()) for x in (ids, _matrix(part.column(1)))]
+                yield pa.RecordBatch.from_arrays(values, names=["ids", "factors"])
+
+    return items.select("id", "features").mapInArrow(run, PACKS)
+
+
+class Best:
+    """The best N items of each user of a block, over the packs seen so far."""
+
+    def __init__(self, ids: np.ndarray, factors: np.ndarray, n: int) -> None:
+        self.ids, self.factors, self.n = ids, factors, n
+        self.items = np.empty((len(ids), 0), np.int64)
+        self.ratings = np.empty((len(ids), 0), np.float32)
+
+    def meet(self, item_ids: np.ndarray, item_factors: np.ndarray) -> None:
+        kept = min(self.n, self.items.shape[1] + len(item_ids))
+        items, ratings = np.empty((len(self.ids), kept), np.int64), np.empty((len(self.ids), kept), np.float32)
+        for start in range(0, len(self.ids), USERS_PER_STEP):
+            step = slice(start, start + USERS_PER_STEP)
+            scores = np.hstack([self.ratings[step], self.factors[step] @ item_factors.T])
+            ids = np.hstack([self.items[step], np.broadcast_to(item_ids, (len(scores), len(item_ids)))])
+            if scores.shape[1] > kept:
+                # All that reach the Nth rating are ordered, so that no tie is cut by chance.
+                least = np.partition(scores, scores.shape[1] - kept, axis=1)[:, -kept]
+                for row in range(len(scores)):
+                    some = np.flatnonzero(scores[row] >= least[row])
+                    best = some[np.lexsort((ids[row, some], -scores[row, some]))[:kept]]
+                    items[start + row], ratings[start + row] = ids[row, best], scores[row, best]
+            else:
+                order = np.lexsort((ids, -scores), axis=1)
+                items[step], ratings[step] = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+        self.items, self.ratings = items, ratings
+
+    def lists(self) -> pa.RecordBatch:
+        ends = pa.array(np.arange(len(self.ids) + 1, dtype=np.int32) * self.items.shape[1])
+        items = pa.ListArray.from_arrays(ends, pa.array(self.items.ravel().astype(np.int32)))
+        ratings = pa.ListArray.from_arrays(ends, pa.array(self.ratings.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids.astype(np.int32)), items, ratings], names=["user", "items", "ratings"])
+
+
+def top_items(users: DataFrame, items: DataFrame, n: int, n_users: int, items_per_pack: int = ITEMS_PER_PACK) -> DataFrame:
     """``user, recommendations array<struct<item int, rating float>>``, best first.
 
-    ``users`` and ``items`` are ``id int, features array<float>``; the two counts
-    only set the number of blocks.
+    ``users`` and ``items`` are ``id int, features array<float>``; ``items`` may be
+    ``packs`` already. ``n_users`` only sets the number of blocks.
     """
     cores = users.sparkSession.sparkContext.defaultParallelism
-    user_blocks = max(
-        1, math.ceil(n_users / USERS_PER_BLOCK), min(cores, math.ceil(n_users / MIN_USERS_PER_BLOCK))
+    blocks = max(1, math.ceil(n_users / USERS_PER_BLOCK), min(cores, math.ceil(n_users / MIN_USERS_PER_BLOCK)))
+    packed = items if "factors" in items.columns else packs(items, items_per_pack)
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+    nothing = F.lit(None).cast("binary")
+    left = users.select(block, F.lit(0).alias("kind"), "id", "features", nothing.alias("ids"), nothing.alias("factors"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    none = F.lit(None)
+    right = packed.select(
+        every, F.lit(1).alias("kind"), none.cast("int").alias("id"), none.cast("array<float>").alias("features"), "ids", "factors"
     )
-    item_blocks = max(1, math.ceil(n_items / ITEMS_PER_BLOCK))
-    pairs = user_blocks * item_blocks
-
-    def block(count: int):
-        return F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
-
-    def every(count: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    # Set by hand: work per byte is so high that partitions sized by bytes,
-    # as adaptive execution makes them, would leave most cores idle.
-    left = users.select("id", "features", block(user_blocks).alias("ub"), every(item_blocks).alias("ib"))
-    right = items.select("id", "features", block(item_blocks).alias("ib"), every(user_blocks).alias("ub"))
-    tasks = min(2 * pairs, max(MAX_TASKS, 4 * cores))
-    left, right = left.repartition(tasks, "ub", "ib"), right.repartition(tasks, "ub", "ib")
-
-    def score(user_rows: pd.DataFrame, item_rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(best_items(user_rows, item_rows, n), columns=["user", "items", "ratings"])
-
-    partial = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(score, LISTS)
-    lists = partial.select("user", F.arrays_zip(F.col("items").alias("item"), F.col("ratings").alias("rating")).alias("l"))
-    if item_blocks > 1:
-        merged = F.flatten(F.collect_list("l"))
-        best_first = F.array_sort(
-            merged,
-            lambda a, b: F.when(a["rating"] > b["rating"], -1)
-            .when(a["rating"] < b["rating"], 1)
-            .otherwise(F.signum(a["item"] - b["item"]).cast("int")),
-        )
-        lists = lists.groupBy("user").agg(F.slice(best_first, 1, n).alias("l"))
-    return lists.select("user", F.col("l").cast("array<struct<item:int,rating:float>>").alias("recommendations"))
+    rows = left.unionByName(right).repartition(blocks, "block").sortWithinPartitions("block", "kind")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best, ids, factors = None, None, [], []
+        for batch in batches:
+            numbers, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            starts = [0, *(np.flatnonzero((np.diff(numbers) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(starts, starts[1:], strict=False):
+                if start == end:
+                    continue
+                if numbers[start] != now:
+                    if best is not None:
+                        yield best.lists()
+                    now, best, ids, factors = numbers[start], None, [], []
+                part = batch.slice(start, end - start)
+                if kinds[start] == 0:
+                    ids.append(part.column(2).to_numpy().astype(np.int64))
+                    factors.append(_matrix(part.column(3)))
+                    continue
+                if best is None and ids:
+                    best = Best(np.concatenate(ids), np.concatenate(factors), n)
+                for row in part.select([4, 5]).to_pylist() if best is not None else ():
+                    item_ids = np.frombuffer(row["ids"], np.int64)
+                    best.meet(item_ids, np.frombuffer(row["factors"], np.float32).reshape(len(item_ids), -1))
+        if best is not None:
+            yield best.lists()
+
+    lists = rows.mapInArrow(run, LISTS)
+    pairs = F.arrays_zip(F.col("items").alias("item"), F.col("ratings").alias("rating"))
+    return lists.select("user", pairs.cast("array<struct<item:int,rating:float>>").alias("recommendations"))

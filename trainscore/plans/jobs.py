@@ -9,8 +9,8 @@ from typing import Any
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.estimators import MLAlgorithm
-from ..operators.sinks import save_indicator, save_model, save_predictions
+from ..operators.estimators import DISTRIBUTED_MODELS, MLAlgorithm, settled
+from ..operators.sinks import save_indicator, save_model
 from ..operators.split import (
     ROW_KEY,
     Split,
@@ -22,12 +22,10 @@ from ..operators.split import (
 )
 from ..plugins import Algorithm, Parameter, Scorer, read_parameter, resolve_algorithm, resolve_scorer
 from ..spec import BatchSpec, TrainSpec
-from ..storage import path_exists, ship_package, sized_for
+from ..storage import fresh_path, path_exists, ship_package, sized_for
 
 log = logging.getLogger(__name__)
 
-MAX_INDICATOR_ROWS = 10_000
-
 
 @dataclass(frozen=True)
 class TrainResult:
@@ -50,14 +48,26 @@ def _split(rows: DataFrame, spec: TrainSpec) -> Split:
     return random_split(rows, spec.dataWeight, spec.seed)
 
 
-def _small_copy(spark: SparkSession, indicator: DataFrame | str) -> DataFrame:
-    """The indicator's rows as constants, so that reading them later runs no job."""
-    if isinstance(indicator, str):
-        return spark.createDataFrame([(indicator,)], "indicator string")
-    rows = indicator.take(MAX_INDICATOR_ROWS + 1)
-    if len(rows) > MAX_INDICATOR_ROWS:
-        raise ValueError(f"an indicator has at most {MAX_INDICATOR_ROWS} rows")
-    return spark.createDataFrame(rows, indicator.schema)
+def _settled_indicator(spark: SparkSession, indicator: DataFrame) -> DataFrame:
+    """The indicator, independent of the rows it was computed from: one row as a constant, more as a table."""
+    rows = indicator.take(2)
+    if len(rows) < 2:
+        return spark.createDataFrame(rows, indicator.schema)
+    path = fresh_path(spark, "indicator")
+    indicator.write.parquet(path)
+    return spark.read.schema(indicator.schema).parquet(path)
+
+
+def _saved(spark: SparkSession, spec: TrainSpec, model: Any) -> Any:
+    """The model once nothing that follows can lose it.
+
+    It is saved before it is verified. A model that is data on the executors is read
+    back from where it lies then, as the rows it was fitted on are about to go.
+    """
+    if spec.modelSavePath:
+        save_model(spark, model, spec.modelSavePath, overwrite=spec.overwriteModel)
+        return type(model).load(spec.modelSavePath) if isinstance(model, DISTRIBUTED_MODELS) else model
+    return settled(spark, model) if isinstance(model, DISTRIBUTED_MODELS) else model
 
 
 def _splits_by_row(spec: TrainSpec, algorithm: Algorithm, data: Parameter) -> bool:
@@ -69,7 +79,7 @@ def _splits_by_row(spec: TrainSpec, algorithm: Algorithm, data: Parameter) -> bo
 
 def _fit_and_verify(
     spark: SparkSession, spec: TrainSpec, algorithm: Algorithm, data: Parameter, params: Parameter
-) -> tuple[Any, DataFrame]:
+) -> tuple[Any, DataFrame | str]:
     raw = algorithm.load(spark, spec.sourceParameter)
     if _splits_by_row(spec, algorithm, data):
         raw = with_row_key(raw)
@@ -80,8 +90,9 @@ def _fit_and_verify(
     try:
         split = _split(rows, spec)
         log.info("%s: training, weights %s", spec.app_name, spec.dataWeight)
-        model = algorithm.train(split.train, params)
-        return model, _small_copy(spark, algorithm.verify(split.verify, model))
+        model = _saved(spark, spec, algorithm.train(split.train, params))
+        indicator = algorithm.verify(split.verify, model)
+        return model, indicator if isinstance(indicator, str) else _settled_indicator(spark, indicator)
     finally:
         if split is not None:
             drop_sides(split)
@@ -92,7 +103,7 @@ def _fit_and_verify(
 def run_train(
     spark: SparkSession, setting: TrainSpec | dict[str, Any] | str, algorithm: Algorithm | None = None
 ) -> TrainResult:
-    """load -> parse -> split -> train -> verify -> save model -> save indicator.
+    """load -> parse -> split -> train -> save model -> verify -> save indicator.
 
     Rows are scanned once per step and not cached by default: a pruned Parquet
     scan is cheaper than spilling a copy of a large table, and the iterative
@@ -112,10 +123,10 @@ def run_train(
     with sized_for(spark, spec.sourceParameter.paths):
         model, metrics = _fit_and_verify(spark, spec, algorithm, data, params)
 
-    if spec.modelSavePath:
-        save_model(spark, model, spec.modelSavePath, overwrite=spec.overwriteModel)
     if spec.modelIndicatorSavePath:
-        save_indicator(metrics, spec.modelIndicatorSavePath)
+        save_indicator(metrics, spark, spec.modelIndicatorSavePath)
+    if isinstance(metrics, str):
+        metrics = spark.createDataFrame([(metrics,)], "indicator string")
     log.info("%s: done", spec.app_name)
     return TrainResult(model, metrics)
 
@@ -137,6 +148,6 @@ def run_batch(
         with sized_for(spark, spec.sourceParameter.paths):
             raw = scorer.load(spark, spec.sourceParameter)
             rows = scorer.parse(raw, data, spec.sourceParameter.type)
-            return save_predictions(scorer.predict(rows), spec.resultSavePath, spec.resultFormat, spec.resultMode)
+            return scorer.save(scorer.predict(rows), spec.resultSavePath, spec.resultFormat, spec.resultMode)
     finally:
         scorer.unload()

@@ -93,6 +93,12 @@ class Scorer(ABC):
     def predict(self, rows: DataFrame) -> DataFrame:
         """Parsed rows -> predictions."""
 
+    def save(self, predictions: DataFrame, path: str, fmt: str, mode: str) -> DataFrame:
+        """Write the predictions and return them as read back; override to save in another way."""
+        from .operators.sinks import save_predictions
+
+        return save_predictions(predictions, path, fmt, mode)
+
     @abstractmethod
     def respond(self, requests: DataFrame) -> DataFrame:
         """``request_id, data`` -> ``request_id, result``, one row per request."""

@@ -10,12 +10,13 @@ CSV       the columns of the schema (or of the header, all strings)
 PARQUET   the columns of the files
 SEQUENCE  ``key, value`` of a Hadoop sequence file
 HADOOP    ``key, value`` of any old-API Hadoop input format
-OBJECT    the fields of the pickled records, as named in the schema
+OBJECT    the fields of the records, as named in the schema: pickled ones, or
+          with the option ``serialization: java`` those of a JVM program
 ========  =================================================================
 
-TEXT, JSON, WHOLE, CSV and PARQUET are native scans. SEQUENCE, HADOOP and OBJECT
-have no DataFrame reader in Spark, so they pass through Python once per record;
-convert such data to Parquet when it is to be read more than once.
+TEXT, JSON, WHOLE, CSV, PARQUET and key-value text are native scans. SEQUENCE and
+other HADOOP input is turned into rows inside the JVM. OBJECT passes through Python
+once per record: convert such data to Parquet when it is read more than once.
 """
 
 from __future__ import annotations
@@ -23,11 +24,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..spec import SourceSpec
 
+KEY_VALUE_INPUT_FORMAT = "org.apache.hadoop.mapred.KeyValueTextInputFormat"
 TEXT_INPUT_FORMAT = "org.apache.hadoop.mapred.TextInputFormat"
 LONG_WRITABLE = "org.apache.hadoop.io.LongWritable"
 TEXT_WRITABLE = "org.apache.hadoop.io.Text"
@@ -44,8 +48,11 @@ def _whole_files(spark: SparkSession, src: SourceSpec) -> DataFrame:
 
 def _csv(spark: SparkSession, src: SourceSpec) -> DataFrame:
     # Without a schema the header names the columns and all stay strings:
-    # type inference would read the whole source once more.
-    reader = spark.read.options(**{"header": "true", **src.options})
+    # type inference would read the whole source once more. With one, a cell of
+    # another type (in a column that is read) or a row of another length fails;
+    # ``mode: DROPMALFORMED`` leaves such rows out.
+    typed = {"mode": "FAILFAST", "columnPruning": "false"} if src.schema else {}
+    reader = spark.read.options(**{"header": "true", **typed, **src.options})
     return (reader.schema(src.schema) if src.schema else reader).csv(src.paths)
 
 
@@ -54,13 +61,32 @@ def _parquet(spark: SparkSession, src: SourceSpec) -> DataFrame:
     return (reader.schema(src.schema) if src.schema else reader).parquet(*src.paths)
 
 
+def _rows_in_jvm(spark: SparkSession, pairs: RDD, schema: str) -> DataFrame:
+    """Pairs that a Hadoop reader delivers become rows without passing through a Python worker."""
+    arrays = spark.sparkContext._jvm.SerDeUtil.toJavaArray(pairs._to_java_object_rdd())
+    fields = T.StructType.fromDDL(schema)
+    return DataFrame(spark._jsparkSession.applySchemaToPythonRDD(arrays.rdd(), fields.json()), spark)
+
+
 def _sequence(spark: SparkSession, src: SourceSpec) -> DataFrame:
     pairs = spark.sparkContext.sequenceFile(src.source, src.keyClass, src.valueClass)
-    return pairs.toDF(src.schema or "key bigint, value string")
+    return _rows_in_jvm(spark, pairs, src.schema or "key bigint, value string")
+
+
+def _key_value_text(spark: SparkSession, src: SourceSpec) -> DataFrame:
+    """Lines of key, tab, value by the text reader; without a tab the line is the key."""
+    lines = spark.read.text(src.paths)
+    tab = F.instr("value", "\t")
+    key = F.when(tab > 0, F.substring(F.col("value"), F.lit(1), tab - 1)).otherwise(F.col("value"))
+    value = F.when(tab > 0, F.substring(F.col("value"), tab + 1, F.length("value"))).otherwise(F.lit(""))
+    return lines.select(key.alias("key"), value.alias("value"))
 
 
 def _hadoop(spark: SparkSession, src: SourceSpec) -> DataFrame:
     input_format = src.inputFormat or TEXT_INPUT_FORMAT
+    plain = not (src.options or src.keyClass or src.valueClass or src.schema)
+    if input_format == KEY_VALUE_INPUT_FORMAT and plain:
+        return _key_value_text(spark, src)
     is_text = input_format == TEXT_INPUT_FORMAT
     pairs = spark.sparkContext.hadoopFile(
         src.source,
@@ -69,20 +95,42 @@ def _hadoop(spark: SparkSession, src: SourceSpec) -> DataFrame:
         src.valueClass or TEXT_WRITABLE,
         conf=src.options or None,
     )
-    return pairs.toDF(src.schema or ("key bigint, value string" if is_text else "key string, value string"))
+    return _rows_in_jvm(spark, pairs, src.schema or ("key bigint, value string" if is_text else "key string, value string"))
 
 
 def _pickled(spark: SparkSession, src: SourceSpec) -> DataFrame:
-    # Unpickling runs code: read trusted paths only. Files of serialised JVM
-    # objects cannot be read from Python at all.
+    # Unpickling, like reading serialised JVM objects, runs code: read trusted paths only.
     if not src.schema:
-        raise ValueError(
-            "OBJECT sources hold pickled records and need a schema; "
-            "object files written by a JVM program cannot be read from Python"
-        )
+        raise ValueError("OBJECT sources need a schema")
+    serialization = src.options.get("serialization", "python")
+    if serialization == "java":
+        return _java_objects(spark, src)
+    if serialization != "python":
+        raise ValueError(f"Unsupported serialization of objects:{serialization}")
     return spark.sparkContext.pickleFile(src.source).toDF(src.schema)
 
 
+def _java_objects(spark: SparkSession, src: SourceSpec) -> DataFrame:
+    """Records that a JVM program saved as an object file: maps by field name, tuples, lists, single values."""
+    sc = spark.sparkContext
+    records = RDD(sc._jvm.SerDeUtil.javaToPython(sc._jsc.objectFile(src.source)), sc)
+    schema = T.StructType.fromDDL(src.schema)
+    names = schema.fieldNames()
+
+    def row(record: Any) -> tuple:
+        if isinstance(record, dict):
+            if "__class__" in record:
+                raise ValueError(f"records of {record['__class__']} cannot be read: save maps, tuples or plain values")
+            return tuple(record.get(name) for name in names)
+        if isinstance(record, (list, tuple)):
+            return tuple(record)
+        if len(names) == 1:
+            return (record,)
+        raise ValueError(f"a record of {type(record).__name__} has no fields for {', '.join(names)}")
+
+    return records.map(row).toDF(schema)
+
+
 _READERS: dict[str, Callable[[SparkSession, SourceSpec], DataFrame]] = {
     "TEXT": _text,
     "JSON": _whole_files,

@@ -68,9 +68,9 @@ def check_weights(weights: Any) -> tuple[float, float]:
     if isinstance(weights, Mapping):
         check_keys(weights, {"dataWeight"}, set(), "dataWeight")
         weights = weights["dataWeight"]
-    if not isinstance(weights, (list, tuple)) or len(weights) < 2:
+    if not isinstance(weights, (list, tuple)) or len(weights) != 2:
         raise ValueError(f"Invalid weight:{weights!r}, expected [train, verify]")
-    pair = weights[:2]
+    pair = weights
     if any(isinstance(w, bool) or not isinstance(w, (int, float)) for w in pair):
         raise ValueError(f"Invalid weight:{pair!r}")
     train, verify = (float(w) for w in pair)
@@ -79,6 +79,18 @@ def check_weights(weights: Any) -> tuple[float, float]:
     return train, verify
 
 
+def split_paths(source: str) -> list[str]:
+    """Paths divided by commas; commas inside the braces of a glob belong to it."""
+    paths, depth = [""], 0
+    for ch in source:
+        depth += (ch == "{") - (ch == "}" and depth > 0)
+        if ch == "," and not depth:
+            paths.append("")
+        else:
+            paths[-1] += ch
+    return [p.strip() for p in paths if p.strip()]
+
+
 @dataclass(frozen=True)
 class SourceSpec:
     """Where the raw data lies and how to read it."""
@@ -109,7 +121,7 @@ class SourceSpec:
 
     @property
     def paths(self) -> list[str]:
-        return [p.strip() for p in self.source.split(",") if p.strip()]
+        return split_paths(self.source)
 
 
 @dataclass(frozen=True)

@@ -80,6 +80,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def rename_path(spark: SparkSession, path: str, target: str) -> None:
+    fs, source = _hadoop_path(spark, path)
+    if not fs.rename(source, _hadoop_path(spark, target)[1]):
+        raise OSError(f"{path} could not be renamed to {target}")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder that ``fresh_path`` named."""
     fs, target = _hadoop_path(spark, path)

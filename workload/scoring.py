@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trainscore import run_batch, run_stream, run_train
 from trainscore.operators.estimators import find_estimator
+from trainscore.operators.topn import top_items
 from trainscore.plugins import RESPONSE_SCHEMA
 from trainscore.storage import fresh_path
 
@@ -58,6 +59,26 @@ def score_batch_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _score_events(spark, sf_dir, "csv")
 
 
+@query(
+    f"""WITH {LINEAR_FIT}
+        SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 <> 1 THEN ' ' || text || chr(13) || chr(10) END AS note,
+               round(intercept + slope * n_chars, 4) AS prediction FROM documents, fit"""
+)
+def score_batch_text_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text with line breaks, empty text and nulls come back from a CSV result as they were."""
+    note = "CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 <> 1 THEN ' ' || text || char(13) || char(10) END"
+    job = {
+        "appName": "score-documents",
+        "modelClass": "ml",
+        "modelPath": _linear_model(spark, sf_dir),
+        "sourceParameter": parquet_source(sf_dir, "documents"),
+        "dataParameter": {"columns": {"note": note}, "features": ["n_chars"], "keep": ["doc_id", "text", "note"]},
+        "resultSavePath": fresh_path(spark, "scores"),
+        "resultFormat": "csv",
+    }
+    return run_batch(spark, job).select("doc_id", "text", "note", F.round("prediction", 4).alias("prediction"))
+
+
 def _deviation_model(spark: SparkSession, sf_dir: str) -> str:
     path = fresh_path(spark, "deviation")
     job = {
@@ -74,6 +95,35 @@ def _deviation_model(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+@query(
+    f"""WITH {LINEAR_FIT}
+        SELECT event_id AS request_id,
+               CASE WHEN event_type IN ('error', 'signup', 'view')
+                    THEN 'Exception:missing or non-numeric feature' ELSE 'answered' END AS status,
+               CASE WHEN event_type IN ('click', 'purchase') THEN round(intercept + slope * x, 4) END AS prediction
+        FROM pts, fit"""
+)
+def score_stream_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Casts that fail, NaN and numbers beyond all bounds are answered; the stream goes on."""
+    k = F.get_json_object("props", "$.k")
+    text = (
+        F.when(F.col("event_type") == "error", F.lit("abc"))
+        .when(F.col("event_type") == "signup", F.lit("NaN"))
+        .when(F.col("event_type") == "view", F.lit("1e400"))
+        .otherwise(k)
+    )
+    requests = _write_requests(table(spark, sf_dir, "events"), "event_id", F.to_json(F.struct(text.alias("s"))))
+    request = {"schema": "s string", "columns": {"k": "cast(s as double)"}, "features": ["k"]}
+    responses = _stream(spark, requests, "ml", _linear_model(spark, sf_dir), modelParameter=request)
+    failed = F.col("result").startswith("Exception:")
+    prediction = F.get_json_object(F.when(~failed, F.col("result")), "$.prediction").cast("double")
+    return responses.select(
+        "request_id",
+        F.when(failed, F.col("result")).otherwise("answered").alias("status"),
+        F.round(prediction, 4).alias("prediction"),
+    )
+
+
 @query(
     """WITH s AS (SELECT avg(value) AS mean, stddev_pop(value) AS deviation FROM events)
        SELECT event_id, round((value - mean) / deviation, 6) AS deviation FROM events, s"""
@@ -248,3 +298,16 @@ def recommend_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(failed, F.col("result")).otherwise("answered").alias("status"),
         F.when(~failed, F.size(lists["recommendations"])).alias("n_items"),
     )
+
+
+@query(
+    """SELECT CAST(u.vec_id AS INTEGER) AS "user", CAST(i.vec_id AS INTEGER) AS item,
+              CAST(row_number() OVER (PARTITION BY u.vec_id ORDER BY list_inner_product(u.embedding, i.embedding) DESC, i.vec_id) AS INTEGER) AS rank
+       FROM embeddings u, embeddings i QUALIFY rank <= 3"""
+)
+def topn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best items of each user, vectors being both, over many packs of items."""
+    factors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("id"), F.col("embedding").alias("features"))
+    lists = top_items(factors, factors, 3, factors.count(), items_per_pack=64)
+    best = lists.select("user", F.posexplode("recommendations").alias("place", "best"))
+    return best.select("user", F.col("best.item").alias("item"), (F.col("place") + 1).alias("rank"))

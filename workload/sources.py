@@ -163,3 +163,55 @@ def parse_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = vector_to_array("features")
     total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
     return rows.select("vec_id", "label", F.size(values).alias("size"), F.round(total, 4).alias("total"))
+
+
+# Every 100th line is broken, in four ways by turns.
+LINE = "(l_orderkey * 10 + l_linenumber)"
+BROKEN_FIELDS = "l_orderkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, flag string"
+WHOLE_LINES = f"""SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice
+       FROM lineitem WHERE {LINE} % 100 <> 0 AND l_quantity >= 10"""
+
+
+def _broken_lines(spark: SparkSession, sf_dir: str, delimiter: str) -> str:
+    path = fresh_path(spark, "broken")
+    way = F.expr(f"{LINE} % 400")
+    quantity = F.when(way == 0, F.lit("bad")).otherwise(F.col("l_quantity").cast("string"))
+    price = F.when(way == 100, F.lit("NaN")).otherwise(F.col("l_extendedprice").cast("string"))
+    line = F.concat_ws(delimiter, "l_orderkey", "l_linenumber", quantity, price, "l_returnflag")
+    short = F.concat_ws(delimiter, "l_orderkey", "l_linenumber", quantity, price)
+    line = F.when(way == 200, short).when(way == 300, F.concat(line, F.lit(f"{delimiter}more"))).otherwise(line)
+    table(spark, sf_dir, "lineitem").select(line).write.text(path)
+    return path
+
+
+@query(WHOLE_LINES)
+def parse_delimited_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delimited lines with a bad cell, a missing one, one too many, or NaN are left out, and only they."""
+    raw = load_source(spark, {"source": _broken_lines(spark, sf_dir, "|"), "type": "text"})
+    data = {
+        "schema": BROKEN_FIELDS,
+        "delimiter": "|",
+        "filter": "l_quantity >= 10",
+        "keep": ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"],
+        "onInvalid": "skip",
+    }
+    return apply_data_spec(raw, DataSpec.parse(data), "TEXT")
+
+
+@query(WHOLE_LINES)
+def source_csv_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines as a CSV source that leaves malformed rows out."""
+    source = {"source": _broken_lines(spark, sf_dir, ","), "type": "csv", "schema": BROKEN_FIELDS}
+    raw = load_source(spark, {**source, "options": {"header": "false", "mode": "DROPMALFORMED"}})
+    keep = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"]
+    return apply_data_spec(raw, DataSpec.parse({"filter": "l_quantity >= 10", "keep": keep, "onInvalid": "skip"}), "CSV")
+
+
+@query("SELECT c_custkey AS key, c_name AS value FROM customer")
+def source_object_jvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OBJECT: rows that the JVM serialised, as maps."""
+    path = fresh_path(spark, "object")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name").rdd.map(lambda r: {"key": r[0], "value": r[1]})
+    rows._to_java_object_rdd().saveAsObjectFile(path)
+    options = {"serialization": "java"}
+    return load_source(spark, {"source": path, "type": "object", "schema": "key bigint, value string", "options": options})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from trainscore.spec import DataSpec, SourceSpec
 from trainscore.storage import fresh_path
 
 from . import ORACLES, query
-from .common import LINEAR_FIT, ORDER_BITS, als_job, linear_job, parquet_source, table
+from .common import EVENT_BITS, LINEAR_FIT, ORDER_BITS, als_job, linear_job, parquet_source, table
 
 
 def _sides(split, *aggregates) -> DataFrame:
@@ -43,6 +45,19 @@ def split_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sides(split, _count(), _key_sum())
 
 
+@query("SELECT count(*) AS n, TRUE AS both_sides, count(*) FILTER (l_linenumber % 3 = 0) AS n_null FROM lineitem")
+def split_keyed_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a key are divided like others, each into one part."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("key", F.expr("if(l_linenumber % 3 = 0, null, l_orderkey)"))
+    split = keyed_split(rows, ["key"], (0.7, 0.3))
+    sides = split.train.withColumn("side", F.lit(1)).unionByName(split.verify.withColumn("side", F.lit(0)))
+    empty = F.col("key").isNull()
+    share = F.avg(F.when(empty, F.col("side")))
+    return sides.agg(
+        F.count(F.lit(1)).alias("n"), share.between(0.6, 0.8).alias("both_sides"), F.count_if(empty).alias("n_null")
+    )
+
+
 @query(
     f"""SELECT CASE WHEN {ORDER_BITS} < 0.625 * 4294967296.0 THEN 'train' ELSE 'verify' END AS side,
                count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
@@ -127,6 +142,25 @@ def save_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_regression(spark.read.schema(metrics.schema).json(path))
 
 
+class MeanOfEvents(MLAlgorithm):
+    """Verifies with a text of its own."""
+
+    def verify(self, rows: DataFrame, model: object) -> str:
+        return json.dumps({"rows": rows.count(), "note": 'a "quoted" text'})
+
+
+@query(
+    f"""SELECT '{{"rows": ' || count(*) || ', "note": "a \\"quoted\\" text"}}' AS value
+        FROM events WHERE NOT ({EVENT_BITS} < 0.7 * 4294967296.0)"""
+)
+def save_indicator_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plugin's indicator text is saved as it is."""
+    path = fresh_path(spark, "indicator")
+    job = linear_job(sf_dir, modelIndicatorSavePath=path)
+    run_train(spark, job, MeanOfEvents(find_estimator("LinearRegression")))
+    return spark.read.text(path)
+
+
 FLAG_CLASS = "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END"
 
 
