@@ -5,7 +5,8 @@ inner product is the smallest angle. Each of ``TREES`` trees is a sorted array o
 ``BITS``-bit strings, the sides of random hyperplanes through the shard's mean. A query
 descends in each tree to its longest matching prefix; then all trees ascend together, a bit at
 a time, until the matches of that prefix length are ``WANTED`` times the shard's rows.
-These are scored exactly, in double precision, on the original vectors.
+These are scored exactly, in double precision, on the original vectors; where they are fewer
+than asked for, all rows of the shard are.
 
 Measured recall and how rows without a usable vector are treated: README and ``vectors``.
 """
@@ -69,8 +70,10 @@ class Forest:
             found = np.zeros(len(self.ids), bool)
             for tree in range(TREES):
                 found[self.order[tree, low[tree, i] : high[tree, i]]] = True
-            found &= self.ids != own[i]
-            rows = np.flatnonzero(found)
+            others = self.ids != own[i]
+            rows = np.flatnonzero(found & others)
+            if len(rows) < k:  # ascend to the roots: all rows match the empty prefix
+                rows = np.flatnonzero(others)
             ids, values = best(self.ids[rows], (self.vectors[rows] * queries[i]).sum(axis=1), k)
             near[i, : len(ids)], scores[i, : len(ids)] = ids, values
         return near, scores
