@@ -239,7 +239,11 @@ class WordEncoder:
 
     def numbers(self, words: Words) -> np.ndarray:
         """The table's numbers of the words; they hold until the next call."""
-        distinct = words.distinct.tolist()
+        return self.known(words.distinct)[words.numbers]
+
+    def known(self, words: np.ndarray) -> np.ndarray:
+        """The table's numbers of distinct words, which are put there if need be."""
+        distinct = words.tolist()
         found = np.fromiter(map(self.number.get, distinct, repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(found < 0)
         if len(missing):
@@ -250,7 +254,7 @@ class WordEncoder:
             for start in range(0, len(fresh), 50_000):
                 self._add(fresh[start : start + 50_000])
             found[missing] = np.arange(len(self.number) - len(fresh), len(self.number))
-        return found[words.numbers]
+        return found
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
         """Token ids of a row of word numbers."""
@@ -261,6 +265,11 @@ class WordEncoder:
             return np.empty(0, np.int32)
         return self.flat[np.arange(total[-1]) + np.repeat(start - (total - count), count)]
 
+    def tokens(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of distinct words, one after the other, and how many each has."""
+        numbers = self.known(words)
+        return self.ids(numbers), self.ends[numbers + 1] - self.ends[numbers]
+
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Token ids of whole texts."""
         special = self.vocabulary.special
