@@ -674,6 +674,7 @@ def test_settings_are_checked_before_data_is_read(spark, line, model_path):
         ({"algoParameter": {"depth": 1}}, "Unknown parameter"),
         ({"dataParameter": {"feature": "x"}}, "Illegal option"),
         ({"modelSavePath": model_path}, "already exists"),
+        ({"dataWeight": [0.7, 0.3], "splitKey": ["nobody"]}, "splitKey must be among"),
     ):
         algorithm = resolve_algorithm("LinearRegression")
         algorithm.load = never

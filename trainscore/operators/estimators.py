@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import math
+from collections.abc import Sequence
 from dataclasses import replace
 from typing import Any
 
@@ -130,6 +131,19 @@ class MLAlgorithm(Algorithm):
             spec = replace(spec, keep=(*spec.keep, *ROW_KEY))
         return apply_data_spec(raw, spec, source_type)
 
+    def check_split_key(self, data: Parameter, keys: Sequence[str]) -> None:
+        """Rows are divided after parsing: the key must be a column that parsing leaves."""
+        if not keys or not self._parses_as_usual():
+            return
+        spec = DataSpec.parse(data.values)
+        if not (spec.keep or spec.features or spec.ratings):
+            return
+        summed = (spec.ratings or {}).get("aggregate")
+        left = {"user", "item"} if summed else {*spec.keep, *(("user", "item") if spec.ratings else ("label",))}
+        lost = [k for k in keys if k not in left]
+        if lost:
+            raise ValueError(f"splitKey must be among the columns to keep: {', '.join(lost)}")
+
     def keeps_row_key(self, data: Parameter) -> bool:
         """Whether each parsed row stands for one row of the source, read the usual way."""
         if type(self).load is not Algorithm.load or not self._parses_as_usual():

@@ -117,6 +117,8 @@ def run_train(
     params = read_parameter(spec.algoParameter, spec.algoParameterClass)
 
     algorithm.check(data, params)
+    if isinstance(algorithm, MLAlgorithm):
+        algorithm.check_split_key(data, spec.splitKey)
     if spec.modelSavePath and not spec.overwriteModel and path_exists(spark, spec.modelSavePath):
         raise ValueError(f"{spec.modelSavePath} already exists: ask for overwriteModel or name another path")
 
