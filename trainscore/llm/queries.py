@@ -80,10 +80,10 @@ WITH raw AS (
 ), spaced AS (
   SELECT doc_id, text, line, place, string_split(trim(regexp_replace(line, '[ \t\r\x0B\f]+', ' ', 'g')), ' ') AS words FROM raw
 ), hidden AS (
-  SELECT doc_id, text, line, place, list_transform(words, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS tokens FROM spaced
+  SELECT doc_id, text, line, place, words, list_transform(words, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS tokens FROM spaced
 ), each AS (
   SELECT *, array_to_string(tokens, ' ') AS masked, array_to_string(list_slice(tokens, 1, 3), ' ') AS head, len(tokens) AS size,
-    replace(replace(array_to_string(tokens, ' '), '<*>', ''), ' ', '') <> '' AS constant FROM hidden
+    len(list_filter(words, lambda w: w <> '' AND NOT regexp_matches(w, '[0-9]'))) > 0 AS constant FROM hidden
 ), counts AS (
   SELECT size, head, masked, any_value(tokens) AS tokens, count(DISTINCT (doc_id, text)) AS n FROM each WHERE constant GROUP BY ALL
 ), general AS (
