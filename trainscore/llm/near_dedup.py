@@ -41,7 +41,7 @@ TREES, DEPTH, STEP = 16, 3, 4
 HASHES = TREES * STEP
 ORDER = 8  # minima in a sort key
 DENSE = 4096
-BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 4_000_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 2_000_000
 COLUMNS = 4096
 
 _draw = mixed(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * MIX_A)
