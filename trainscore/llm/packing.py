@@ -29,7 +29,7 @@ from .words import bounded, column, whole
 
 WINDOW = 2048
 END = 1
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
 
 Piece = tuple[int, int, int, int, int]  # document, start, length, sequence, offset
