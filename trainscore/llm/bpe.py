@@ -214,7 +214,7 @@ class Vocabulary:
 class WordEncoder:
     """Word to token ids, each distinct word merged once while it stays in the bounded table."""
 
-    LIMIT = 800_000
+    LIMIT = 600_000
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
