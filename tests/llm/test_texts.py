@@ -89,6 +89,25 @@ def test_languages_of_odd_texts(odd, empty, spark):
     assert all(r.rejected for r in langid.predict(foreign, model, F.col("doc_id")).collect())
 
 
+def test_foreign_latin_text_and_gibberish_are_rejected(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs.filter(~langid.held_out()))
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz   "
+    texts = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Ahi quanto a dir qual era cosa dura",
+        "W Szczebrzeszynie chrząszcz brzmi w trzcinie i Szczebrzeszyn z tego słynie, że w lasach pod miastem rosną wysokie drzewa",
+        "Vaka vanha Väinämöinen itse tuon sanoiksi virkki, mieleni minun tekevi aivoni ajattelevi lähteäni laulamahan",
+        *["".join(rng.choice(letters) for _ in range(n)) for n in (60, 400, 3000)],
+    ]
+    foreign = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r.rejected for r in langid.predict(foreign, model, F.col("doc_id")).collect())
+    # Beginnings of clean texts stay.
+    short = docs.filter(langid.held_out()).select("doc_id", F.substring("text", 1, 40).alias("text")).filter("text rlike '[a-z]{3}'")
+    kept = [not r.rejected for r in langid.predict(short, model, F.col("doc_id")).collect()]
+    assert sum(kept) >= 0.97 * len(kept) > 0
+
+
 # -- line dedup ----------------------------------------------------------------
 
 

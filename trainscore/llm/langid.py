@@ -4,8 +4,9 @@ A text's letters, lower-cased, with one space for whatever lies between them, gi
 character n-grams of one to three; their hashed counts, damped and weighted by rarity, form a
 vector of length one. The labelled texts of a language are clustered into a few centroids
 (spherical k-means); a text gets the language of the centroid with the largest cosine.
-A text further from every centroid than ``SLACK`` allows, measured on the training texts, is
-rejected.
+A text is rejected whose cosine is below ``SLACK`` times the ``LOW``-th percentile of what
+beginnings of that language's training texts with like many n-grams have, by powers of two:
+short texts are judged more mildly.
 
 Centroids are fitted on a sample of at most about ``PER_LANGUAGE`` labelled texts of each
 language, chosen by a hash of the id, so the driver's share is bounded; predictions read
@@ -34,7 +35,8 @@ BUCKETS = 1 << 13
 PER_LANGUAGE = 400
 CENTROIDS = 3
 ROUNDS = 10
-SLACK = 0.2  # of the least cosine that a training text has with its own language
+LOW, SLACK = 5, 0.5  # percentile of the cosines with a training text's own language, and its share that is enough
+LEVELS = 32
 UNKNOWN = "und"
 
 
@@ -65,6 +67,20 @@ def counts(text: str) -> np.ndarray:
     return np.bincount(buckets(text), minlength=BUCKETS)
 
 
+def levels(rows: np.ndarray) -> np.ndarray:
+    """The power of two in each text's number of n-grams."""
+    return np.minimum(np.log2(np.maximum(rows.sum(axis=1), 1)).astype(np.int64), LEVELS - 1)
+
+
+def limits(level: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """The least cosine for each level; a level without texts has that of the one below."""
+    out = np.zeros(LEVELS)
+    for i in range(LEVELS):
+        some = cosines[level == i]
+        out[i] = SLACK * np.percentile(some, LOW) if len(some) else out[max(i - 1, 0)]
+    return out
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(rows, axis=-1, keepdims=True)
     return rows / np.where(norms > 0, norms, 1)
@@ -75,7 +91,7 @@ class LanguageModel:
     languages: list[str]  # of each centroid
     centroids: np.ndarray
     rarity: np.ndarray
-    least: np.ndarray  # cosine below which a text is too far, for each centroid
+    least: np.ndarray  # cosine below which a text is too far, for each centroid and level of its length
 
     def vectors(self, rows: np.ndarray) -> np.ndarray:
         return unit(np.log1p(rows.astype(np.float32)) * self.rarity)
@@ -113,7 +129,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_column:
             found = [np.minimum(counts(t), np.iinfo(np.uint32).max).astype("<u4") for t in column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, "lang"), pa.array([f.tobytes() for f in found], pa.binary())], names=["lang", "counts"])
 
-    sample = rows.filter(draw < share[F.col("lang")]).mapInArrow(run, "lang string, counts binary").collect()
+    drawn = rows.filter(draw < share[F.col("lang")])
+    sample = drawn.mapInArrow(run, "lang string, counts binary").collect()
     names = np.array([r["lang"] for r in sample])
     seen = np.stack([np.frombuffer(r["counts"], "<u4") for r in sample]) if sample else np.empty((0, BUCKETS), np.uint32)
     some = seen.any(axis=1)
@@ -124,14 +141,29 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_column:
     vectors = unit(np.log1p(seen.astype(np.float32)) * rarity)
     languages: list[str] = []
     found: list[np.ndarray] = []
-    least: list[float] = []
     for name in sorted(set(names)):
         own = vectors[names == name]
         centroids = clusters(own, CENTROIDS)
         languages += [name] * len(centroids)
         found.append(centroids)
-        least += [SLACK * float((own @ centroids.T).max(axis=1).min())] * len(centroids)
-    return LanguageModel(languages, np.concatenate(found).astype(np.float32), rarity, np.array(least))
+    model = LanguageModel(languages, np.concatenate(found).astype(np.float32), rarity, np.zeros((len(languages), LEVELS)))
+
+    def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cosines of the beginnings of each text, of 1, 2, 4... characters and the whole, with its own language."""
+        for batch in batches:
+            for name, whole_text in zip(column(batch, "lang").to_pylist(), column(batch, "text").to_pylist(), strict=True):
+                seen = np.stack([counts(whole_text[: 1 << bit]) for bit in range(len(whole_text).bit_length() + 1)])
+                seen = seen[seen.any(axis=1)]
+                own = np.array([x == name for x in model.languages])
+                if len(seen) and own.any():
+                    cosines = (model.vectors(seen) @ model.centroids[own].T).max(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen)), pa.array(levels(seen)), pa.array(cosines.astype(np.float64))], names=["lang", "level", "cosine"])
+
+    seen_levels = drawn.mapInArrow(measured, "lang string, level long, cosine double").toArrow()
+    of, level, cosine = (seen_levels.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "level", "cosine"))
+    for name in set(languages):
+        model.least[np.array(languages) == name] = limits(level[of == name], cosine[of == name])
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, *columns: Column, text: str = "text") -> DataFrame:
@@ -148,7 +180,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, *columns: Column, text
                     best, cosines = model.nearest(seen[lettered])
                     names[lettered] = np.array(model.languages, object)[best]
                     scores[lettered] = cosines
-                    rejected[lettered] = cosines < model.least[best]
+                    rejected[lettered] = cosines < model.least[best, levels(seen[lettered])]
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)],
                     names=[*batch.schema.names[:-1], "lang_pred", "score", "rejected"],
