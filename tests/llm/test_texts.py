@@ -187,6 +187,28 @@ def test_a_seed_draws_its_lexical_neighbours():
     assert first[0] == 0 and set(first[:3]) == {0, 2, 4}
 
 
+def test_neighbours_meet_across_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 4000)
+    monkeypatch.setattr(packing, "bounded", lambda batch, *_, **__: (batch.slice(i, 1) for i in range(batch.num_rows)))
+    rng = random.Random(6)
+    topics = [["".join(rng.choice(letters) for _ in range(5)) for _ in range(40)] for letters in ("abc", "def", "ghi", "jkl", "mno", "pqr", "stu", "vwx")]
+    texts = [(i, " ".join(rng.choice(topics[i % 8]) for _ in range(150))) for i in range(64)]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA).repartitionByRange(64, "doc_id")
+    together = defaultdict(set)
+    for r in packing.pack(docs, WORD_BPE).collect():
+        together[r.sequence_id].add(r.doc_id)
+    pairs = [(a % 8 == b % 8) for ids in together.values() for a in ids for b in ids if a < b]
+    assert sum(pairs) > 0.5 * len(pairs) > 0
+
+
+def test_weights_are_those_of_the_corpus():
+    docs = [np.array(d, "<u4") for d in ([2, 3, 1], [2, 4, 1], [5, 4, 1], [5, 3, 1])]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=6)
+    whole = packing.Bm25(docs)
+    part = packing.Bm25(docs[:2], packing.Corpus(df, 4, 3.0))
+    assert np.allclose(part.scores(docs[0]), whole.scores(docs[0])[:2])
+
+
 # -- secrets -------------------------------------------------------------------
 
 KIND = {

@@ -1,22 +1,29 @@
 """Packing documents into windows: each seed draws its lexical neighbours from a BM25 index.
 
-A shard is a run of documents of about ``SHARD_TOKENS`` tokens as they lie in a partition; it has
-an inverted index of its own, whose terms are token ids. A window starts with what is left of
+Document frequencies, their number and mean length are those of all documents. Each document has
+a key, two terms drawn by a hash in proportion to their BM25 weights among those that another
+document has too: the more weight two documents share, the likelier they draw the same. All
+documents are range-partitioned and sorted by it, so that neighbours meet wherever they lay. A
+shard is a run of about ``SHARD_TOKENS`` tokens in that order; it has an inverted index
+of its own, whose terms are token ids. A window starts with what is left of
 a cut document, or with the first unused one, its seed; the unused documents of the shard that
 score best for the seed's terms follow until the window is full, and the last is cut. What remains of a
 shard is cut into sequences whose lengths are powers of two, so no sequence is padded.
 
-No shuffle takes place: a shard is read, encoded and packed in one task, whose memory a
-shard, or the longest document, bounds. Sequence ids hold the partition and a number in it.
+Ids are written once and shuffled once; documents of one key are told apart by a hash, so that
+a common key spreads over partitions. A shard is packed in one task, whose memory a
+shard, or the longest document, bounds; the frequencies are bounded by the vocabulary. Sequence ids hold the partition and a number in it.
 
 A null text counts as empty: one token, the end. Repeated rows and ids are packed row by row;
-ties go to the earlier document. Other columns are not read.
+ties go to the document that is earlier in the shard. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,29 +31,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder, send_vocabulary
-from .words import bounded, column, whole
+from .bpe import Vocabulary, encoder, send_vocabulary
+from .tables import Scratch
+from .words import bounded, column, mixed, whole
 
 WINDOW = 2048
 END = 1
 SHARD_TOKENS = 1 << 20
+SHARDS = 4  # of a partition
 K1, B = 1.2, 0.75
 
 Piece = tuple[int, int, int, int, int]  # document, start, length, sequence, offset
 
 
+@dataclass
+class Corpus:
+    """Of all documents: how many have each term, their number, their mean length."""
+
+    df: np.ndarray
+    count: int
+    mean: float
+
+
 class Bm25:
-    """The inverted index of a shard: for each term its documents and their weights."""
+    """The inverted index of a shard: for each term its documents and their weights, by the corpus's statistics if given."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         self.sizes = np.array([len(d) for d in docs], np.int64)
         owner = np.repeat(np.arange(len(docs)), self.sizes)
         coded, tf = np.unique(np.concatenate(docs).astype(np.int64) << 32 | owner, return_counts=True)
         term, self.owner = coded >> 32, coded & 0xFFFFFFFF
         self.terms, self.first, df = np.unique(term, return_index=True, return_counts=True)
         self.last = self.first + df
-        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
-        damp = K1 * (1 - B + B * self.sizes[self.owner] / self.sizes.mean())
+        everywhere = df if corpus is None else corpus.df[self.terms]
+        count, mean = (len(docs), self.sizes.mean()) if corpus is None else (corpus.count, corpus.mean)
+        idf = np.log1p((count - everywhere + 0.5) / (everywhere + 0.5))
+        damp = K1 * (1 - B + B * self.sizes[self.owner] / mean)
         self.weights = np.repeat(idf, df) * tf * (K1 + 1) / (tf + damp)
         self.count = len(docs)
 
@@ -58,9 +78,24 @@ class Bm25:
         return np.bincount(self.owner[postings], self.weights[postings], self.count)
 
 
-def packed(docs: list[np.ndarray], window: int = WINDOW) -> list[Piece]:
+def keys(docs: list[np.ndarray], corpus: Corpus) -> np.ndarray:
+    """Two terms of each document, of those that another document has: a weighted MinHash."""
+    index = Bm25(docs, corpus)
+    term = np.repeat(index.terms, index.last - index.first)
+    shared = np.flatnonzero(corpus.df[term] > 1)
+    draw = -np.log((mixed(term + 1) >> np.uint64(11)).astype(np.float64) / (1 << 53) + 1e-17) / index.weights
+    order = shared[np.lexsort((term[shared], draw[shared], index.owner[shared]))]
+    owner, term = index.owner[order], term[order]
+    out = np.zeros((len(docs), 2), np.int64)
+    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    for place in (0, 1):
+        out[owner[rank == place], place] = term[rank == place] + 1
+    return out[:, 0] << 32 | out[:, 1]
+
+
+def packed(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[Piece]:
     """Pieces that cover each document's ids once, in full windows and then powers of two."""
-    index = Bm25(docs)
+    index = Bm25(docs, corpus)
     unused = np.ones(len(docs), bool)
     pieces: list[Piece] = []
     sequence = filled = earliest = 0
@@ -117,18 +152,58 @@ def packed(docs: list[np.ndarray], window: int = WINDOW) -> list[Piece]:
 
 def pack(docs: DataFrame, vocabulary: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """A row for each piece: id, ``start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
-    name = send_vocabulary(docs.sparkSession, vocabulary)
+    spark = docs.sparkSession
+    scratch, name = Scratch(spark), send_vocabulary(spark, vocabulary)
     rows = docs.select(F.col(id_column).alias("id"), whole(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    size = max(len(Vocabulary(vocabulary).text), END + 1)
+
+    def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(name)
+        for rows_in in batches:
+            for batch in bounded(rows_in, size=4 << 20):
+                ids = [np.append(i, END).astype("<u4").tobytes() for i in coder.encode(column(batch, "text"))]
+                yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(ids, pa.binary())], names=["id", "ids"])
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+        for rows_in in batches:
+            for batch in bounded(rows_in, "ids", 4 << 20):
+                yield batch, [np.frombuffer(i, "<u4") for i in column(batch, "ids").to_pylist()]
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The documents that have each term, all documents (-1) and their tokens (-2)."""
+        df, count, tokens = np.zeros(size, np.int64), 0, 0
+        for _, held in read(batches):
+            owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
+            df += np.bincount(np.unique(np.concatenate(held).astype(np.int64) << 32 | owner) >> 32, minlength=size)
+            count, tokens = count + len(held), tokens + len(owner)
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(term, [-1, -2])), pa.array(np.append(df[term], [count, tokens]))], names=["term", "n"])
+
+    texts = scratch.keep(rows.mapInArrow(coded, f"id {kind}, ids binary"), "coded")
+    sums = texts.select("ids").mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = (sums.column(c).to_numpy() for c in ("term", "n"))
+    df = np.zeros(size, np.int64)
+    df[term[term >= 0]] = n[term >= 0]
+    count, tokens = int(n[term == -1].sum()), int(n[term == -2].sum())
+    corpus = Corpus(df, count, tokens / max(count, 1))
+
+    def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, held in read(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys(held, corpus))], names=["id", "ids", "key"])
+
+    order = ["key", "salt", "row"]
+    near = texts.mapInArrow(keyed, f"id {kind}, ids binary, key long").select("*", F.xxhash64("id", "ids").alias("salt"), F.monotonically_increasing_id().alias("row"))
+    near = near.repartitionByRange(max(1, math.ceil(tokens / SHARD_TOKENS / SHARDS)), *order).sortWithinPartitions(*order).select("id", "ids")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, first = encoder(name), TaskContext.get().partitionId() << 32
+        first = TaskContext.get().partitionId() << 32
         held: list[np.ndarray] = []
         ids: list[pa.Array] = []
 
         def shard() -> pa.RecordBatch:
             nonlocal first
-            found = packed(held)
+            found = packed(held, corpus=corpus)
             doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*found, strict=True))
             crcs = [zlib.crc32(held[d][s : s + n].tobytes()) for d, s, n, _, _ in found]
             tokens = np.array([len(h) for h in held], np.int64)[doc]
@@ -138,16 +213,13 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", id_column: str =
             ids.clear()
             return pa.RecordBatch.from_arrays(out, names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        size = 0
-        for rows_in in batches:
-            for batch in bounded(rows_in, size=4 << 20):
-                held += [np.append(i, END).astype("<u4") for i in coder.encode(column(batch, "text"))]
-                ids.append(column(batch, "id"))
-                size = sum(map(len, held))
-                if size >= SHARD_TOKENS:
-                    yield shard()
+        for batch, some in read(batches):
+            held += some
+            ids.append(column(batch, "id"))
+            if sum(map(len, held)) >= SHARD_TOKENS:
+                yield shard()
         if held:
             yield shard()
 
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return near.mapInArrow(run, schema).withColumnRenamed("id", id_column)
