@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, line_dedup, lm, near_dedup, packing, secret_scan, substring_dedup, topk
+from . import ann, bpe, langid, line_dedup, lm, near_dedup, packing, piece_bpe, secret_scan, substring_dedup, topk
 from .words import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -110,3 +111,8 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id AND d.text = k.text
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), WORD_BPE)
+
+
+@query
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.coded(documents(spark, sf_dir), PIECE_BPE, check=True)
