@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, line_dedup, lm, near_dedup, packing, piece_bpe, secret_scan, substring_dedup, topk
+from . import ann, bpe, langid, line_dedup, lm, near_dedup, packing, piece_bpe, ranked_search, secret_scan, substring_dedup, topk
 from .words import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +116,36 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.coded(documents(spark, sf_dir), PIECE_BPE, check=True)
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLES["op11_ranked_search"] = r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), sizes AS (
+  SELECT doc_id, r, len(terms) AS n FROM words WHERE len(terms) > 0
+), total AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS all_terms FROM sizes
+), asked AS (
+  SELECT item_id, row_number() OVER () AS i, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM benchmark
+), wanted AS (
+  SELECT item_id, i, term, count(*) AS reps FROM (SELECT item_id, i, unnest(terms) AS term FROM asked) GROUP BY ALL
+), counts AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM words) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, total GROUP BY term, docs
+), scored AS (
+  SELECT w.item_id, w.i, s.doc_id, s.r,
+    CAST(sum(w.reps * g.w * ((1000000000 * c.tf) // (1000 * c.tf + 8 * (100 - 75 + (75 * s.n * t.docs) // t.all_terms)))) AS BIGINT) AS score
+  FROM wanted w JOIN counts c ON w.term = c.term JOIN weights g ON w.term = g.term JOIN sizes s ON c.r = s.r, total t
+  GROUP BY w.item_id, w.i, s.doc_id, s.r
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
