@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, line_dedup, lm, near_dedup, packing, piece_bpe, ranked_search, secret_scan, substring_dedup, topk
+from . import ann, bpe, chat_repair, langid, line_dedup, lm, near_dedup, packing, piece_bpe, ranked_search, secret_scan, substring_dedup, topk
 from .words import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,3 +149,8 @@ WITH words AS (
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
 """
+
+
+@query
+def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(table(spark, sf_dir, "conversations"))
