@@ -9,7 +9,7 @@ from .metrics import (
     regression_metrics,
     topic_metrics,
 )
-from .parse import FeatureColumns, apply_data_spec, parse_records
+from .parse import FeatureColumns, apply_data_spec, divide, parse_records, rejected_records
 
 __all__ = [
     "FeatureColumns",
@@ -19,7 +19,9 @@ __all__ = [
     "classification_metrics",
     "clustering_metrics",
     "confusion",
+    "divide",
     "parse_records",
     "regression_metrics",
+    "rejected_records",
     "topic_metrics",
 ]

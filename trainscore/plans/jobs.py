@@ -22,7 +22,7 @@ from ..operators.split import (
 )
 from ..plugins import Algorithm, Parameter, Scorer, read_parameter, resolve_algorithm, resolve_scorer
 from ..spec import BatchSpec, TrainSpec
-from ..storage import fresh_path, path_exists, ship_package, sized_for
+from ..storage import fresh_path, path_exists, ship_package, sized_for, working_storage
 
 log = logging.getLogger(__name__)
 
@@ -122,7 +122,7 @@ def run_train(
     if spec.modelSavePath and not spec.overwriteModel and path_exists(spark, spec.modelSavePath):
         raise ValueError(f"{spec.modelSavePath} already exists: ask for overwriteModel or name another path")
 
-    with sized_for(spark, spec.sourceParameter.paths):
+    with working_storage(spark), sized_for(spark, spec.sourceParameter.paths):
         model, metrics = _fit_and_verify(spark, spec, algorithm, data, params)
 
     if spec.modelIndicatorSavePath:
@@ -147,7 +147,7 @@ def run_batch(
     data = read_parameter(spec.dataParameter, spec.dataParameterClass)
     try:
         scorer.load_model(spark, spec.modelPath)
-        with sized_for(spark, spec.sourceParameter.paths):
+        with working_storage(spark), sized_for(spark, spec.sourceParameter.paths):
             raw = scorer.load(spark, spec.sourceParameter)
             rows = scorer.parse(raw, data, spec.sourceParameter.type)
             return scorer.save(scorer.predict(rows), spec.resultSavePath, spec.resultFormat, spec.resultMode)

@@ -49,8 +49,8 @@ class Algorithm(ABC):
         """Raise ``ValueError`` for settings that cannot work; called before any data is read."""
 
     def load(self, spark: SparkSession, source: SourceSpec) -> DataFrame:
-        """Raw rows of the source; override to read something else."""
-        return load_source(spark, source)
+        """Raw rows of the source, for ``apply_data_spec``; override to read something else."""
+        return load_source(spark, source, verdicts=True)
 
     @abstractmethod
     def parse(self, raw: DataFrame, data: Parameter, source_type: str) -> DataFrame:
@@ -83,7 +83,7 @@ class Scorer(ABC):
         """Prepare everything needed for predicting."""
 
     def load(self, spark: SparkSession, source: SourceSpec) -> DataFrame:
-        return load_source(spark, source)
+        return load_source(spark, source, verdicts=True)
 
     @abstractmethod
     def parse(self, raw: DataFrame, data: Parameter, source_type: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.records import CORRUPT, csv_judged, kept
 from ..spec import SourceSpec
 
 KEY_VALUE_INPUT_FORMAT = "org.apache.hadoop.mapred.KeyValueTextInputFormat"
@@ -48,12 +49,15 @@ def _whole_files(spark: SparkSession, src: SourceSpec) -> DataFrame:
 
 def _csv(spark: SparkSession, src: SourceSpec) -> DataFrame:
     # Without a schema the header names the columns and all stay strings:
-    # type inference would read the whole source once more. With one, a cell of
-    # another type (in a column that is read) or a row of another length fails;
-    # ``mode: DROPMALFORMED`` leaves such rows out.
-    typed = {"mode": "FAILFAST", "columnPruning": "false"} if src.schema else {}
-    reader = spark.read.options(**{"header": "true", **typed, **src.options})
-    return (reader.schema(src.schema) if src.schema else reader).csv(src.paths)
+    # type inference would read the whole source once more. With one, malformed rows
+    # come with their text in a further column, unless ``mode`` says what to do with them.
+    reader = spark.read.options(**{"header": "true", "columnPruning": "false", **src.options})
+    if not src.schema:
+        return reader.csv(src.paths)
+    if "mode" in src.options:
+        return reader.schema(src.schema).csv(src.paths)
+    schema = T.StructType.fromDDL(src.schema).add(CORRUPT, T.StringType())
+    return reader.option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(src.paths)
 
 
 def _parquet(spark: SparkSession, src: SourceSpec) -> DataFrame:
@@ -143,7 +147,14 @@ _READERS: dict[str, Callable[[SparkSession, SourceSpec], DataFrame]] = {
 }
 
 
-def load_source(spark: SparkSession, source: SourceSpec | dict[str, Any] | str) -> DataFrame:
-    """Read ``source`` as a DataFrame; nothing but metadata is read here."""
+def load_source(spark: SparkSession, source: SourceSpec | dict[str, Any] | str, *, verdicts: bool = False) -> DataFrame:
+    """Read ``source`` as a DataFrame; nothing but metadata is read here.
+
+    A malformed row of a typed CSV fails. With ``verdicts`` its text stands in the column
+    ``__corrupt`` instead, for ``apply_data_spec`` to decide by ``onInvalid``.
+    """
     src = SourceSpec.parse(source)
-    return _READERS[src.type](spark, src)
+    rows = _READERS[src.type](spark, src)
+    if CORRUPT in rows.columns and not verdicts:
+        return kept(csv_judged(rows), "error").drop(CORRUPT)
+    return rows

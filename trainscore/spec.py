@@ -139,6 +139,7 @@ class DataSpec:
     ratings: dict[str, Any] | None = None
     keep: tuple[str, ...] = ()
     onInvalid: str = "error"
+    rejectPath: str | None = None
 
     @classmethod
     def parse(cls, setting: Any) -> DataSpec:
@@ -156,6 +157,8 @@ class DataSpec:
             raise ValueError("dataParameter has a delimiter but no schema")
         if raw.get("explode") and (raw.get("delimiter") or not raw.get("schema")):
             raise ValueError("explode needs a schema and no delimiter")
+        if (raw.get("onInvalid") == "reject") != (raw.get("rejectPath") is not None):
+            raise ValueError("onInvalid reject and a rejectPath need each other")
         return cls(
             **{
                 **raw,
@@ -164,7 +167,7 @@ class DataSpec:
                 "features": _string_list(raw.get("features"), "features"),
                 "keep": _string_list(raw.get("keep"), "keep"),
                 "ratings": ratings,
-                "onInvalid": _one_of(raw.get("onInvalid", "error"), ("error", "skip"), "onInvalid"),
+                "onInvalid": _one_of(raw.get("onInvalid", "error"), ("error", "skip", "reject"), "onInvalid"),
             }
         )
 

@@ -17,9 +17,10 @@ import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
-from py4j.protocol import Py4JJavaError
+from py4j.protocol import Py4JError, Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
@@ -64,6 +65,39 @@ def fresh_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+_job_paths: ContextVar[list[str] | None] = ContextVar("job_paths", default=None)
+
+
+@contextmanager
+def working_storage(spark: SparkSession) -> Iterator[None]:
+    """Folders named by ``working_path`` inside go at the end."""
+    paths: list[str] = []
+    token = _job_paths.set(paths)
+    try:
+        yield
+    finally:
+        _job_paths.reset(token)
+        for path in paths:
+            delete_path(spark, path)
+
+
+def working_path(spark: SparkSession, purpose: str) -> str:
+    """A fresh path for a table of the running job, or of this process where no job runs."""
+    path, paths = fresh_path(spark, purpose), _job_paths.get()
+    if paths is None:
+        atexit.register(_forget, spark, path)
+    else:
+        paths.append(path)
+    return path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        delete_path(spark, path)
+    except (Py4JError, OSError, AttributeError):
+        pass  # the session is gone; the cluster's own cleaning remains
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Give iterative estimators a place to cut their lineage, if they have none."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trainscore import load_source
-from trainscore.functions import apply_data_spec
+from trainscore.functions import apply_data_spec, divide
 from trainscore.operators.estimators import MLAlgorithm, find_estimator
 from trainscore.plugins import Parameter
 from trainscore.spec import DataSpec, SourceSpec
@@ -207,6 +209,74 @@ def source_csv_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_data_spec(raw, DataSpec.parse({"filter": "l_quantity >= 10", "keep": keep, "onInvalid": "skip"}), "CSV")
 
 
+# The same lines in three forms, with whole quantities; every 100th is broken, in four ways by turns.
+RECORD = "l_orderkey bigint, l_linenumber int, l_quantity double"
+FORMS = ("json", "delimited", "csv")
+
+
+def _broken_records(spark: SparkSession, sf_dir: str, form: str) -> tuple[DataFrame, dict, str]:
+    """The records as a source reads them, the setting that parses them, and the source's type."""
+    path = fresh_path(spark, form)
+    way = F.expr(f"{LINE} % 400")
+    quantity = F.col("l_quantity").cast("int").cast("string")
+    if form == "json":
+        quantity = F.when(way == 0, F.lit('"bad"')).when(way == 100, F.lit("NaN")).otherwise(quantity)
+        line = F.format_string('{"l_orderkey": %s, "l_linenumber": %s, "l_quantity": %s', "l_orderkey", "l_linenumber", quantity)
+        line = F.when(way == 200, line).when(way == 300, F.lit("null")).otherwise(F.concat(line, F.lit("}")))
+    else:
+        delimiter = "|" if form == "delimited" else ","
+        quantity = F.when(way == 0, F.lit("bad")).when(way == 100, F.lit("NaN")).otherwise(quantity)
+        short = F.concat_ws(delimiter, "l_orderkey", "l_linenumber")
+        line = F.concat_ws(delimiter, short, quantity)
+        line = F.when(way == 200, short).when(way == 300, F.concat(line, F.lit(f"{delimiter}more"))).otherwise(line)
+    table(spark, sf_dir, "lineitem").select(line).write.text(path)
+    if form == "csv":
+        source = {"source": path, "type": "csv", "schema": RECORD, "options": {"header": "false"}}
+        return load_source(spark, source, verdicts=True), {}, "CSV"
+    setting = {"schema": RECORD, **({"delimiter": "|"} if form == "delimited" else {})}
+    return load_source(spark, {"source": path, "type": "text"}), setting, "TEXT"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, floor(l_quantity) AS l_quantity FROM lineitem WHERE {LINE} % 100 <> 0 AND floor(l_quantity) >= 10")
+def parse_json_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON records of the wrong type, with NaN, cut off, or null are left out, and only they."""
+    raw, setting, kind = _broken_records(spark, sf_dir, "json")
+    return apply_data_spec(raw, DataSpec.parse({**setting, "filter": "l_quantity >= 10", "onInvalid": "skip"}), kind)
+
+
+@query(
+    f"""WITH lines AS (
+          SELECT {LINE} % 400 AS way, CAST(l_orderkey AS VARCHAR) AS k, CAST(l_linenumber AS VARCHAR) AS n,
+                 CAST(CAST(floor(l_quantity) AS INTEGER) AS VARCHAR) AS q FROM lineitem WHERE {LINE} % 100 = 0
+        ), json AS (
+          SELECT 'json' AS form, way,
+                 CASE WHEN way = 300 THEN 'null' ELSE
+                   '{{"l_orderkey": ' || k || ', "l_linenumber": ' || n || ', "l_quantity": ' ||
+                   CASE way WHEN 0 THEN '"bad"' WHEN 100 THEN 'NaN' ELSE q END || CASE WHEN way = 200 THEN '' ELSE '}}' END END AS text,
+                 CASE WHEN way = 100 THEN 'bad value of l_quantity' ELSE 'no JSON object of the schema' END AS reason FROM lines
+        ), cells AS (
+          SELECT form, way, k || d || n || CASE way WHEN 0 THEN d || 'bad' WHEN 100 THEN d || 'NaN' WHEN 200 THEN '' ELSE d || q || d || 'more' END AS text,
+                 CASE WHEN way = 100 OR (way = 0 AND d = '|') THEN 'bad value of l_quantity' WHEN d = ',' THEN 'bad cell, or too few or too many'
+                      WHEN way = 200 THEN '2 cells instead of 3' ELSE '4 cells instead of 3' END AS reason
+          FROM lines, (VALUES ('delimited', '|'), ('csv', ',')) AS forms(form, d)
+        )
+        SELECT form, text, 'malformed record: ' || reason AS reason, TRUE AS has_path FROM json
+        UNION ALL SELECT form, text, 'malformed record: ' || reason, TRUE FROM cells
+        UNION ALL SELECT form, CAST(count(*) AS VARCHAR), 'good', TRUE FROM lineitem, (VALUES ('json'), ('delimited'), ('csv')) AS forms(form)
+                  WHERE {LINE} % 100 <> 0 GROUP BY form"""
+)
+def parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One parse of each form yields the good records and those rejected, with file, text and reason."""
+    parts = []
+    for form in FORMS:
+        raw, setting, kind = _broken_records(spark, sf_dir, form)
+        good, rejected = divide(raw, DataSpec.parse(setting), kind)
+        has_path = F.coalesce(F.col("path").contains(f"/{form}-"), F.lit(False)).alias("has_path")
+        parts.append(rejected.select(F.lit(form).alias("form"), "text", "reason", has_path))
+        parts.append(good.agg(F.count("*").cast("string").alias("text")).select(F.lit(form).alias("form"), "text", F.lit("good").alias("reason"), F.lit(True).alias("has_path")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("SELECT c_custkey AS key, c_name AS value FROM customer")
 def source_object_jvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OBJECT: rows that the JVM serialised, as maps."""
