@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from abc import abstractmethod
 from collections.abc import Iterator
@@ -41,6 +42,7 @@ DEFAULT_REQUEST = {"schema": "data array<double>", "features": ["data"]}
 _states: dict[tuple, Any] = {}
 
 ANSI = "spark.sql.ansi.enabled"
+_building = threading.RLock()  # the setting belongs to the session, which threads share
 CORRUPT = "__corrupt"
 REASON = "__reason"
 
@@ -77,17 +79,18 @@ def parse_requests(requests: DataFrame, schema: str) -> tuple[DataFrame, list[st
 
 
 @contextmanager
-def lenient_casts(spark: SparkSession) -> Iterator[None]:
-    """Expressions built here give null where a cast or a division fails.
+def built_with_ansi(spark: SparkSession, on: bool) -> Iterator[None]:
+    """Expressions built here raise (or not) where a cast, a division or a sum fails.
 
     Whether an expression raises is fixed when it is built, so the setting need not last until it runs.
     """
-    before = spark.conf.get(ANSI)
-    spark.conf.set(ANSI, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(ANSI, before)
+    with _building:
+        before = spark.conf.get(ANSI)
+        spark.conf.set(ANSI, str(on).lower())
+        try:
+            yield
+        finally:
+            spark.conf.set(ANSI, before)
 
 
 def _failure(reason: Column | str) -> Column:
@@ -111,6 +114,9 @@ class MLScorer(Scorer):
         self.outputs = list(self.parameter.get("outputs") or [])
         request = {k: v for k, v in self.parameter.items() if k != "outputs"}
         self.request = DataSpec.parse(request or DEFAULT_REQUEST)
+        # Plain fields cannot fail; expressions can.
+        fields = {f"`{n}`" for n in T.StructType.fromDDL(self.request.schema).fieldNames()} if self.request.schema else set()
+        self.runs_jobs = bool(self.request.columns) or not all(f"`{e.strip('`')}`" in fields for e in self.request.features)
         self.model: Model | None = None
 
     def load_model(self, spark: SparkSession, path: str) -> None:
@@ -139,15 +145,27 @@ class MLScorer(Scorer):
             raise ValueError("an ALS model answers requests through the recommend scorer")
         if not self.request.features or not self.request.schema:
             raise ValueError("modelParameter must give schema and features of a request")
-        parsed, _ = parse_requests(requests, self.request.schema)
-        with lenient_casts(requests.sparkSession):
-            if self.request.columns:
-                parsed = parsed.withColumns({n: F.expr(sql) for n, sql in self.request.columns.items()})
-            features = FeatureColumns(parsed, self.request.features)
-            parsed = parsed.select("request_id", CORRUPT, *features.parts)
-        rows = parsed.select(
-            "request_id", CORRUPT, features.complete.alias("__complete"), features.values.alias("__values")
-        )
+        parsed, names = parse_requests(requests, self.request.schema)
+        columns = self.request.columns
+        # Without ANSI rules casts and divisions that fail give null, which has an answer of its own. Where all is
+        # well the values are computed by ANSI rules, so that a sum beyond its type fails and is never a wrong number.
+        with built_with_ansi(requests.sparkSession, False):
+            asked = F.struct(*[F.col(f"`{n}`") for n in names]).alias("__request")
+            loose = parsed.select("request_id", CORRUPT, asked, *[F.col(f"`{n}`") for n in names])
+            if columns:
+                loose = loose.withColumns({n: F.expr(sql) for n, sql in columns.items()})
+            features = FeatureColumns(loose, self.request.features)
+            loose = loose.select("request_id", CORRUPT, "__request", *features.parts)
+        rows = loose.select("request_id", CORRUPT, features.complete.alias("__complete"), features.values.alias("__values"), "__request")
+        if self.runs_jobs:
+            complete = F.col("__complete")
+            with built_with_ansi(requests.sparkSession, True):
+                strict = rows.select("request_id", CORRUPT, "__complete", "__request.*")
+                if columns:
+                    strict = strict.withColumns({n: F.when(complete, F.expr(sql)) for n, sql in columns.items()})
+                features = FeatureColumns(strict, self.request.features, complete)
+                strict = strict.select("request_id", CORRUPT, "__complete", *features.parts)
+            rows = strict.select("request_id", CORRUPT, "__complete", features.values.alias("__values"))
 
         size = feature_count(self.model)
         reason = F.when(F.col(CORRUPT), _failure("malformed request")).when(

@@ -69,7 +69,8 @@ class Scorer(ABC):
     """Applies a model to tables and to requests.
 
     ``runs_jobs`` is True for a scorer whose answer needs Spark jobs of its own
-    (joins, top-N); a stream then hands it one micro-batch at a time.
+    (joins, top-N) or whose plan a request can make fail; a stream then hands it one
+    micro-batch at a time, and a request that makes it fail is answered with the failure.
     """
 
     name: str = ""
@@ -105,7 +106,9 @@ class Scorer(ABC):
 
     def answer(self, spark: SparkSession, data: str) -> str:
         """The result for a single request."""
-        return self.respond(spark.createDataFrame([(0, data)], REQUEST_SCHEMA)).first()["result"]
+        from .operators.isolate import answered_apart
+
+        return answered_apart(self, spark.createDataFrame([(0, data)], REQUEST_SCHEMA)).first()["result"]
 
     def unload(self) -> None:
         """Release resources, if any."""

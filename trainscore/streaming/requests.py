@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.isolate import answered_apart, data_fault
 from ..plans.jobs import add_plugin_code
 from ..plugins import REQUEST_SCHEMA, Scorer, resolve_scorer
 from ..spec import StreamSpec
@@ -31,13 +34,22 @@ def read_requests(spark: SparkSession, spec: StreamSpec) -> DataFrame:
 
 
 def _save_each_batch(scorer: Scorer, spec: StreamSpec):
-    """A replayed micro-batch overwrites its own folder, so it adds no rows."""
+    """A replayed micro-batch overwrites its own folder, so it adds no rows.
+
+    If some requests make the plan fail they are told apart, and their failure is their answer.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        def write(responses: DataFrame) -> None:
+            responses.write.mode("overwrite").format(spec.responseFormat).save(f"{spec.responsePath}/batch={batch_id}")
+
         batch.persist()
         try:
-            responses = scorer.respond(batch)
-            responses.write.mode("overwrite").format(spec.responseFormat).save(f"{spec.responsePath}/batch={batch_id}")
+            write(scorer.respond(batch))
+        except (PySparkException, Py4JJavaError) as err:
+            if data_fault(err) is None:
+                raise
+            write(answered_apart(scorer, batch))
         finally:
             batch.unpersist()
 

@@ -124,6 +124,42 @@ def score_stream_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {LINEAR_FIT}
+        SELECT event_id AS request_id,
+               CASE event_type WHEN 'signup' THEN 'INVALID_INDEX_OF_ZERO' WHEN 'error' THEN 'ARITHMETIC_OVERFLOW'
+                    WHEN 'purchase' THEN 'USER_RAISED_EXCEPTION' WHEN 'click' THEN 'PatternSyntaxException' ELSE 'answered' END AS status,
+               CASE WHEN event_type = 'view' THEN round(intercept + slope * x, 4) END AS prediction
+        FROM pts, fit"""
+)
+def score_stream_poison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that make the plan raise, in four ways, are answered with that; all others as usual."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    kind = F.col("event_type")
+    fields = [
+        F.when(kind == "signup", 0).otherwise(1).alias("i"),
+        F.when(kind == "error", F.lit(2**62)).when(kind == "view", k).otherwise(F.lit(0)).alias("k"),
+        F.when(kind == "click", "a(").otherwise(".*").alias("p"),
+        (kind == "purchase").alias("refuse"),
+    ]
+    requests = _write_requests(table(spark, sf_dir, "events"), "event_id", F.to_json(F.struct(*fields)))
+    request = {
+        "schema": "i int, k bigint, p string, refuse boolean",
+        "columns": {
+            "x": "element_at(array(k * 4), i) div 4",
+            "y": "if(refuse, raise_error('refused'), if('text' rlike p, x, 0))",
+        },
+        "features": ["y"],
+    }
+    responses = _stream(spark, requests, "ml", _linear_model(spark, sf_dir), modelParameter=request)
+    failed = F.col("result").startswith("Exception:")
+    prediction = F.get_json_object(F.when(~failed, F.col("result")), "$.prediction").cast("double")
+    reason = F.regexp_extract("result", r"^Exception:\[?([A-Za-z_]+)", 1)
+    return responses.select(
+        "request_id", F.when(failed, reason).otherwise("answered").alias("status"), F.round(prediction, 4).alias("prediction")
+    )
+
+
 @query(
     """WITH s AS (SELECT avg(value) AS mean, stddev_pop(value) AS deviation FROM events)
        SELECT event_id, round((value - mean) / deviation, 6) AS deviation FROM events, s"""
