@@ -14,7 +14,7 @@ functions throw for their arguments. A lost executor, a full disk or memory is r
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from typing import TYPE_CHECKING
+from typing import TYPE_CHECKING, Any
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException, PythonException
@@ -29,8 +29,9 @@ if TYPE_CHECKING:
 
 PROBES = 8
 
-# Classes of SQL states (data exception, cardinality, raised by the user), and what functions throw for bad arguments.
-DATA_STATES = ("22", "21", "P0")
+# Classes of SQL states (data exception, cardinality, a function's own failure, raised by the user), and
+# what functions throw for bad arguments.
+DATA_STATES = ("22", "21", "39", "P0")
 DATA_EXCEPTIONS = (
     "java.util.regex.",
     "java.time.",
@@ -58,16 +59,30 @@ def data_fault(err: Exception) -> str | None:
         state = err.getSqlState()
         return str(err).splitlines()[0] if state and state.startswith(DATA_STATES) else None
     if isinstance(err, Py4JJavaError):
-        cause, depth = err.java_exception, 0
-        while cause is not None and depth < 20:
+        causes = _causes(err.java_exception)
+        for i, cause in enumerate(causes):
             name = cause.getClass().getName()
             if name.startswith(DATA_EXCEPTIONS):
-                message = (cause.getMessage() or "").splitlines()
-                return f"{name.rsplit('.', 1)[-1]}: {message[0]}" if message else name.rsplit(".", 1)[-1]
-            cause, depth = cause.getCause(), depth + 1
+                return _line(cause)
+            if name.startswith("org.apache.spark.Spark") and (cause.getSqlState() or "").startswith(DATA_STATES):
+                return _line(causes[-1] if i + 1 < len(causes) else cause)
     return None
 
 
+def _causes(error: Any) -> list[Any]:
+    """A Java exception and what caused it, outermost first."""
+    out: list[Any] = []
+    while error is not None and len(out) < 20:
+        out.append(error)
+        error = error.getCause()
+    return out
+
+
+def _line(error: Any) -> str:
+    message = (error.getMessage() or "").splitlines()
+    return ": ".join([error.getClass().getName().rsplit(".", 1)[-1], *message[:1]])
+
+
 def _failure(scorer: Scorer, requests: DataFrame) -> str | None:
     """What answering these requests fails with, if it does."""
     try:

@@ -11,12 +11,13 @@ from typing import Any
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml import Model
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import OneVsRestModel
 from pyspark.ml.clustering import LDAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.recommendation import ALSModel
+from pyspark.ml.tuning import CrossValidatorModel, TrainValidationSplitModel
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,15 +26,15 @@ from pyspark.sql import types as T
 from ..functions.parse import FeatureColumns, apply_data_spec
 from ..plugins import ERROR_PREFIX, Parameter, Scorer, import_class, register_scorer
 from ..spec import DataSpec, check_keys
-from ..storage import ship_package
+from ..storage import metadata_below, ship_package
 from .topn import ITEMS_PER_PACK, packs, top_items
 
-# The packages a saved model's class may come from.
-MODEL_PACKAGES = tuple(
-    f"{root}.ml.{module}."
-    for root in ("org.apache.spark", "pyspark")
-    for module in ("classification", "regression", "clustering", "recommendation")
-)
+ROOTS = ("org.apache.spark.ml.", "pyspark.ml.")
+# The modules a saved model's class may come from, those that may stand inside one, and the models of stages.
+MODEL_MODULES = ("classification", "regression", "clustering", "recommendation")
+INNER_MODULES = (*MODEL_MODULES, "feature", "evaluation", "fpm", "tuning")
+TUNED = ("tuning.CrossValidatorModel", "tuning.TrainValidationSplitModel")
+PIPELINES = ("PipelineModel", "pipeline.PipelineModel", "Pipeline", "pipeline.Pipeline")
 
 # The request a model answers when no other shape is described.
 DEFAULT_REQUEST = {"schema": "data array<double>", "features": ["data"]}
@@ -47,14 +48,40 @@ CORRUPT = "__corrupt"
 REASON = "__reason"
 
 
-def load_ml_model(spark: SparkSession, path: str) -> Model:
-    """The saved MLlib model at ``path``, its class checked before it is loaded."""
+def _below(class_name: str) -> str:
+    """The class name without the root of MLlib's packages; empty for any other class."""
+    return next((class_name.removeprefix(root) for root in ROOTS if class_name.startswith(root)), "")
+
+
+def check_classes(spark: SparkSession, path: str) -> str:
+    """The class of the saved model at ``path``; raises unless it and all that is saved inside it are MLlib's.
+
+    Loading imports the classes that the metadata name, so every metadata folder of the tree is read before:
+    stages of pipelines, best and sub-models of a tuning, the models of one-versus-rest. Only folders are listed.
+    """
     class_name = DefaultParamsReader.loadMetadata(path, spark)["class"]
-    if not class_name.startswith(MODEL_PACKAGES):
+    below = _below(class_name)
+    whole = below.startswith(tuple(f"{m}." for m in MODEL_MODULES)) or below in (*TUNED, *PIPELINES[:2])
+    if not whole:
         raise ValueError(f"Refusing to load {class_name}: not an MLlib model class")
+    for inner in metadata_below(spark, path):
+        name = DefaultParamsReader.loadMetadata(inner, spark)["class"]
+        if not (_below(name).startswith(tuple(f"{m}." for m in INNER_MODULES)) or _below(name) in PIPELINES):
+            raise ValueError(f"Refusing to load {class_name}: it holds {name}, which is not a class of MLlib")
+    return class_name
+
+
+def load_ml_model(spark: SparkSession, path: str) -> Model:
+    """The saved MLlib model at ``path``, all its classes checked before it is loaded."""
+    class_name = check_classes(spark, path)
     return import_class(class_name.replace("org.apache.spark", "pyspark"), Model).load(path)
 
 
+def is_composite(model: Model) -> bool:
+    """Whether the model is made of stages, which may take any columns."""
+    return isinstance(model, (PipelineModel, CrossValidatorModel, TrainValidationSplitModel))
+
+
 def feature_count(model: Model) -> int | None:
     """How many features the model expects, where it says so."""
     if isinstance(model, OneVsRestModel):
@@ -121,6 +148,7 @@ class MLScorer(Scorer):
 
     def load_model(self, spark: SparkSession, path: str) -> None:
         self.model = load_ml_model(spark, path)
+        self.runs_jobs = self.runs_jobs or is_composite(self.model)
 
     def parse(self, raw: DataFrame, data: Parameter, source_type: str) -> DataFrame:
         return apply_data_spec(raw, DataSpec.parse(data.values), source_type, with_label=False)
@@ -143,8 +171,10 @@ class MLScorer(Scorer):
         """
         if isinstance(self.model, ALSModel):
             raise ValueError("an ALS model answers requests through the recommend scorer")
-        if not self.request.features or not self.request.schema:
+        if not self.request.schema or not (self.request.features or is_composite(self.model)):
             raise ValueError("modelParameter must give schema and features of a request")
+        if not self.request.features:
+            return self._respond_by_stages(requests)
         parsed, names = parse_requests(requests, self.request.schema)
         columns = self.request.columns
         # Without ANSI rules casts and divisions that fail give null, which has an answer of its own. Where all is
@@ -181,6 +211,9 @@ class MLScorer(Scorer):
             reason = reason.when(beyond, _failure("features must be 0 or 1"))
 
         rows = rows.withColumn(REASON, reason)
+        if is_composite(self.model):
+            good = rows.where(F.col(REASON).isNull()).select("request_id", array_to_vector("__values").alias("features"))
+            return self._results(good).unionByName(rows.where(F.col(REASON).isNotNull()).select("request_id", F.col(REASON).alias("result")))
         zeros = F.array_repeat(F.lit(0.0), size if size is not None else 1)
         safe = F.when(F.col(REASON).isNull(), F.col("__values")).otherwise(zeros)
         scored = self.model.transform(rows.select("request_id", REASON, array_to_vector(safe).alias("features")))
@@ -188,6 +221,24 @@ class MLScorer(Scorer):
         fields += [vector_to_array(o).alias(o) for o in self.outputs]
         return scored.select("request_id", F.coalesce(REASON, F.to_json(F.struct(*fields))).alias("result"))
 
+    def _results(self, rows: DataFrame) -> DataFrame:
+        scored = self.model.transform(rows)
+        fields = [F.col(c) for c in scored.columns if c == "prediction"] + [vector_to_array(o).alias(o) for o in self.outputs]
+        return scored.select("request_id", F.to_json(F.struct(*fields)).alias("result"))
+
+    def _respond_by_stages(self, requests: DataFrame) -> DataFrame:
+        """Requests whose fields the stages of the model take as they are.
+
+        What a stage refuses (a null, a label it has not seen) makes the plan fail and is answered one by one.
+        """
+        parsed, names = parse_requests(requests, self.request.schema)
+        refused = parsed.where(CORRUPT).select("request_id", _failure("malformed request").alias("result"))
+        with built_with_ansi(requests.sparkSession, True):
+            asked = parsed.where(~F.col(CORRUPT)).select("request_id", *[F.col(f"`{n}`") for n in names])
+            if self.request.columns:
+                asked = asked.withColumns({n: F.expr(sql) for n, sql in self.request.columns.items()})
+        return self._results(asked).unionByName(refused)
+
     def unload(self) -> None:
         self.model = None
 

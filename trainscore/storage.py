@@ -126,6 +126,22 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def metadata_below(spark: SparkSession, path: str) -> list[str]:
+    """Folders below ``path``, at any depth, that hold a folder ``metadata``."""
+    fs, target = _hadoop_path(spark, path)
+    found, open_ = [], [target]
+    while open_:
+        for status in fs.listStatus(open_.pop()):
+            if not status.isDirectory():
+                continue
+            folder = status.getPath()
+            if folder.getName() == "metadata":
+                found.append(folder.getParent().toString())
+            else:
+                open_.append(folder)
+    return sorted(f for f in found if f.rstrip("/") != fs.makeQualified(target).toString().rstrip("/"))
+
+
 def stored_bytes(spark: SparkSession, paths: Sequence[str]) -> int:
     """Size of the files under ``paths`` (globs allowed).
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,6 +127,32 @@ def score_stream_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """WITH pts AS (SELECT event_id, event_type, value AS y, CAST(props->>'k' AS DOUBLE) AS x FROM events),
+       fit AS (SELECT event_type, avg(y) AS mean FROM pts GROUP BY event_type)
+       SELECT event_id, round(mean, 4) AS prediction FROM pts JOIN fit USING (event_type)"""
+)
+def score_pipeline_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved pipeline of a label index, an encoding, an assembly and a regression scores raw columns."""
+    events = table(spark, sf_dir, "events").select("event_type", F.col("value").alias("label"))
+    stages = [
+        StringIndexer(inputCol="event_type", outputCol="index"),
+        OneHotEncoder(inputCol="index", outputCol="features", dropLast=False),
+        LinearRegression(solver="normal", fitIntercept=False),
+    ]
+    path = fresh_path(spark, "pipeline")
+    Pipeline(stages=stages).fit(events).save(path)
+    job = {
+        "appName": "score-stages",
+        "modelClass": "ml",
+        "modelPath": path,
+        "sourceParameter": parquet_source(sf_dir, "events"),
+        "dataParameter": {"keep": ["event_id", "event_type"]},
+        "resultSavePath": fresh_path(spark, "scores"),
+    }
+    return run_batch(spark, job).select("event_id", F.round("prediction", 4).alias("prediction"))
+
+
 @query(
     f"""WITH {LINEAR_FIT}
         SELECT event_id AS request_id,
