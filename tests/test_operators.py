@@ -267,3 +267,35 @@ def test_top_items_against_brute_force(spark, monkeypatch, per_block):
 def test_top_items_with_fewer_items_than_asked(spark):
     user, item = (spark.createDataFrame([(1, [1.0, 2.0])], "id int, features array<float>") for _ in range(2))
     assert topn.top_items(user, item, 10, 1).select(F.size("recommendations")).collect() == [(1,)]
+
+
+def counted(spark, rows, schema):
+    """Rows of a source and the number of them that have been read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def note(row):
+        read.add(1)
+        return row
+
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 4).map(note), schema), read
+
+
+@pytest.mark.parametrize("name, params, kind", [("LogisticRegression", {"areaUnderROC": True, "maxIter": 2}, "classification"), ("KMeans", {"k": 3, "seed": 1}, "clustering")])
+def test_verifying_reads_its_rows_once(spark, name, params, kind):
+    from trainscore.functions import apply_data_spec
+    from trainscore.operators.estimators import MLAlgorithm, find_estimator
+    from trainscore.plugins import read_parameter
+    from trainscore.spec import DataSpec
+
+    rows = [(float(i % 2), float(i % 10), float(i % 7)) for i in range(400)]
+    data = DataSpec.parse({"features": ["a", "b"], **({"label": "y"} if kind == "classification" else {})})
+    plain = apply_data_spec(spark.createDataFrame(rows, "y double, a double, b double"), data)
+    algorithm = MLAlgorithm(find_estimator(name))
+    model = algorithm.train(plain, read_parameter(params))
+    source, read = counted(spark, rows, "y double, a double, b double")
+    metrics = algorithm.verify(apply_data_spec(source, data), model).first()
+    assert metrics.n == 400 and read.value == 400
+    if kind == "classification":
+        scored = model.transform(plain)
+        assert metrics.area_under_roc == pytest.approx(area_under_roc(scored).first()[0])
+        assert metrics.accuracy == pytest.approx(scored.where("label = prediction").count() / 400)

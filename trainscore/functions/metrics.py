@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.ml.clustering import LDAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,6 +46,10 @@ def classification_by_class(df: DataFrame, label: str = "label", prediction: str
     Built from the confusion table, each of whose rows counts once for its actual
     and once for its predicted class. A ratio with nothing below it is 0.
     """
+    return _by_class(confusion(df, label, prediction))
+
+
+def _by_class(pairs: DataFrame) -> DataFrame:
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
     none = F.lit(0).cast("bigint")
     sides = F.array(
@@ -52,8 +57,7 @@ def classification_by_class(df: DataFrame, label: str = "label", prediction: str
         F.struct(F.col("prediction").alias("class"), none.alias("a"), F.col("n").alias("p"), none.alias("c")),
     )
     per_class = (
-        confusion(df, label, prediction)
-        .select(F.inline(sides))
+        pairs.select(F.inline(sides))
         .groupBy("class")
         .agg(F.sum("a").alias("n_actual"), F.sum("p").alias("n_predicted"), F.sum("c").alias("n_correct"))
     )
@@ -65,11 +69,14 @@ def classification_by_class(df: DataFrame, label: str = "label", prediction: str
 
 def classification_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """One row ``n, accuracy, precision, recall, f1``, the last three weighted by class size."""
+    return _over_classes(classification_by_class(df, label, prediction))
 
+
+def _over_classes(by_class: DataFrame) -> DataFrame:
     def weighted(name: str):
         return (F.sum(F.col(name) * F.col("n_actual")) / F.sum("n_actual")).alias(name)
 
-    return classification_by_class(df, label, prediction).agg(
+    return by_class.agg(
         F.coalesce(F.sum("n_actual"), F.lit(0)).alias("n"),
         (F.sum("n_correct") / F.sum("n_actual")).alias("accuracy"),
         weighted("precision"),
@@ -78,15 +85,36 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
     )
 
 
-def area_under_roc(df: DataFrame, label: str = "label", score: str = "rawPrediction") -> DataFrame:
-    """One row ``area_under_roc``, exact also for tied scores; null without rows.
+def positive_score(df: DataFrame, column: str) -> Column:
+    """A classifier's score of the second of two classes, also from its vector of two."""
+    if isinstance(df.schema[column].dataType, VectorUDT):
+        return vector_to_array(column)[1]
+    return F.col(column).cast("double")
 
-    The evaluator groups equal scores map-side and range-partitions the distinct
-    ones; ``numBins=0`` keeps every one of them instead of approximating.
-    """
-    evaluator = BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label, numBins=0)
-    scored = df.select(F.col(score), F.col(label).cast("double").alias(label))
-    auc = None if scored.isEmpty() else float(evaluator.evaluate(scored))
+
+def score_counts(df: DataFrame, label: str = "label", prediction: str = "prediction", score: str = "rawPrediction") -> DataFrame:
+    """``label, prediction, score, n``: all that the metrics of a classifier with its ROC need, in one pass."""
+    return df.groupBy(
+        F.col(label).cast("double").alias("label"), F.col(prediction).cast("double").alias("prediction"), positive_score(df, score).alias("score")
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+def classification_with_roc(counts: DataFrame) -> DataFrame:
+    """The metrics of ``classification_metrics`` and ``area_under_roc`` from ``score_counts``."""
+    metrics = _over_classes(_by_class(counts.groupBy("label", "prediction").agg(F.sum("n").alias("n"))))
+    return metrics.withColumn("area_under_roc", F.lit(_exact_roc(counts)).cast("double"))
+
+
+def _exact_roc(counts: DataFrame) -> float | None:
+    """The evaluator groups equal scores map-side and range-partitions the distinct ones; ``numBins=0`` keeps every one of them."""
+    evaluator = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", weightCol="n", numBins=0)
+    return None if counts.isEmpty() else float(evaluator.evaluate(counts.withColumn("n", F.col("n").cast("double"))))
+
+
+def area_under_roc(df: DataFrame, label: str = "label", score: str = "rawPrediction") -> DataFrame:
+    """One row ``area_under_roc``, exact also for tied scores; null without rows. What it sorts is a row per distinct score."""
+    scored = df.select(positive_score(df, score).alias("score"), F.col(label).cast("double").alias("label"))
+    auc = _exact_roc(scored.withColumn("n", F.lit(1)))
     return df.sparkSession.createDataFrame([(auc,)], "area_under_roc double")
 
 

@@ -14,16 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import (
-    area_under_roc,
     classification_metrics,
+    classification_with_roc,
     clustering_metrics,
     regression_metrics,
+    score_counts,
     topic_metrics,
 )
 from ..functions.parse import apply_data_spec
 from ..plugins import Algorithm, Parameter
 from ..spec import DataSpec
-from ..storage import delete_path, ensure_checkpoint_dir, fresh_path
+from ..storage import delete_path, ensure_checkpoint_dir, fresh_path, working_path
 from .split import ROW_KEY
 
 ML_MODULES = (classification, regression, clustering, recommendation)
@@ -99,6 +100,13 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass  # the session is gone
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Rows that several passes need, written by the one pass that scores."""
+    path = working_path(rows.sparkSession, "scored")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 class MLAlgorithm(Algorithm):
     """Fits one ``pyspark.ml`` estimator and verifies it by its kind's metrics.
 
@@ -169,13 +177,9 @@ class MLAlgorithm(Algorithm):
             return topic_metrics(rows, model)
         scored = model.transform(rows)
         if self.kind == "classification":
-            metrics = classification_metrics(scored)
-            if self.with_roc:
-                auc = area_under_roc(scored).first()["area_under_roc"]
-                metrics = metrics.withColumn("area_under_roc", F.lit(auc))
-            return metrics
+            return classification_with_roc(_once(score_counts(scored))) if self.with_roc else classification_metrics(scored)
         if self.kind == "clustering":
-            return clustering_metrics(scored)
+            return clustering_metrics(_once(scored.select("features", "prediction")))
         if self.kind == "recommendation":
             return regression_metrics(scored, label="rating")
         return regression_metrics(scored)

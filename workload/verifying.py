@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +11,11 @@ from trainscore.functions import (
     area_under_roc,
     classification_by_class,
     classification_metrics,
+    classification_with_roc,
+    clustering_metrics,
     confusion,
     regression_metrics,
+    score_counts,
 )
 
 from . import query
@@ -109,3 +113,43 @@ def metrics_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     metrics = run_train(spark, job).metrics
     return metrics.select("n", "n_clusters", (F.col("silhouette") > 0.5).alias("separated"))
+
+
+CLUSTER = "CASE WHEN l_quantity > 35 THEN 2 WHEN l_quantity > 15 THEN 1 ELSE 0 END"
+
+
+@query(
+    f"""WITH p AS (SELECT l_quantity AS x, 100 * l_discount AS y, {CLUSTER} AS c FROM lineitem),
+       sums AS (SELECT c, CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS sq FROM p GROUP BY c),
+       away AS (SELECT p.c, s.c AS other, s.n,
+                       s.n * (x * x + y * y) + s.sq - 2 * (x * s.sx + y * s.sy) AS total, row_id
+                FROM (SELECT *, row_number() OVER () AS row_id FROM p) p, sums s),
+       each AS (SELECT row_id, max(total / (n - 1)) FILTER (c = other) AS a, min(total / n) FILTER (c <> other) AS b FROM away GROUP BY row_id)
+       SELECT count(*) AS n, CAST(3 AS BIGINT) AS n_clusters, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM each"""
+)
+def metrics_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters by a rule, so that SQL can compute the silhouette of squared distances."""
+    lines = table(spark, sf_dir, "lineitem").select("l_quantity", (100 * F.col("l_discount")).alias("y"), F.expr(CLUSTER).alias("prediction"))
+    points = VectorAssembler(inputCols=["l_quantity", "y"], outputCol="features").transform(lines)
+    return clustering_metrics(points).withColumn("silhouette", F.round("silhouette", 6))
+
+
+@query(
+    """WITH
+       two AS (SELECT CASE event_type WHEN 'purchase' THEN 1 WHEN 'view' THEN 1 ELSE 0 END AS label, floor(value) AS score,
+                      CASE WHEN value > 30 THEN 1 ELSE 0 END AS prediction FROM events),
+       ranked AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS mid_rank FROM two),
+       auc AS (SELECT (sum(mid_rank) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0)
+                      / (count(*) FILTER (label = 1) * CAST(count(*) FILTER (label = 0) AS DOUBLE)) AS auc FROM ranked)
+       SELECT count(*) AS n, round(count(*) FILTER (label = prediction) / count(*), 6) AS accuracy, round(any_value(auc), 6) AS area_under_roc
+       FROM two, auc"""
+)
+def metrics_with_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and ROC of a two-class rule from one pass."""
+    two = table(spark, sf_dir, "events").select(
+        F.expr("CASE WHEN event_type IN ('purchase', 'view') THEN 1 ELSE 0 END").alias("label"),
+        F.expr("CASE WHEN value > 30 THEN 1 ELSE 0 END").alias("prediction"),
+        F.floor("value").alias("score"),
+    )
+    metrics = classification_with_roc(score_counts(two, score="score"))
+    return metrics.select("n", *[F.round(c, 6).alias(c) for c in ("accuracy", "area_under_roc")])
