@@ -299,3 +299,19 @@ def test_verifying_reads_its_rows_once(spark, name, params, kind):
         scored = model.transform(plain)
         assert metrics.area_under_roc == pytest.approx(area_under_roc(scored).first()[0])
         assert metrics.accuracy == pytest.approx(scored.where("label = prediction").count() / 400)
+
+
+def test_long_items_spare_most_pairs(spark):
+    rng = np.random.default_rng(3)
+    users = rng.normal(size=(300, 6)).astype(np.float32)
+    lengths = rng.pareto(1.5, 4000)[:, None] + 0.01
+    items = (rng.normal(size=(4000, 6)) * lengths).astype(np.float32)
+    items[10] = items[20] = items[30] = items[np.argmax(np.linalg.norm(items, axis=1))]
+    frame = lambda m: spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "id int, features array<float>")
+    rated = spark.sparkContext.accumulator(0)
+    got = {r.user: [x.item for x in r.recommendations] for r in topn.top_items(frame(users), frame(items), 5, 300, 50, rated).collect()}
+    scores = users @ items.T
+    for user in range(300):
+        mine = np.array([np.float32(users[user : user + 1] @ items[i : i + 1].T)[0, 0] for i in got[user]])
+        assert np.allclose(mine, np.sort(scores[user])[::-1][:5], rtol=1e-5)
+    assert 0 < rated.value < 0.35 * users.shape[0] * items.shape[0]

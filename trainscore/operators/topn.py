@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,9 @@ MIN_USERS_PER_BLOCK = 1_024
 # Users multiplied at a time: bounds the score matrix to 64 MB.
 USERS_PER_STEP = 512
 
-PACKS = "ids binary, factors binary"
+PACKS = "ids binary, factors binary, norm double"
+# Ratings are sums of 32-bit products: what rounding may add to one, as a share of its bound.
+SLACK = 1e-4
 LISTS = "user int, items array<int>, ratings array<float>"
 
 
@@ -34,7 +37,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def packs(items: DataFrame, size: int) -> DataFrame:
-    """``id, features`` rows packed as they lie in the partitions, at most ``size`` to a row."""
+    """``id, features`` rows packed by their length, at most ``size`` to a row, with the greatest length."""
+    norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda total, x: total + x.cast("double") * x)).alias("norm")
+    by_norm = items.select("id", "features", norm).repartitionByRange(F.desc("norm")).sortWithinPartitions(F.desc("norm"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,9 +47,9 @@ def packs(items: DataFrame, size: int) -> DataFrame:
                 part = batch.slice(start, size)
                 ids = part.column(0).to_numpy().astype(np.int64)
                 values = [pa.array([x.tobytes()], pa.binary()) for x in (ids, _matrix(part.column(1)))]
-                yield pa.RecordBatch.from_arrays(values, names=["ids", "factors"])
+                yield pa.RecordBatch.from_arrays([*values, part.column(2).slice(0, 1)], names=["ids", "factors", "norm"])
 
-    return items.select("id", "features").mapInArrow(run, PACKS)
+    return by_norm.mapInArrow(run, PACKS)
 
 
 class Best:
@@ -52,27 +57,50 @@ class Best:
 
     def __init__(self, ids: np.ndarray, factors: np.ndarray, n: int) -> None:
         self.ids, self.factors, self.n = ids, factors, n
+        self.norms = np.linalg.norm(factors.astype(np.float64), axis=1)
         self.items = np.empty((len(ids), 0), np.int64)
         self.ratings = np.empty((len(ids), 0), np.float32)
 
-    def meet(self, item_ids: np.ndarray, item_factors: np.ndarray) -> None:
-        kept = min(self.n, self.items.shape[1] + len(item_ids))
-        items, ratings = np.empty((len(self.ids), kept), np.int64), np.empty((len(self.ids), kept), np.float32)
-        for start in range(0, len(self.ids), USERS_PER_STEP):
-            step = slice(start, start + USERS_PER_STEP)
-            scores = np.hstack([self.ratings[step], self.factors[step] @ item_factors.T])
-            ids = np.hstack([self.items[step], np.broadcast_to(item_ids, (len(scores), len(item_ids)))])
-            if scores.shape[1] > kept:
-                # All that reach the Nth rating are ordered, so that no tie is cut by chance.
-                least = np.partition(scores, scores.shape[1] - kept, axis=1)[:, -kept]
-                for row in range(len(scores)):
-                    some = np.flatnonzero(scores[row] >= least[row])
-                    best = some[np.lexsort((ids[row, some], -scores[row, some]))[:kept]]
-                    items[start + row], ratings[start + row] = ids[row, best], scores[row, best]
-            else:
-                order = np.lexsort((ids, -scores), axis=1)
-                items[step], ratings[step] = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+    def meet(self, item_ids: np.ndarray, item_factors: np.ndarray, norm: float = np.inf) -> int:
+        """Take in a pack whose items are no longer than ``norm``; returns how many pairs were rated."""
+        had = self.items.shape[1]
+        kept = min(self.n, had + len(item_ids))
+        if had < self.n:
+            users = np.arange(len(self.ids))
+            items, ratings = np.empty((len(users), kept), np.int64), np.empty((len(users), kept), np.float32)
+        else:
+            users = np.flatnonzero(~(self.norms * norm * (1 + SLACK) < self.ratings[:, -1]))
+            items, ratings = self.items, self.ratings
+        for start in range(0, len(users), USERS_PER_STEP):
+            step = users[start : start + USERS_PER_STEP]
+            items[step], ratings[step] = self._better(step, item_ids, item_factors, kept)
         self.items, self.ratings = items, ratings
+        return len(users) * len(item_ids)
+
+    def _better(self, step: np.ndarray, item_ids: np.ndarray, item_factors: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
+        own = self.items[step]
+        scores = np.hstack([self.ratings[step], self.factors[step] @ item_factors.T])
+        beyond = scores.shape[1] - kept
+
+        def ids_at(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            out = item_ids[np.maximum(at - own.shape[1], 0)]
+            mine = at < own.shape[1]
+            out[mine] = own[rows[mine], at[mine]]
+            return out
+
+        at = np.argpartition(scores, beyond, axis=1)[:, beyond:] if beyond else np.broadcast_to(np.arange(kept), (len(step), kept))
+        ratings = np.take_along_axis(scores, at, 1)
+        ids = ids_at(at, np.broadcast_to(np.arange(len(step))[:, None], at.shape))
+        if beyond:
+            # Where more items than fit reach the Nth rating, all of them are ordered, so that no tie is cut by chance.
+            least = ratings.min(axis=1)
+            for row in np.flatnonzero((scores >= least[:, None]).sum(axis=1) > kept):
+                some = np.flatnonzero(scores[row] >= least[row])
+                tied = ids_at(some, np.full(len(some), row))
+                best = np.lexsort((tied, -scores[row, some]))[:kept]
+                ids[row], ratings[row] = tied[best], scores[row, some[best]]
+        order = np.lexsort((ids, -ratings), axis=1)
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(ratings, order, 1)
 
     def lists(self) -> pa.RecordBatch:
         ends = pa.array(np.arange(len(self.ids) + 1, dtype=np.int32) * self.items.shape[1])
@@ -81,24 +109,27 @@ class Best:
         return pa.RecordBatch.from_arrays([pa.array(self.ids.astype(np.int32)), items, ratings], names=["user", "items", "ratings"])
 
 
-def top_items(users: DataFrame, items: DataFrame, n: int, n_users: int, items_per_pack: int = ITEMS_PER_PACK) -> DataFrame:
+def top_items(
+    users: DataFrame, items: DataFrame, n: int, n_users: int, items_per_pack: int = ITEMS_PER_PACK, rated: Accumulator[int] | None = None
+) -> DataFrame:
     """``user, recommendations array<struct<item int, rating float>>``, best first.
 
     ``users`` and ``items`` are ``id int, features array<float>``; ``items`` may be
-    ``packs`` already. ``n_users`` only sets the number of blocks.
+    ``packs`` already. ``n_users`` only sets the number of blocks. ``rated`` counts the pairs that were rated.
     """
     cores = users.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, math.ceil(n_users / USERS_PER_BLOCK), min(cores, math.ceil(n_users / MIN_USERS_PER_BLOCK)))
     packed = items if "factors" in items.columns else packs(items, items_per_pack)
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
     nothing = F.lit(None).cast("binary")
-    left = users.select(block, F.lit(0).alias("kind"), "id", "features", nothing.alias("ids"), nothing.alias("factors"))
+    unset = F.lit(None).cast("double").alias("norm")
+    left = users.select(block, F.lit(0).alias("kind"), "id", "features", nothing.alias("ids"), nothing.alias("factors"), unset)
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     none = F.lit(None)
     right = packed.select(
-        every, F.lit(1).alias("kind"), none.cast("int").alias("id"), none.cast("array<float>").alias("features"), "ids", "factors"
+        every, F.lit(1).alias("kind"), none.cast("int").alias("id"), none.cast("array<float>").alias("features"), "ids", "factors", "norm"
     )
-    rows = left.unionByName(right).repartition(blocks, "block").sortWithinPartitions("block", "kind")
+    rows = left.unionByName(right).repartition(blocks, "block").sortWithinPartitions("block", "kind", F.desc("norm"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, best, ids, factors = None, None, [], []
@@ -119,12 +150,14 @@ def top_items(users: DataFrame, items: DataFrame, n: int, n_users: int, items_pe
                     continue
                 if best is None and ids:
                     best = Best(np.concatenate(ids), np.concatenate(factors), n)
-                for row in part.select([4, 5]).to_pylist() if best is not None else ():
+                for row in part.select([4, 5, 6]).to_pylist() if best is not None else ():
                     item_ids = np.frombuffer(row["ids"], np.int64)
-                    best.meet(item_ids, np.frombuffer(row["factors"], np.float32).reshape(len(item_ids), -1))
+                    pairs = best.meet(item_ids, np.frombuffer(row["factors"], np.float32).reshape(len(item_ids), -1), row["norm"])
+                    if rated is not None:
+                        rated.add(pairs)
         if best is not None:
             yield best.lists()
 
     lists = rows.mapInArrow(run, LISTS)
-    pairs = F.arrays_zip(F.col("items").alias("item"), F.col("ratings").alias("rating"))
-    return lists.select("user", pairs.cast("array<struct<item:int,rating:float>>").alias("recommendations"))
+    zipped = F.arrays_zip(F.col("items").alias("item"), F.col("ratings").alias("rating"))
+    return lists.select("user", zipped.cast("array<struct<item:int,rating:float>>").alias("recommendations"))
