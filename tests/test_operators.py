@@ -23,6 +23,7 @@ from trainscore.operators import (
     random_split,
     row_split,
     save_indicator,
+    current_model,
     save_model,
     save_predictions,
     topn,
@@ -195,7 +196,7 @@ def test_own_model_is_overwritten_whole(spark, tmp_path):
     path = tmp_path / "model"
     save_model(spark, Text("one"), str(path))
     save_model(spark, Text("two"), str(path), overwrite=True)
-    assert (path / "m").read_text() == "two" and [p.name for p in tmp_path.iterdir()] == ["model"]
+    assert Path(current_model(spark, str(path)), "m").read_text() == "two" and [p.name for p in tmp_path.iterdir()] == ["model"]
 
 
 def test_metrics_of_nothing(spark):

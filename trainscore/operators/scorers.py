@@ -27,12 +27,14 @@ from ..functions.parse import FeatureColumns, apply_data_spec
 from ..plugins import ERROR_PREFIX, Parameter, Scorer, import_class, register_scorer
 from ..spec import DataSpec, check_keys
 from ..storage import metadata_below, ship_package
+from .sinks import VERSION, current_model
 from .topn import ITEMS_PER_PACK, packs, top_items
 
 ROOTS = ("org.apache.spark.ml.", "pyspark.ml.")
 # The modules a saved model's class may come from, those that may stand inside one, and the models of stages.
 MODEL_MODULES = ("classification", "regression", "clustering", "recommendation")
 INNER_MODULES = (*MODEL_MODULES, "feature", "evaluation", "fpm", "tuning")
+JVM_INNER = "org.apache.spark.mllib."
 TUNED = ("tuning.CrossValidatorModel", "tuning.TrainValidationSplitModel")
 PIPELINES = ("PipelineModel", "pipeline.PipelineModel", "Pipeline", "pipeline.Pipeline")
 
@@ -64,8 +66,10 @@ def check_classes(spark: SparkSession, path: str) -> str:
     whole = below.startswith(tuple(f"{m}." for m in MODEL_MODULES)) or below in (*TUNED, *PIPELINES[:2])
     if not whole:
         raise ValueError(f"Refusing to load {class_name}: not an MLlib model class")
-    for inner in metadata_below(spark, path):
+    for inner in metadata_below(spark, path, VERSION):
         name = DefaultParamsReader.loadMetadata(inner, spark)["class"]
+        if name.startswith(JVM_INNER):
+            continue  # read by the JVM's own model, never imported
         if not (_below(name).startswith(tuple(f"{m}." for m in INNER_MODULES)) or _below(name) in PIPELINES):
             raise ValueError(f"Refusing to load {class_name}: it holds {name}, which is not a class of MLlib")
     return class_name
@@ -73,6 +77,7 @@ def check_classes(spark: SparkSession, path: str) -> str:
 
 def load_ml_model(spark: SparkSession, path: str) -> Model:
     """The saved MLlib model at ``path``, all its classes checked before it is loaded."""
+    path = current_model(spark, path)
     class_name = check_classes(spark, path)
     return import_class(class_name.replace("org.apache.spark", "pyspark"), Model).load(path)
 

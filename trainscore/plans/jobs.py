@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.estimators import DISTRIBUTED_MODELS, MLAlgorithm, settled
-from ..operators.sinks import save_indicator, save_model
+from ..operators.sinks import current_model, read_predictions, save_indicator, save_model
 from ..operators.split import (
     ROW_KEY,
     Split,
@@ -22,7 +22,7 @@ from ..operators.split import (
 )
 from ..plugins import Algorithm, Parameter, Scorer, read_parameter, resolve_algorithm, resolve_scorer
 from ..spec import BatchSpec, TrainSpec
-from ..storage import fresh_path, path_exists, ship_package, sized_for, working_storage
+from ..storage import fresh_path, job_session, path_exists, ship_package, sized_for, working_storage
 
 log = logging.getLogger(__name__)
 
@@ -48,14 +48,14 @@ def _split(rows: DataFrame, spec: TrainSpec) -> Split:
     return random_split(rows, spec.dataWeight, spec.seed)
 
 
-def _settled_indicator(spark: SparkSession, indicator: DataFrame) -> DataFrame:
+def _settled_indicator(caller: SparkSession, indicator: DataFrame) -> DataFrame:
     """The indicator, independent of the rows it was computed from: one row as a constant, more as a table."""
     rows = indicator.take(2)
     if len(rows) < 2:
-        return spark.createDataFrame(rows, indicator.schema)
-    path = fresh_path(spark, "indicator")
+        return caller.createDataFrame(rows, indicator.schema)
+    path = fresh_path(caller, "indicator")
     indicator.write.parquet(path)
-    return spark.read.schema(indicator.schema).parquet(path)
+    return caller.read.schema(indicator.schema).parquet(path)
 
 
 def _saved(spark: SparkSession, spec: TrainSpec, model: Any) -> Any:
@@ -66,7 +66,7 @@ def _saved(spark: SparkSession, spec: TrainSpec, model: Any) -> Any:
     """
     if spec.modelSavePath:
         save_model(spark, model, spec.modelSavePath, overwrite=spec.overwriteModel)
-        return type(model).load(spec.modelSavePath) if isinstance(model, DISTRIBUTED_MODELS) else model
+        return type(model).load(current_model(spark, spec.modelSavePath)) if isinstance(model, DISTRIBUTED_MODELS) else model
     return settled(spark, model) if isinstance(model, DISTRIBUTED_MODELS) else model
 
 
@@ -78,7 +78,7 @@ def _splits_by_row(spec: TrainSpec, algorithm: Algorithm, data: Parameter) -> bo
 
 
 def _fit_and_verify(
-    spark: SparkSession, spec: TrainSpec, algorithm: Algorithm, data: Parameter, params: Parameter
+    caller: SparkSession, spark: SparkSession, spec: TrainSpec, algorithm: Algorithm, data: Parameter, params: Parameter
 ) -> tuple[Any, DataFrame | str]:
     raw = algorithm.load(spark, spec.sourceParameter)
     if _splits_by_row(spec, algorithm, data):
@@ -92,7 +92,7 @@ def _fit_and_verify(
         log.info("%s: training, weights %s", spec.app_name, spec.dataWeight)
         model = _saved(spark, spec, algorithm.train(split.train, params))
         indicator = algorithm.verify(split.verify, model)
-        return model, indicator if isinstance(indicator, str) else _settled_indicator(spark, indicator)
+        return model, indicator if isinstance(indicator, str) else _settled_indicator(caller, indicator)
     finally:
         if split is not None:
             drop_sides(split)
@@ -108,9 +108,10 @@ def run_train(
     Rows are scanned once per step and not cached by default: a pruned Parquet
     scan is cheaper than spilling a copy of a large table, and the iterative
     estimators cache what they iterate over themselves. ``persist`` caches the
-    parsed rows, for sources that are slow to read or parse.
+    parsed rows, for sources that are slow to read or parse. The job has a session of its own.
     """
-    spec = TrainSpec.parse(setting)
+    spec, caller = TrainSpec.parse(setting), spark
+    spark = job_session(caller)
     add_plugin_code(spark, spec.algoPluginPath)
     algorithm = algorithm or resolve_algorithm(spec.algoClass)
     data = read_parameter(spec.dataParameter, spec.dataParameterClass)
@@ -123,12 +124,12 @@ def run_train(
         raise ValueError(f"{spec.modelSavePath} already exists: ask for overwriteModel or name another path")
 
     with working_storage(spark), sized_for(spark, spec.sourceParameter.paths):
-        model, metrics = _fit_and_verify(spark, spec, algorithm, data, params)
+        model, metrics = _fit_and_verify(caller, spark, spec, algorithm, data, params)
 
     if spec.modelIndicatorSavePath:
         save_indicator(metrics, spark, spec.modelIndicatorSavePath)
     if isinstance(metrics, str):
-        metrics = spark.createDataFrame([(metrics,)], "indicator string")
+        metrics = caller.createDataFrame([(metrics,)], "indicator string")
     log.info("%s: done", spec.app_name)
     return TrainResult(model, metrics)
 
@@ -139,17 +140,21 @@ def run_batch(
     """load model -> load -> parse -> predict and save -> unload.
 
     From scan to write this is one Spark plan; its failures are raised. Returns
-    the saved predictions.
+    the saved predictions. The job has a session of its own.
     """
-    spec = BatchSpec.parse(setting)
+    spec, caller = BatchSpec.parse(setting), spark
+    spark = job_session(caller)
     add_plugin_code(spark, spec.algoPluginPath)
     scorer = scorer or resolve_scorer(spec.modelClass, spec.modelParameter)
     data = read_parameter(spec.dataParameter, spec.dataParameterClass)
     try:
-        scorer.load_model(spark, spec.modelPath)
+        scorer.load_model(spark, current_model(spark, spec.modelPath))
         with working_storage(spark), sized_for(spark, spec.sourceParameter.paths):
             raw = scorer.load(spark, spec.sourceParameter)
             rows = scorer.parse(raw, data, spec.sourceParameter.type)
-            return scorer.save(scorer.predict(rows), spec.resultSavePath, spec.resultFormat, spec.resultMode)
+            saved = scorer.save(scorer.predict(rows), spec.resultSavePath, spec.resultFormat, spec.resultMode)
+            if type(scorer).save is Scorer.save:
+                return read_predictions(caller, saved.schema, spec.resultSavePath, spec.resultFormat)
+            return saved
     finally:
         scorer.unload()

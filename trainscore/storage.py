@@ -114,27 +114,33 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def rename_path(spark: SparkSession, path: str, target: str) -> None:
-    fs, source = _hadoop_path(spark, path)
-    if not fs.rename(source, _hadoop_path(spark, target)[1]):
-        raise OSError(f"{path} could not be renamed to {target}")
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """What lies directly in a folder; nothing if there is none."""
+    fs, target = _hadoop_path(spark, path)
+    return sorted(status.getPath().getName() for status in (fs.listStatus(target) if fs.exists(target) else ()))
+
+
+def create_file(spark: SparkSession, path: str) -> None:
+    """An empty file, with the folders above it; there must be none yet."""
+    fs, target = _hadoop_path(spark, path)
+    fs.create(target, False).close()
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder that ``fresh_path`` named."""
+    """Remove a file or a folder with all that is in it."""
     fs, target = _hadoop_path(spark, path)
     fs.delete(target, True)
 
 
-def metadata_below(spark: SparkSession, path: str) -> list[str]:
-    """Folders below ``path``, at any depth, that hold a folder ``metadata``."""
+def metadata_below(spark: SparkSession, path: str, leave: str) -> list[str]:
+    """Folders below ``path``, at any depth, that hold a folder ``metadata``; not in folders that begin with ``leave``."""
     fs, target = _hadoop_path(spark, path)
     found, open_ = [], [target]
     while open_:
         for status in fs.listStatus(open_.pop()):
-            if not status.isDirectory():
-                continue
             folder = status.getPath()
+            if not status.isDirectory() or folder.getName().startswith(leave):
+                continue
             if folder.getName() == "metadata":
                 found.append(folder.getParent().toString())
             else:
@@ -159,6 +165,19 @@ def stored_bytes(spark: SparkSession, paths: Sequence[str]) -> int:
     return total
 
 
+def job_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for one job, with the caller's settings as they are now.
+
+    What the job sets is not seen by the caller or by other jobs, and the other way round. Executors, catalogs
+    and caches are shared; temporary views and functions of the caller are not.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.get(key, None) != value:  # static settings are the same in all sessions
+            own.conf.set(key, value)
+    return own
+
+
 def _setting_for(spark: SparkSession, stored: int) -> dict[str, str]:
     wanted: dict[str, str] = {}
     if spark.conf.get(INITIAL_PARTITIONS, None) is None:

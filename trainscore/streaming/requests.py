@@ -13,11 +13,12 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.sinks import current_model
 from ..operators.isolate import answered_apart, data_fault
 from ..plans.jobs import add_plugin_code
 from ..plugins import REQUEST_SCHEMA, Scorer, resolve_scorer
 from ..spec import StreamSpec
-from ..storage import path_exists
+from ..storage import job_session, path_exists
 
 
 def read_requests(spark: SparkSession, spec: StreamSpec) -> DataFrame:
@@ -65,12 +66,14 @@ def start_stream(
     """Load the model and start answering; returns the running query.
 
     ``requests`` may be any stream of ``request_id, data``, such as one read from a
-    message topic; it then takes the place of the files under ``requestPath``.
+    message topic; it then takes the place of the files under ``requestPath``, and the
+    query runs in its session. Otherwise it has a session of its own.
     """
     spec = StreamSpec.parse(setting)
+    spark = job_session(spark) if requests is None else spark
     add_plugin_code(spark, spec.algoPluginPath)
     scorer = scorer or resolve_scorer(spec.modelClass, spec.modelParameter)
-    scorer.load_model(spark, spec.modelPath)
+    scorer.load_model(spark, current_model(spark, spec.modelPath))
     if requests is None:
         requests = read_requests(spark, spec)
 
