@@ -305,3 +305,31 @@ def test_grams_by_doubling_tell_sequences_apart():
         one, two = grams(hashes, n), grams(np.concatenate([hashes[7:], hashes[:7]]), n)
         assert len(one) == 51 - n and len(set(one.tolist())) == len(one)
         assert (one[7:] == two[: len(one) - 7]).all()
+
+
+def test_secrets_of_a_very_long_text_take_linear_time():
+    import time
+
+
+    rng = random.Random(3)
+    run = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    parts = [run() if i % 2 else "Zx9" + "".join(rng.choice("QWzxk4J8vP2m") for _ in range(30)) for i in range(1000)]
+    text = " ".join(parts)
+    long = " ".join([text] * (10_000_000 // len(text)))
+
+    class Few:
+        def encode_ordinary(self, s):
+            return [0] * len(s)
+
+    start = time.perf_counter()
+    base = secret_scan.base_spans(long)
+    spans = secret_scan.all_spans(long, base, Few())
+    assert time.perf_counter() - start < 30
+    # Against the definition, on one part of the text.
+    base = secret_scan.base_spans(text)
+    want = [
+        (m.start(), 3, m.end())
+        for m in secret_scan.KEY_LIKE.finditer(text)
+        if not any(s < m.end() and m.start() < e for s, _, e in base) and secret_scan.is_random(m[0], Few())
+    ]
+    assert sorted([*base, *want]) == secret_scan.all_spans(text, base, Few()) and len(spans) >= len(base)
