@@ -134,3 +134,21 @@ def test_pipeline_takes_odd_and_empty_tables(spark, odd, empty, sf_dir, tmp_path
             after.write.parquet(f"{tmp_path}/{k}-{name}")
             docs = spark.read.schema(after.schema).parquet(f"{tmp_path}/{k}-{name}")
         assert k == 1 or docs.count() > 0
+
+
+def test_near_copies_have_few_edges(spark):
+    """Three thousand near copies: the trees agree on their edges."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(3000):
+        text = words.copy()
+        for _ in range(2):
+            text[rng.randrange(400)] = f"x{rng.randrange(10**9)}"
+        rows.append((i, str(i), " ".join(text)))
+    docs = spark.createDataFrame(rows, "id long, key string, text string")
+    classes = near_dedup.signed(docs, 5).select("class", "sig")
+    edges = near_dedup.thinned(near_dedup.regions(classes, 0.8))
+    assert edges.count() == edges.distinct().count() <= 2 * 3000
+    found = near_dedup.near_duplicates(docs.withColumnRenamed("id", "doc_id"), 5, 80)
+    assert found.select("component_id").distinct().count() == 1

@@ -6,9 +6,10 @@
    by the signature from another place on. Neighbours in an order that share a prefix of at
    least ``DEPTH`` minima are a run, and candidates for each other. In a run of up to
    ``DENSE`` classes those whose signatures agree as often as a link makes sure (five and a
-   half standard deviations allowed) are joined; a denser run is joined as a whole, along the
-   order, each class with the neighbour of longest common prefix. Joined classes are a
-   region. No pairs are listed: a region is a tree of as many edges as it has classes.
+   half standard deviations allowed) are joined; a denser run is joined as a whole. Every
+   edge leads to the least class of its run, or of its part, so trees that find the same group
+   give the same edges. Joined classes are a region. No pairs are listed: a run has as many edges as classes.
+   (The prefix that makes a run has the same depth everywhere; a dense run is not split by longer ones.)
 3. Within a region all pairs are compared on the full sets, in blocks of a bounded size,
    each pair of blocks in one task; a block emits a spanning tree of its links only.
 4. Links join classes to components.
@@ -31,7 +32,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import Scratch, connected
@@ -130,71 +131,65 @@ def regions(classes: DataFrame, least_shared: float) -> DataFrame:
     around = F.concat("sig", F.substring("sig", 1, 4 * ORDER))
     placed = classes.select("class", "sig", tree)
     prefix = F.expr(f"substring(sig, {4 * STEP} * tree + 1, {4 * DEPTH})").alias("prefix")
-    shared = placed.select("tree", prefix).groupBy("tree", "prefix").count().filter("count > 1").select("tree", "prefix")
-    members = placed.select("class", "tree", prefix).join(shared, ["tree", "prefix"]).select("class", "tree")
+    # A run's centre is its least class, whatever the order: near copies have the same centre in most trees, and few edges.
+    runs = placed.select("tree", prefix, "class").groupBy("tree", "prefix").agg(F.count("*").alias("m"), F.min("class").alias("centre"))
+    shared = runs.filter("m > 1").select("tree", "prefix", "centre")
+    members = placed.select("class", "tree", prefix).join(shared, ["tree", "prefix"]).select("class", "tree", "centre")
     key = F.expr(f"substring(around, {4 * STEP} * tree + 1, {4 * ORDER})").alias("key")
-    rows = members.join(classes.select("class", "sig", around.alias("around")), "class").select("tree", key, "class", "sig")
+    rows = members.join(classes.select("class", "sig", around.alias("around")), "class").select("tree", key, "class", "sig", "centre")
     rows = rows.repartitionByRange("tree", "key", "class").sortWithinPartitions("tree", "key", "class")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, bytes]] = []
-        now: tuple | None = None
-        first, dense, previous = True, False, b""
-
-        def edges(a: list[bytes], b: list[bytes], end: bytes | None = None) -> pa.RecordBatch:
-            """Edges, and the rows at this partition's ends, whose run may go on in the next one."""
-            ends = [None] * len(a)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (a, b, ends)], names=["a", "b", "end"])
-
-        def closed(at_end: bool) -> pa.RecordBatch | None:
-            """The run that is held, joined; along the order where it is dense or goes on elsewhere."""
-            names = [c for c, _ in held]
-            if len(held) < 2:
-                return None
-            if at_end:
-                return edges(names[1:], names[:-1])
+        now, centre, first, dense = None, b"", True, False
+
+        def edges(a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (a, b)], names=["a", "b"])
+
+        def closed(whole: bool) -> pa.RecordBatch:
+            """The run that is held, joined where signatures agree; with its centre where it may go on in another partition."""
+            if not whole:
+                return edges([c for c, _ in held], [centre] * len(held))
+            held.sort()  # so that a part's root is its least class
             root = spanning(agreeing(np.frombuffer(b"".join(s for _, s in held), ">u4").reshape(len(held), HASHES), least))
-            return edges(*star(names, root))
+            return edges(*star([c for c, _ in held], root))
 
         for batch in batches:
-            trees, keys = column(batch, "tree").to_pylist(), column(batch, "key").to_pylist()
-            names, signatures = column(batch, "class").to_pylist(), column(batch, "sig").to_pylist()
-            for t, key, name, sig in zip(trees, keys, names, signatures, strict=True):
+            columns = [column(batch, c).to_pylist() for c in ("tree", "key", "class", "sig", "centre")]
+            more: list[tuple[bytes, bytes]] = []  # of a dense run
+            for t, key, name, sig, middle in zip(*columns, strict=True):
                 place = (t, key[: 4 * DEPTH])
                 if place != now:
-                    if now is None:
-                        yield pa.RecordBatch.from_arrays([pa.array([name], pa.binary()), pa.array([None], pa.binary()), pa.array([bytes([t]) + key], pa.binary())], names=["a", "b", "end"])
-                    elif not dense and (out := closed(first)) is not None:
-                        yield out
-                    first = now is None
-                    held, now, dense = [], place, False
+                    if now is not None:
+                        if not dense:
+                            yield closed(not first)
+                        first = False
+                    held, now, centre, dense = [], place, middle, False
                 if dense:
-                    yield edges([name], [previous])
-                else:
-                    held.append((name, sig))
-                    if len(held) > DENSE:
-                        yield closed(True)
-                        held, dense = [], True
-                previous = name
-                last = bytes([t]) + key
-        if now is not None:
-            if not dense and (out := closed(True)) is not None:
-                yield out
-            yield pa.RecordBatch.from_arrays([pa.array([previous], pa.binary()), pa.array([None], pa.binary()), pa.array([last], pa.binary())], names=["a", "b", "end"])
-
-    found = rows.mapInArrow(run, "a binary, b binary, end binary")
-    return found
-
-
-def across(found: DataFrame) -> DataFrame:
-    """The edges between the last row of one partition and the first of the next, where a run goes on.
-
-    There are two such rows a partition, so one task can order them.
+                    more.append((name, centre))
+                    continue
+                held.append((name, sig))
+                if len(held) > DENSE:
+                    yield closed(False)
+                    held, dense = [], True
+            if more:
+                yield edges(*map(list, zip(*more, strict=True)))
+        if now is not None and not dense:
+            yield closed(False)
+
+    return rows.mapInArrow(run, "a binary, b binary")
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """The same components with fewer edges ``a, b``: each class leads to the least of its centres, and so do the others of them.
+
+    A class has one edge a tree at most, so what is gathered for it is bounded.
     """
-    order = Window.orderBy("end", "a")
-    size = 1 + 4 * DEPTH
-    ends = found.filter("end is not null").select("a", "end", F.lag("a").over(order).alias("b"), F.lag("end").over(order).alias("prior"))
-    return ends.filter(F.substring("end", 1, size) == F.substring("prior", 1, size)).select("a", "b")
+    least_first = F.array_sort(F.collect_set("b")).alias("bs")
+    centres = edges.filter("a != b").groupBy("a").agg(least_first)
+    ends = F.array(F.struct("a", F.col("bs")[0].alias("b")))
+    more = F.transform(F.slice("bs", 2, TREES), lambda c: F.struct(c.alias("a"), F.col("bs")[0].alias("b")))
+    return centres.select(F.inline(F.concat(ends, more))).distinct()
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -247,8 +242,8 @@ def components(docs: DataFrame, n: int, percent: int, text: str, id_column: str)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     one = signs.filter("class is not null").groupBy("class").agg(first, F.first("sig").alias("sig"))
     classes = scratch.keep(one, "classes")
-    found = scratch.keep(regions(classes, percent / 100), "forest")
-    region = scratch.keep(connected(scratch, found.filter("end is null").select("a", "b").unionByName(across(found))), "regions")
+    found = scratch.keep(thinned(regions(classes, percent / 100)), "forest")
+    region = scratch.keep(connected(scratch, found), "regions")
     # The sets of the classes in regions, made again from the text of one row of each.
     wanted = region.join(classes.select(F.col("class").alias("node"), "first.key"), "node").select("key", "node", F.col("root").alias("region"))
     sources = wanted.join(rows.select("key", "text"), "key")
