@@ -195,3 +195,18 @@ def test_braces_hold_a_path_together(spark, tmp_path):
     for name in "ab":
         (tmp_path / f"{name}.txt").write_text(name)
     assert sorted(r.value for r in load_source(spark, {"source": f"{tmp_path}/{{a,b}}.txt", "type": "text"}).collect()) == ["a", "b"]
+
+
+def test_new_interface_of_hadoop(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("ab\ncde\n")
+    setting = {"source": str(tmp_path), "type": "hadoop"}
+    rows = load_source(spark, {**setting, "inputFormat": "org.apache.hadoop.mapreduce.lib.input.TextInputFormat"})
+    assert sorted(map(tuple, rows.collect())) == [(0, "ab"), (3, "cde")]
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="Unknown input format"):
+        load_source(spark, {**setting, "inputFormat": "org.example.Missing"})
+    path = f"{tmp_path}/seq"
+    spark.sparkContext.parallelize([(1, 2.5), (2, 3.5)], 2).saveAsSequenceFile(path)
+    kinds = {"keyClass": "org.apache.hadoop.io.IntWritable", "valueClass": "org.apache.hadoop.io.DoubleWritable", "schema": "key int, value double"}
+    form = "org.apache.hadoop.mapreduce.lib.input.SequenceFileInputFormat"
+    assert sorted(map(tuple, load_source(spark, {**setting, **kinds, "source": path, "inputFormat": form}).collect())) == [(1, 2.5), (2, 3.5)]

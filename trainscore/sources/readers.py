@@ -9,7 +9,7 @@ WHOLE     ``path, content`` - one row per file, left as it is
 CSV       the columns of the schema (or of the header, all strings)
 PARQUET   the columns of the files
 SEQUENCE  ``key, value`` of a Hadoop sequence file
-HADOOP    ``key, value`` of any old-API Hadoop input format
+HADOOP    ``key, value`` of any Hadoop input format, of the old or the new interface
 OBJECT    the fields of the records, as named in the schema: pickled ones, or
           with the option ``serialization: java`` those of a JVM program
 ========  =================================================================
@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ from ..spec import SourceSpec
 
 KEY_VALUE_INPUT_FORMAT = "org.apache.hadoop.mapred.KeyValueTextInputFormat"
 TEXT_INPUT_FORMAT = "org.apache.hadoop.mapred.TextInputFormat"
+NEW_TEXT_INPUT_FORMAT = "org.apache.hadoop.mapreduce.lib.input.TextInputFormat"
+NEW_API = "org.apache.hadoop.mapreduce.InputFormat"
 LONG_WRITABLE = "org.apache.hadoop.io.LongWritable"
 TEXT_WRITABLE = "org.apache.hadoop.io.Text"
 
@@ -91,8 +94,10 @@ def _hadoop(spark: SparkSession, src: SourceSpec) -> DataFrame:
     plain = not (src.options or src.keyClass or src.valueClass or src.schema)
     if input_format == KEY_VALUE_INPUT_FORMAT and plain:
         return _key_value_text(spark, src)
-    is_text = input_format == TEXT_INPUT_FORMAT
-    pairs = spark.sparkContext.hadoopFile(
+    is_text = input_format in (TEXT_INPUT_FORMAT, NEW_TEXT_INPUT_FORMAT)
+    sc = spark.sparkContext
+    read = sc.newAPIHadoopFile if _is_new_api(spark, input_format) else sc.hadoopFile
+    pairs = read(
         src.source,
         input_format,
         src.keyClass or (LONG_WRITABLE if is_text else TEXT_WRITABLE),
@@ -102,6 +107,15 @@ def _hadoop(spark: SparkSession, src: SourceSpec) -> DataFrame:
     return _rows_in_jvm(spark, pairs, src.schema or ("key bigint, value string" if is_text else "key string, value string"))
 
 
+def _is_new_api(spark: SparkSession, input_format: str) -> bool:
+    """Whether the class is an input format of Hadoop's newer interface; only looked up, not run."""
+    loader = spark.sparkContext._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    try:
+        return loader.loadClass(NEW_API).isAssignableFrom(loader.loadClass(input_format))
+    except Py4JJavaError:
+        raise ValueError(f"Unknown input format:{input_format}") from None
+
+
 def _pickled(spark: SparkSession, src: SourceSpec) -> DataFrame:
     # Unpickling, like reading serialised JVM objects, runs code: read trusted paths only.
     if not src.schema:

@@ -106,6 +106,16 @@ def source_hadoop_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_source(spark, {"source": path, "type": "hadoop"}).select("value")
 
 
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS value FROM customer")
+def source_hadoop_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HADOOP: pairs with another separator through an input format of the newer interface."""
+    path = fresh_path(spark, "hadoop")
+    table(spark, sf_dir, "customer").select(F.concat_ws("|", "c_custkey", "c_name")).write.text(path)
+    input_format = "org.apache.hadoop.mapreduce.lib.input.KeyValueTextInputFormat"
+    options = {"mapreduce.input.keyvaluelinerecordreader.key.value.separator": "|"}
+    return load_source(spark, {"source": path, "type": "hadoop", "inputFormat": input_format, "options": options})
+
+
 class PartLines(MLAlgorithm):
     """A plugin whose loader joins two tables."""
 
