@@ -333,3 +333,21 @@ def test_secrets_of_a_very_long_text_take_linear_time():
         if not any(s < m.end() and m.start() < e for s, _, e in base) and secret_scan.is_random(m[0], Few())
     ]
     assert sorted([*base, *want]) == secret_scan.all_spans(text, base, Few()) and len(spans) >= len(base)
+
+
+def test_texts_without_an_id_are_learned_and_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 50)
+    rng = random.Random(7)
+    words = {"en": "the of and that have with this from they", "fr": "le la des que dans pour avec sont nous"}
+    rows = [(None if lang == "fr" else 3, " ".join(rng.choice(w.split()) for _ in range(12)), lang) for lang, w in words.items() for _ in range(1500)]
+    rows += [(9, "el los las una para como pero sobre", "es")] * 1500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    drawn = []
+    kept = langid.clusters
+    monkeypatch.setattr(langid, "clusters", lambda vectors, k: drawn.append(len(vectors)) or kept(vectors, k))
+    model = langid.fit(docs)
+    assert set(model.languages) == {"en", "fr", "es"}
+    assert len(drawn) == 3 and all(15 <= n <= 110 for n in drawn)
+    got = {r.text: r.lang_pred for r in langid.predict(docs.dropDuplicates(["text"]), model, F.col("text")).collect()}
+    want = {text: lang for _, text, lang in rows}
+    assert sum(got[t] == want[t] for t in got) >= 0.98 * len(got)

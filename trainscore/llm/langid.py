@@ -9,8 +9,9 @@ beginnings of that language's training texts with like many n-grams have, by pow
 short texts are judged more mildly.
 
 Centroids are fitted on a sample of at most about ``PER_LANGUAGE`` labelled texts of each
-language, chosen by a hash of the id, so the driver's share is bounded; predictions read
-every text whole, in one narrow pass. Without labelled texts every text is ``und``.
+language, drawn row by row (a hash of id, text and place in the input, so rows that share an id or are
+equal are drawn apart); it reaches the driver as sparse counts and one language at a time is made dense.
+Predictions read every text whole, in one narrow pass. Without labelled texts every text is ``und``.
 
 A null text, or one without a letter, is ``und`` with score 0 and rejected. Rows are
 judged one by one, so repeated rows get equal results; ties go to the first language in
@@ -122,28 +123,40 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_column:
     if not totals:
         return None
     share = F.create_map(*[F.lit(x) for name, n in totals.items() for x in (name, min(1.0, PER_LANGUAGE / n))])
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text", "place"), F.lit(1 << 30)) / float(1 << 30)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.minimum(counts(t), np.iinfo(np.uint32).max).astype("<u4") for t in column(batch, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(batch, "lang"), pa.array([f.tobytes() for f in found], pa.binary())], names=["lang", "counts"])
+            places = [np.flatnonzero(f) for f in found]
+            values = [pa.array([f[p].tobytes() for f, p in zip(found, places, strict=True)], pa.binary())]
+            places = [pa.array([p.astype("<u4").tobytes() for p in places], pa.binary())]
+            yield pa.RecordBatch.from_arrays([column(batch, "lang"), *places, *values], names=["lang", "places", "counts"])
 
     drawn = rows.filter(draw < share[F.col("lang")])
-    sample = drawn.mapInArrow(run, "lang string, counts binary").collect()
-    names = np.array([r["lang"] for r in sample])
-    seen = np.stack([np.frombuffer(r["counts"], "<u4") for r in sample]) if sample else np.empty((0, BUCKETS), np.uint32)
-    some = seen.any(axis=1)
-    names, seen = names[some], seen[some]
-    if not len(names):
+    by_name: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    texts_with = np.zeros(BUCKETS, np.int64)
+    for r in drawn.select("text", "lang").mapInArrow(run, "lang string, places binary, counts binary").collect():
+        places = np.frombuffer(r["places"], "<u4")
+        if len(places):
+            by_name.setdefault(r["lang"], []).append((places, np.frombuffer(r["counts"], "<u4")))
+            texts_with[places] += 1
+    if not by_name:
         return None
-    rarity = (np.log((1 + len(seen)) / (1 + (seen > 0).sum(axis=0))) + 1).astype(np.float32)
-    vectors = unit(np.log1p(seen.astype(np.float32)) * rarity)
+    drawn_texts = sum(map(len, by_name.values()))
+    rarity = (np.log((1 + drawn_texts) / (1 + texts_with)) + 1).astype(np.float32)
+
+    def dense(texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        out = np.zeros((len(texts), BUCKETS), np.float32)
+        for row, (places, n) in zip(out, texts, strict=True):
+            row[places] = n
+        return unit(np.log1p(out) * rarity)
+
     languages: list[str] = []
     found: list[np.ndarray] = []
-    for name in sorted(set(names)):
-        own = vectors[names == name]
-        centroids = clusters(own, CENTROIDS)
+    for name in sorted(by_name):
+        centroids = clusters(dense(by_name[name]), CENTROIDS)
         languages += [name] * len(centroids)
         found.append(centroids)
     model = LanguageModel(languages, np.concatenate(found).astype(np.float32), rarity, np.zeros((len(languages), LEVELS)))
