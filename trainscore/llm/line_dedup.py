@@ -2,17 +2,21 @@
 
 A line's tokens lie between white space; a token with a digit is a variable field and
 becomes ``<*>``. The tree's first level is the number of tokens, the next ones are the
-``LEADING`` first tokens. In a leaf the line that most documents have is the template (the least
-MD5 of equals); a line that agrees with it in at least ``ALIKE`` of the places belongs to it,
-and the places where they differ are variable fields. Other lines are templates of their own.
+``LEADING`` first tokens. A leaf holds as many templates as its lines ask for. A template is a line
+with places left open, at most ``1 - ALIKE`` of them: the places behind the leading tokens are cut
+into blocks of half as many as may be open (at least one place), and one block, or two where
+two may be open, is open. Each line goes to the template that most documents have, summed over
+its different lines (of equals, the one with the first open blocks); a line that shares no
+template with another one is a template of its own.
 
 A template that at least ``MIN_DOCS`` documents have recurs: its lines stay in the first of
-these documents (least id; nulls last) and are dropped in all others. Blank lines, and lines
-of variable fields alone, always stay.
+these documents (least id; nulls last) and are dropped in all others. Lines of variable fields
+alone (numbers, addresses, digests) have no constant place to tell templates by: they count as they
+are written. Blank lines always stay.
 
-Only hashes are grouped and joined; the text of lines meets its leaf's template where a leaf has several.
+Only hashes of 128 bits are grouped and joined; the text of lines is masked once and met again only where a leaf has several.
 The hot template of many documents is counted by pre-aggregated sums, and its lines meet the
-verdict in joins that adaptive execution can split.
+verdict in joins that adaptive execution can split; the open blocks of a line are at most 136 pairs, whatever its length.
 
 A null text stays null and has no lines. Rows with the same id and text are one document, and
 treated alike. Other columns pass through, whatever their names.
@@ -33,41 +37,66 @@ MIN_DOCS = 5
 FIELD = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """The line with single spaces and its variable fields masked.
+def masked(line: Column, constant: Column) -> Column:
+    """The line with single spaces and, if it has a constant token, its variable fields masked.
 
     Most lines have neither fields nor odd spaces: plain searches spare them the replacements.
     """
     spaced = reduce(lambda a, b: a | b, [F.contains(line, F.lit(s)) for s in ("  ", "\t", "\r", "\x0b", "\x0c")])
     line = F.trim(F.when(spaced, F.regexp_replace(line, r"[ \t\r\x0B\f]+", " ")).otherwise(line))
     fields = F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)
-    return F.when(F.rlike(line, F.lit("[0-9]")), fields).otherwise(line)
+    return F.when(constant & F.rlike(line, F.lit("[0-9]")), fields).otherwise(line)
+
+
+def key(*columns: Column) -> Column:
+    """128 bits that tell the columns' values apart."""
+    return F.struct(F.xxhash64(F.lit(0), *columns).alias("u"), F.xxhash64(F.lit(1), *columns).alias("v"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """``id, same, place, leaf, line, masked`` of the lines of rows ``id, text`` that can be dropped; ``line`` is a hash."""
+    """``id, same, place, leaf, line, masked`` of the lines of rows ``id, text`` that can be dropped.
+
+    ``line`` is a key, ``leaf`` a hash, null where the line has no constant token.
+    """
     each = docs.select("id", F.xxhash64("text").alias("same"), F.posexplode(F.split("text", "\n")).alias("place", "raw"))
-    # Some token without a digit; asked of the raw line, so that the mask is made once, behind it.
-    constant = F.rlike("raw", F.lit(r"(?<![^ \t\r\x0B\f])[^ \t\r\x0B\f0-9]++(?![^ \t\r\x0B\f])"))
-    each = each.filter(constant).select("id", "same", "place", masked(F.col("raw")).alias("masked"))
+    each = each.filter(F.rlike("raw", F.lit(r"[^ \t\r\x0B\f]")))
+    each = each.withColumn("constant", F.rlike("raw", F.lit(r"(?<![^ \t\r\x0B\f])[^ \t\r\x0B\f0-9]++(?![^ \t\r\x0B\f])")))
+    each = each.select("id", "same", "place", "constant", masked(F.col("raw"), F.col("constant")).alias("masked"))
     tokens = F.length("masked") - F.length(F.translate("masked", " ", ""))
-    leaf = F.md5(F.concat_ws(" ", tokens.cast("string"), F.substring_index("masked", " ", LEADING)).cast("binary")).alias("leaf")
-    return each.select("id", "same", "place", leaf, F.md5(F.col("masked").cast("binary")).alias("line"), "masked")
+    leaf = F.when(F.col("constant"), F.xxhash64(tokens, F.substring_index("masked", " ", LEADING))).alias("leaf")
+    return each.select("id", "same", "place", leaf, key(F.col("masked")).alias("line"), "masked")
+
+
+def open_blocks(texts: DataFrame, alike: float) -> DataFrame:
+    """``line, n, first, last, template``: the templates of lines ``line, n, masked``, by their open blocks."""
+    size, spare, half = F.col("size"), F.col("spare"), F.col("half")
+    rows = texts.select("line", "n", F.split("masked", " ").alias("tokens")).withColumn("size", F.size("tokens"))
+    rows = rows.withColumn("spare", F.floor(size * round(100 * (1 - alike)) / 100).cast("int"))
+    rows = rows.filter((spare > 0) & (size > LEADING)).withColumn("half", F.greatest(F.lit(1), F.floor(spare / 2).cast("int")))
+    rows = rows.withColumn("end", F.ceil((size - LEADING) / half).cast("int") - 1)
+    block = lambda b: F.slice("tokens", b * half + LEADING + 1, half)
+    each = lambda salt: F.transform(F.sequence(F.lit(0), "end"), lambda b: F.xxhash64(F.lit(salt), block(b)))
+    rows = rows.select("line", "n", "spare", "end", key(size, F.slice("tokens", 1, LEADING)).alias("head"), each(0).alias("u"), each(1).alias("v"))
+    rows = rows.withColumn("first", F.explode(F.sequence(F.lit(0), "end")))
+    rows = rows.withColumn("last", F.explode(F.sequence("first", F.when(spare > 1, F.col("end")).otherwise(F.col("first")))))
+    fixed = lambda name: F.transform(name, lambda x, b: F.when((b == F.col("first")) | (b == F.col("last")), 0).otherwise(x))
+    template = F.struct(*[F.xxhash64(f"head.{c}", "first", "last", fixed(c)).alias(c) for c in ("u", "v")])
+    return rows.select("line", "n", "first", "last", template.alias("template"))
 
 
 def templates(scratch: Scratch, rows: DataFrame, alike: float) -> tuple[DataFrame, DataFrame]:
-    """The lines of documents without their texts, and ``leaf, line, template`` for generalised lines."""
-    found = lines(rows)
-    kept = scratch.keep(found.drop("masked"), "lines")
-    counts = kept.select("id", "same", "leaf", "line").distinct().groupBy("leaf", "line").agg(F.count("*").alias("n"))
-    several = counts.groupBy("leaf").agg(F.count("*").alias("m"), F.max(F.struct("n", F.translate("line", "0123456789abcdef", "fedcba9876543210").alias("low"))).alias("top"))
-    several = several.filter("m > 1").select("leaf", F.translate("top.low", "0123456789abcdef", "fedcba9876543210").alias("template"))
-    texts = found.join(several, "leaf").groupBy("leaf", "template", "line").agg(F.first("masked").alias("masked"))
-    texts = scratch.keep(texts, "leaves")
-    best = texts.filter("line = template").select("leaf", F.col("masked").alias("general"))
-    same = F.aggregate(F.zip_with(F.split("masked", " "), F.split("general", " "), lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    member = texts.join(best, "leaf").filter(same >= alike * F.size(F.split("masked", " "))).select("leaf", "line", "template")
-    return kept, scratch.keep(member, "templates")
+    """The lines of documents without their texts, and ``line, template`` for generalised lines."""
+    found = scratch.keep(lines(rows), "lines")
+    counts = found.select("id", "same", "leaf", "line").distinct().groupBy("leaf", "line").agg(F.count("*").alias("n"))
+    counts = scratch.keep(counts.filter("leaf IS NOT NULL"), "counts")
+    several = counts.groupBy("leaf").agg(F.count("*").alias("m")).filter("m > 1").select("leaf")
+    shared = counts.join(several, "leaf").select("line", "n")
+    texts = found.select("line", "masked").join(shared, "line").groupBy("line", "n").agg(F.first("masked").alias("masked"))
+    each = open_blocks(scratch.keep(texts, "leaves"), alike)
+    votes = each.groupBy("template").agg(F.sum("n").alias("total"), F.count("*").alias("m")).filter("m > 1").select("template", "total")
+    best = F.max(F.struct("total", -F.col("first"), -F.col("last"), "template")).alias("best")
+    member = each.join(votes, "template").groupBy("line").agg(best).select("line", "best.template")
+    return found.drop("masked"), scratch.keep(member, "templates")
 
 
 def without_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, alike: float = ALIKE, text: str = "text", id_column: str = "doc_id") -> tuple[DataFrame, str, str]:
@@ -75,7 +104,7 @@ def without_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, alike: float =
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))
     kept, member = templates(scratch, rows, alike)
-    kept = kept.join(member, ["leaf", "line"], "left").select("id", "same", "place", F.coalesce("template", "line").alias("template"))
+    kept = kept.join(member, "line", "left").select("id", "same", "place", F.coalesce("template", "line").alias("template"))
     owners = kept.select("template", "id", "same").distinct()
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("first")
     recurring = owners.groupBy("template").agg(F.count("*").alias("n"), first).filter(F.col("n") >= min_docs).select("template", "first")

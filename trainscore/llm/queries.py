@@ -84,18 +84,25 @@ WITH raw AS (
   SELECT doc_id, text, line, place, words, list_transform(words, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS tokens FROM spaced
 ), each AS (
   SELECT *, array_to_string(tokens, ' ') AS masked, array_to_string(list_slice(tokens, 1, 3), ' ') AS head, len(tokens) AS size,
-    len(list_filter(words, lambda w: w <> '' AND NOT regexp_matches(w, '[0-9]'))) > 0 AS constant FROM hidden
+    len(list_filter(words, lambda w: w <> '' AND NOT regexp_matches(w, '[0-9]'))) > 0 AS constant,
+    array_to_string(words, ' ') AS spaced FROM hidden
 ), counts AS (
-  SELECT size, head, masked, any_value(tokens) AS tokens, count(DISTINCT (doc_id, text)) AS n FROM each WHERE constant GROUP BY ALL
-), general AS (
-  SELECT size, head, masked AS template, tokens AS shape FROM counts
-  QUALIFY row_number() OVER (PARTITION BY size, head ORDER BY n DESC, md5(masked)) = 1
+  SELECT size, head, masked, any_value(tokens) AS tokens, count(DISTINCT (doc_id, text)) AS n,
+    size * 20 // 100 AS spare, greatest(1, size * 20 // 100 // 2) AS half FROM each WHERE constant GROUP BY size, head, masked
+), shared AS (
+  SELECT *, (size - 3 + half - 1) // half AS blocks FROM counts WHERE spare > 0 AND size > 3 QUALIFY count(*) OVER (PARTITION BY size, head) > 1
+), opened AS (
+  SELECT *, unnest(range(a, CASE WHEN spare > 1 THEN blocks ELSE a + 1 END)) AS b FROM (SELECT *, unnest(range(0, blocks)) AS a FROM shared)
+), shapes AS (
+  SELECT size, head, masked, n, a, b, array_to_string(list_concat(['open', CAST(a AS VARCHAR), CAST(b AS VARCHAR)],
+    list_transform(tokens, lambda w, i: CASE WHEN i > 3 AND (i - 4) // half IN (a, b) THEN '' ELSE w END)), ' ') AS shape FROM opened
+), votes AS (
+  SELECT *, sum(n) OVER (PARTITION BY size, shape) AS total, count(*) OVER (PARTITION BY size, shape) AS m FROM shapes
 ), belongs AS (
-  SELECT c.masked,
-    CASE WHEN len(list_filter(list_zip(c.tokens, g.shape), lambda z: z[1] = z[2])) >= 0.8 * c.size THEN g.template ELSE c.masked END AS template
-  FROM counts c JOIN general g ON c.size = g.size AND c.head = g.head
+  SELECT masked, shape FROM votes WHERE m > 1 QUALIFY row_number() OVER (PARTITION BY masked ORDER BY total DESC, a, b) = 1
 ), owned AS (
-  SELECT e.*, b.template FROM each e LEFT JOIN belongs b ON e.constant AND e.masked = b.masked
+  SELECT e.*, CASE WHEN e.constant THEN coalesce('2 ' || b.shape, '1 ' || e.masked) WHEN e.spaced <> '' THEN '0 ' || e.spaced END AS template
+  FROM each e LEFT JOIN belongs b ON e.constant AND e.masked = b.masked
 ), recurring AS (
   SELECT template, min(doc_id) AS first FROM owned WHERE template IS NOT NULL GROUP BY template HAVING count(DISTINCT (doc_id, text)) >= 5
 ), judged AS (
