@@ -87,23 +87,23 @@ def open_blocks(texts: DataFrame, alike: float) -> DataFrame:
 def templates(scratch: Scratch, rows: DataFrame, min_docs: int, alike: float) -> tuple[DataFrame, DataFrame]:
     """The lines of documents without their texts, and ``line, template`` for generalised lines.
 
-    What fewer than ``min_docs`` documents share cannot recur and keeps its lines apart. Tables that are
-    small beside the lines are written first, so that Spark plans their joins by their known size.
+    What fewer than ``min_docs`` documents share cannot recur and keeps its lines apart. Its tables grow
+    with the corpus, so the lines meet them in sorted merges, at every size.
     """
     found = scratch.keep(lines(rows), "lines")
     counts = found.filter("leaf IS NOT NULL").select("id", "same", "leaf", "line").distinct()
     counts = scratch.keep(counts.groupBy("leaf", "line").agg(F.count("*").alias("n")), "counts")
     several = counts.groupBy("leaf").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     several = several.filter((F.col("m") > 1) & (F.col("total") >= min_docs)).select("leaf")
-    shared = scratch.keep(counts.join(several, "leaf").select("line", "n"), "shared")
-    texts = found.select("line", "masked").join(shared, "line").groupBy("line", "n").agg(F.first("masked").alias("masked"))
+    shared = counts.join(several, "leaf").select("line", "n")
+    texts = found.select("line", "masked").hint("merge").join(shared, "line").groupBy("line", "n").agg(F.first("masked").alias("masked"))
     each = open_blocks(scratch.keep(texts, "leaves"), alike)
     votes = each.groupBy("template").agg(F.sum("n").alias("total"), F.count("*").alias("m"))
-    votes = scratch.keep(votes.filter((F.col("m") > 1) & (F.col("total") >= min_docs)).select("template", "total"), "votes")
+    votes = votes.filter((F.col("m") > 1) & (F.col("total") >= min_docs)).select("template", "total")
     best = F.max(F.struct("total", -F.col("first"), -F.col("last"), "template")).alias("best")
-    member = each.join(votes, "template").groupBy("line").agg(best).select("line", "best.template")
+    member = each.hint("merge").join(votes, "template").groupBy("line").agg(best).select("line", "best.template")
     member = scratch.keep(member, "templates")
-    scratch.drop(counts, shared, votes)
+    scratch.drop(counts)
     return found.drop("masked"), member
 
 
@@ -112,7 +112,7 @@ def without_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, alike: float =
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))
     kept, member = templates(scratch, rows, min_docs, alike)
-    kept = kept.join(member, "line", "left").select("id", "same", "place", F.coalesce("template", "line").alias("template"))
+    kept = kept.hint("merge").join(member, "line", "left").select("id", "same", "place", F.coalesce("template", "line").alias("template"))
     owners = kept.select("template", "id", "same").distinct()
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("first")
     recurring = owners.groupBy("template").agg(F.count("*").alias("n"), first).filter(F.col("n") >= min_docs).select("template", "first")
