@@ -35,6 +35,9 @@ LEADING = 3
 ALIKE = 0.8
 MIN_DOCS = 5
 FIELD = "<*>"
+# Bits of the filter in front of the join with texts, and bits in one of Spark's bitmaps.
+SPOTS = 1 << 26
+PART = 8 * 4096
 
 
 def masked(line: Column, constant: Column) -> Column:
@@ -84,26 +87,36 @@ def open_blocks(texts: DataFrame, alike: float) -> DataFrame:
     return rows.select("line", "n", "first", "last", template.alias("template"))
 
 
+def possible(found: DataFrame, shared: DataFrame) -> DataFrame:
+    """``found`` without most lines that ``shared`` does not have: a bit for each hash of a line, 8 MB whatever the corpus."""
+    spot = F.pmod(F.col("line.u"), F.lit(SPOTS))
+    part, place = F.floor(spot / PART), (spot % PART).cast("long")
+    bits = shared.select(part.alias("part"), place.alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.withColumn("part", part).join(F.broadcast(bits), "part").filter(F.getbit(byte, (place % 8).cast("int")) == 1).drop("part", "bits")
+
+
 def templates(scratch: Scratch, rows: DataFrame, min_docs: int, alike: float) -> tuple[DataFrame, DataFrame]:
     """The lines of documents without their texts, and ``line, template`` for generalised lines.
 
     What fewer than ``min_docs`` documents share cannot recur and keeps its lines apart. Its tables grow
-    with the corpus, so the lines meet them in sorted merges, at every size.
+    with the corpus, so the lines meet them in sorted merges, at every size;
+    a filter of fixed size spares most texts the shuffle.
     """
     found = scratch.keep(lines(rows), "lines")
     counts = found.filter("leaf IS NOT NULL").select("id", "same", "leaf", "line").distinct()
     counts = scratch.keep(counts.groupBy("leaf", "line").agg(F.count("*").alias("n")), "counts")
     several = counts.groupBy("leaf").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     several = several.filter((F.col("m") > 1) & (F.col("total") >= min_docs)).select("leaf")
-    shared = counts.join(several, "leaf").select("line", "n")
-    texts = found.select("line", "masked").hint("merge").join(shared, "line").groupBy("line", "n").agg(F.first("masked").alias("masked"))
+    shared = scratch.keep(counts.join(several, "leaf").select("line", "n"), "shared")
+    texts = possible(found.select("line", "masked"), shared).hint("merge").join(shared, "line").groupBy("line", "n").agg(F.first("masked").alias("masked"))
     each = open_blocks(scratch.keep(texts, "leaves"), alike)
     votes = each.groupBy("template").agg(F.sum("n").alias("total"), F.count("*").alias("m"))
     votes = votes.filter((F.col("m") > 1) & (F.col("total") >= min_docs)).select("template", "total")
     best = F.max(F.struct("total", -F.col("first"), -F.col("last"), "template")).alias("best")
     member = each.hint("merge").join(votes, "template").groupBy("line").agg(best).select("line", "best.template")
     member = scratch.keep(member, "templates")
-    scratch.drop(counts)
+    scratch.drop(counts, shared)
     return found.drop("masked"), member
 
 
