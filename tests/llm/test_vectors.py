@@ -84,3 +84,27 @@ def test_odd_vectors(spark):
     assert [i for i, _ in near[0]] == [3, 4, 50, 50] and [i for i, _ in near[100]] == [101]
     none = table.limit(0)
     assert topk.top(none).count() == 0 and ann.nearest(none).count() == 0
+
+
+def test_large_components_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = rng.choice([1.0, 1e6, 1e8, 1e12, 1e15], 300)
+    rows = [(i, [float(x) for x in rng.standard_normal(4) * size]) for i, size in enumerate(sizes)]
+    # Products that differ in one, beyond doubles, and scores beyond a long.
+    rows += [(350, [2.0**30, 1 / 256, 0.0, 0.0]), (351, [2.0**10, 1 / 256, 0.0, 0.0]), (352, [2.0**10, 2 / 256, 0.0, 0.0]), (400, [-1e300, 0.0, 0.0, 1.0])]
+    whole = {i: [max(-(2**63), min(2**63, int(np.floor(256 * x)))) for x in v] for i, v in rows}
+    long = 2**63 - 1
+    want = {}
+    for q in whole:
+        if q % 50 == 0:
+            scores = [(max(-long, min(long, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q]
+            want[q] = [(i, s) for s, i in sorted(scores, key=lambda p: (-p[0], p[1]))[:5]]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert lists(topk.top(table)) == want
+    monkeypatch.setattr(topk, "SHARD_ROWS", 64)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(topk, "LEAF", 4)
+    assert lists(topk.top(table)) == want
+    plain = {350: whole[350], 351: whole[351], 352: whole[352]}
+    got = topk.exact_products(np.array([plain[351], plain[352]], float), np.array(plain[350], float))
+    assert got[1] - got[0] == 1 and got[0] > 2**53

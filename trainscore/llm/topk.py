@@ -6,8 +6,9 @@ over components of the larger product with the box's two sides, so nodes are ope
 that bound, and a search ends when the best bound left is under the kth score found. A query
 first searches one shard; its kth score there goes along to all others.
 
-Components become floor(scale * x); products and sums are exact in double precision up to
-2**53, larger ones are refused. How rows without a usable vector are treated: ``vectors``.
+Components become floor(scale * x), at most the largest long. Products and sums are exact: in double
+precision up to 2**53, beyond that in integers, and the bounds of boxes are rounded outwards there. A score
+beyond a long counts as the largest, or least but one, long. How rows without a usable vector are treated: ``vectors``.
 """
 
 from __future__ import annotations
@@ -19,12 +20,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import Scratch
-from .vectors import best, blank, meeting, ranked, shards_and_blocks
+from .vectors import UNFILLED, best, blank, meeting, ranked, shards_and_blocks
 
 LEAF = 256
 SHARD_ROWS = 16384
 BLOCK_ROWS = 1024
 EXACT = float(1 << 53)
+LONG = (1 << 63) - 1
+
+
+def exact_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers as longs; only rows that doubles cannot multiply exactly take another way."""
+    with np.errstate(over="ignore"):
+        most = np.abs(vectors).max(axis=1, initial=0) * np.abs(query).max(initial=0) * vectors.shape[1]
+    found = np.zeros(len(vectors), np.int64)
+    plain = most <= EXACT
+    found[plain] = vectors[plain] @ query
+    # Half of a long's range leaves room for the rounding of ``most`` itself.
+    large = ~plain & (most < 2.0**62)
+    if large.any():
+        found[large] = vectors[large].astype(np.int64) @ query.astype(np.int64)
+    for row in np.flatnonzero(~plain & ~large):
+        total = sum(int(a) * int(b) for a, b in zip(vectors[row], query, strict=True))
+        found[row] = max(-LONG, min(LONG, total))
+    return found
 
 
 class Tree:
@@ -52,15 +71,16 @@ class Tree:
         self.low, self.high, self.children, self.leaves = np.array(low), np.array(high), children, leaves
 
     def search(self, own: np.ndarray, queries: np.ndarray, bounds: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
-        near, scores = blank(len(own), k)
-        # What each node can give each query at most.
-        most = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
-        largest = np.abs(queries).max(initial=0) * max(np.abs(self.low).max(initial=0), np.abs(self.high).max(initial=0))
-        if largest * queries.shape[1] > EXACT:
-            raise ValueError("components are too large for exact products")
+        near, scores = blank(len(own), k, np.int64)
+        # What each node can give each query at most; sums that doubles round are rounded outwards.
+        with np.errstate(over="ignore", invalid="ignore"):
+            most = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+            size = np.abs(queries) @ np.maximum(np.abs(self.low), np.abs(self.high)).T
+            most = np.where(size > EXACT / 2, most + size * (queries.shape[1] + 2) * 2.0**-51, most)
+        most[~np.isfinite(size)] = np.inf
         for i, query in enumerate(queries):
-            least = bounds[i] if bounds is not None else -np.inf
-            ids, values = np.empty(0, np.int64), np.empty(0)
+            least = int(bounds[i]) if bounds is not None and bounds[i] > UNFILLED else -np.inf
+            ids, values = np.empty(0, np.int64), np.empty(0, np.int64)
             bound = most[i].tolist()
             heap = [(-bound[0], 0)]
             while heap and -heap[0][0] >= least:
@@ -71,12 +91,12 @@ class Tree:
                             heapq.heappush(heap, (-bound[child], child))
                     continue
                 there, vectors = self.leaves[node]
-                products = vectors @ query
+                products = exact_products(vectors, query)
                 wanted = (products >= least) & (there != own[i])
                 if wanted.any():
                     ids, values = best(np.concatenate([ids, there[wanted]]), np.concatenate([values, products[wanted]]), k)
                     if len(values) == k:
-                        least = max(least, values[-1])
+                        least = max(least, int(values[-1]))
             near[i, : len(ids)], scores[i, : len(ids)] = ids, values
         return near, scores
 
@@ -88,10 +108,10 @@ def top(table: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, id_
     shards, blocks, count = shards_and_blocks(scratch, table, id_column, vector, every, SHARD_ROWS, BLOCK_ROWS, nonzero=False, prepare=rounded)
     search = lambda index, ids, queries, bounds: index.search(ids, queries, bounds, k)
     at = blocks.withColumn("shard", F.pmod(F.col("block"), F.lit(count)))
-    home = scratch.keep(meeting(shards, at, Tree, search, k), "first")
+    home = scratch.keep(meeting(shards, at, Tree, search, k, np.int64), "first")
     every_shard = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("other")
     # A block whose first shard held other lengths only goes everywhere without a bound.
     bound = blocks.join(home.groupBy("block").agg(F.max("scores").alias("scores")), "block", "left").withColumn("first", F.pmod(F.col("block"), F.lit(count)))
     rest = bound.select("*", every_shard).filter("other != first").withColumn("shard", F.col("other"))
-    found = home.unionByName(meeting(shards, rest, Tree, search, k))
-    return ranked(found, k).withColumn("score", F.col("score").cast("long"))
+    found = home.unionByName(meeting(shards, rest, Tree, search, k, np.int64))
+    return ranked(found, k, np.int64)

@@ -76,6 +76,10 @@ def numbered(packs: DataFrame, name: str) -> DataFrame:
     return keyed.join(order, "key").withColumn(name, F.col("group")).drop("key", "group")
 
 
+# The score of a place not filled, where scores are integers.
+UNFILLED = np.iinfo(np.int64).min
+
+
 def shards_and_blocks(scratch: Scratch, table: DataFrame, id_column: str, vector: str, every: int, shard_rows: int, block_rows: int, nonzero: bool, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, DataFrame, int]:
     rows = prepare(usable(table, id_column, vector))
     if nonzero:
@@ -89,11 +93,12 @@ def shards_and_blocks(scratch: Scratch, table: DataFrame, id_column: str, vector
 Search = Callable[[object, np.ndarray, np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray]]
 
 
-def meeting(shards: DataFrame, blocks: DataFrame, build: Callable[[np.ndarray, np.ndarray], object], search: Search, k: int) -> DataFrame:
+def meeting(shards: DataFrame, blocks: DataFrame, build: Callable[[np.ndarray, np.ndarray], object], search: Search, k: int, kind: type = np.float64) -> DataFrame:
     """Search every block's queries in the index of the shard it is sent to (``blocks`` has a ``shard``).
 
     ``search(index, ids, queries, bounds)`` returns ids and scores, k for each query, best first;
-    places not filled have id -1. ``scores`` of the block, if any, bound what is wanted.
+    places not filled have id -1. ``scores`` of the block, if any, bound what is wanted;
+    ``kind`` is their type.
     """
     some = "scores" in blocks.columns
     both = shards.select("shard", F.lit(-1).cast("long").alias("block"), "dim", "ids", "vectors", F.lit(None).cast("binary").alias("scores"))
@@ -111,7 +116,7 @@ def meeting(shards: DataFrame, blocks: DataFrame, build: Callable[[np.ndarray, n
                 if row["block"] < 0:
                     indexes.append((row["dim"], build(ids, vectors)))
                     continue
-                bounds = np.frombuffer(row["scores"], np.float64).reshape(len(ids), k)[:, -1] if row["scores"] is not None else None
+                bounds = np.frombuffer(row["scores"], kind).reshape(len(ids), k)[:, -1] if row["scores"] is not None else None
                 for dim, index in indexes:
                     if dim == row["dim"]:
                         near, scores = search(index, ids, vectors, bounds)
@@ -122,18 +127,18 @@ def meeting(shards: DataFrame, blocks: DataFrame, build: Callable[[np.ndarray, n
     return both.mapInArrow(run, FOUND)
 
 
-def ranked(found: DataFrame, k: int) -> DataFrame:
+def ranked(found: DataFrame, k: int, kind: type = np.float64) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best over all shards, ties to the smaller id."""
 
     def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.select(["ids", "near", "scores"]).to_pylist():
                 asked = np.repeat(np.frombuffer(row["ids"], np.int64), k)
-                near, scores = np.frombuffer(row["near"], np.int64), np.frombuffer(row["scores"], np.float64)
-                real = np.isfinite(scores)
+                near, scores = np.frombuffer(row["near"], np.int64), np.frombuffer(row["scores"], kind)
+                real = np.isfinite(scores) if kind is np.float64 else scores > UNFILLED
                 yield pa.RecordBatch.from_arrays([pa.array(x[real]) for x in (asked, near, scores)], names=["query_id", "vec_id", "score"])
 
-    rows = found.mapInArrow(unpacked, "query_id long, vec_id long, score double")
+    rows = found.mapInArrow(unpacked, f"query_id long, vec_id long, score {'double' if kind is np.float64 else 'long'}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -147,5 +152,5 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return ids[order], scores[order]
 
 
-def blank(count: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.full((count, k), -1, np.int64), np.full((count, k), -np.inf)
+def blank(count: int, k: int, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray]:
+    return np.full((count, k), -1, np.int64), np.full((count, k), -np.inf if kind is np.float64 else UNFILLED, kind)
