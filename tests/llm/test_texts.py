@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -244,7 +245,39 @@ def test_weights_are_those_of_the_corpus():
     df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=6)
     whole = packing.Bm25(docs)
     part = packing.Bm25(docs[:2], packing.Corpus(df, 4, 3.0))
-    assert np.allclose(part.scores(docs[0]), whole.scores(docs[0])[:2])
+    first = np.searchsorted(part.terms, docs[0]), np.searchsorted(whole.terms, docs[0])
+    assert np.allclose(part.scores(first[0]), whole.scores(first[1])[:2])
+
+
+def plain_bm25(docs, corpus, seed):
+    """Of all documents for the distinct terms of one, document by document and term by term."""
+    out = []
+    for doc in docs:
+        damp, tf = packing.K1 * (1 - packing.B + packing.B * len(doc) / corpus.mean), Counter(doc.tolist())
+        idf = {t: math.log1p((corpus.count - corpus.df[t] + 0.5) / (corpus.df[t] + 0.5)) for t in set(seed.tolist())}
+        out.append(sum(w * tf[t] * (packing.K1 + 1) / (tf[t] + damp) for t, w in idf.items()))
+    return out
+
+
+def test_scores_and_keys_equal_a_plain_version():
+    rng = np.random.default_rng(3)
+    docs = [np.minimum(rng.geometric(0.03, rng.integers(1, 90)), 199).astype("<u4") for _ in range(120)]
+    docs.append(np.array([250], "<u4"))  # shares no term
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=251)
+    corpus = packing.Corpus(df, len(docs), np.mean([len(d) for d in docs]))
+    index = packing.Bm25(docs, corpus)
+    assert 0 < len(index.matrix) < len(index.terms)  # both kinds of terms
+    postings, begins = index.by_document()
+    for k, doc in enumerate(docs):
+        at = index.place[postings[begins[k] : begins[k + 1]]]
+        assert index.terms[at].tolist() == sorted(set(doc.tolist()))
+        assert np.allclose(index.scores(at), plain_bm25(docs, corpus, doc))
+    keys = packing.keys(docs, corpus)
+    for doc, key in zip(docs, keys.tolist(), strict=True):
+        damp, tf = packing.K1 * (1 - packing.B + packing.B * len(doc) / corpus.mean), Counter(doc.tolist())
+        draws = sorted((corpus.draw[t] / (corpus.idf[t] * n * (packing.K1 + 1) / (n + damp)), t) for t, n in tf.items() if df[t] > 1)
+        first, second = ([t + 1 for _, t in draws] + [0, 0])[:2]
+        assert key == first << 32 | second
 
 
 # -- secrets -------------------------------------------------------------------

@@ -18,7 +18,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import chain, repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,19 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of runs, one run after the other."""
+    return np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
+def cut(pieces: list, line: str | bytes, lines: int) -> tuple[list, np.ndarray]:
+    """The pieces without the line breaks, and how many each line has."""
+    if not lines:
+        return [], np.zeros(0, np.int64)
+    breaks = [i for i, piece in enumerate(pieces) if piece == line]
+    return [piece for piece in pieces if piece != line], np.diff([-1, *breaks, len(pieces)]) - 1
+
+
 class Vocabulary:
     """A BPE vocabulary read from a file, with the merges of words."""
 
@@ -71,21 +84,32 @@ class Vocabulary:
         self.inner = np.array([self.tokens[c] for c in letters], np.int32)
         self.last = np.array([self.tokens[c + self.suffix] for c in letters], np.int32)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(pattern).findall
-        self.ascii_pieces = regex.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").encode()).findall
+        # Words go through the pattern together, a line each.
+        self.pieces = regex.compile(rf"\n|{pattern}").findall
+        ascii_pattern = pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")
+        self.ascii_pieces = regex.compile(rf"\n|{ascii_pattern}".encode()).findall
         self.splits = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
 
     # ---- a word's pieces before any merge
 
-    def pretokens(self, word: str) -> list[bytes]:
-        """The parts of a word without white space that are merged on their own."""
-        if word.isascii():
-            word = word.lower()
-            if word.isalpha():
-                return [word.encode()]
-            return self.ascii_pieces(word.encode())
-        text = unicodedata.normalize("NFC", word)
-        return [piece.encode() for piece in self.pieces("".join(map(str.lower, text)))]
+    def parts(self, words: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """The parts of words without white space that are merged on their own, and how many each word has."""
+        plain = np.fromiter(map(str.isascii, words), bool, len(words))
+        found, counts = cut(self.ascii_pieces("\n".join(compress(words, plain)).lower().encode()), b"\n", int(plain.sum()))
+        if plain.all():
+            return found, counts
+        text = unicodedata.normalize("NFC", "\n".join(compress(words, ~plain)))
+        # A final sigma depends on its neighbours in a string, but not here: letters are lowered one by one.
+        text = "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
+        others, sizes = cut(self.pieces(text), "\n", int((~plain).sum()))
+        both = [*found, *map(str.encode, others)]
+        # Back into the order of the words.
+        all_sizes = np.concatenate([counts, sizes])
+        place = np.empty(len(words), np.int64)
+        place[np.argsort(~plain, kind="stable")] = np.arange(len(words))
+        counts = all_sizes[place]
+        order = spread((np.cumsum(all_sizes) - all_sizes)[place], counts)
+        return list(map(both.__getitem__, order.tolist())), counts
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of the pairs, NONE for pairs that are not merged."""
@@ -225,9 +249,9 @@ class WordEncoder:
         self.flat, self.ends = np.empty(1 << 20, np.int32), np.zeros(1 << 19, np.int64)
 
     def _add(self, words: list[str]) -> None:
-        parts = [self.vocabulary.pretokens(w) for w in words]
-        added, counts = self.vocabulary.merged_many(list(chain.from_iterable(parts)))
-        upto = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([len(p) for p in parts])]
+        parts, sizes = self.vocabulary.parts(words)
+        added, counts = self.vocabulary.merged_many(parts)
+        upto = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(sizes)]
         known, used = len(self.number), int(self.ends[len(self.number)])
         if used + len(added) > len(self.flat):
             self.flat = np.concatenate([self.flat[:used], np.empty(len(self.flat) + len(added), np.int32)])
@@ -304,6 +328,12 @@ def encoder(vocabulary: str) -> WordEncoder:
     return _encoders[vocabulary]
 
 
+def forget_encoders() -> None:
+    """Free the worker's tables of words, when a stage that encodes has ended."""
+    _encoders.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def send_vocabulary(spark: SparkSession, path: str) -> str:
     """Send the file to every executor, now and later ones; returns the name that ``encoder`` takes."""
     name = path.rsplit("/", 1)[-1]

@@ -24,6 +24,7 @@ import math
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary, encoder, send_vocabulary
+from .bpe import Vocabulary, encoder, forget_encoders, send_vocabulary, spread
 from .tables import Scratch
 from .words import bounded, column, mixed, whole
 
@@ -52,9 +53,23 @@ class Corpus:
     count: int
     mean: float
 
+    @cached_property
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.count - self.df + 0.5) / (self.df + 0.5))
+
+    @cached_property
+    def draw(self) -> np.ndarray:
+        """An exponential number for each term, the same in every document."""
+        return -np.log((mixed(np.arange(1, len(self.df) + 1)) >> np.uint64(11)).astype(np.float64) / (1 << 53) + 1e-17)
+
 
 class Bm25:
-    """The inverted index of a shard: for each term its documents and their weights, by the corpus's statistics if given."""
+    """The inverted index of a shard: for each term its documents and their weights, by the corpus's statistics if given.
+
+    Terms that more than one document in ``OFTEN`` has are rows of a matrix too, with a weight for each document.
+    """
+
+    OFTEN = 4
 
     def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         self.sizes = np.array([len(d) for d in docs], np.int64)
@@ -65,37 +80,56 @@ class Bm25:
         self.last = self.first + df
         everywhere = df if corpus is None else corpus.df[self.terms]
         count, mean = (len(docs), self.sizes.mean()) if corpus is None else (corpus.count, corpus.mean)
-        idf = np.log1p((count - everywhere + 0.5) / (everywhere + 0.5))
+        idf = Corpus(everywhere, count, mean).idf
         damp = K1 * (1 - B + B * self.sizes[self.owner] / mean)
         self.weights = np.repeat(idf, df) * tf * (K1 + 1) / (tf + damp)
         self.count = len(docs)
-
-    def scores(self, doc: np.ndarray) -> np.ndarray:
-        """Of all documents for the distinct terms of one."""
-        at = np.searchsorted(self.terms, np.unique(doc))
-        size = self.last[at] - self.first[at]
-        postings = np.arange(size.sum()) + np.repeat(self.first[at] - (np.cumsum(size) - size), size)
-        return np.bincount(self.owner[postings], self.weights[postings], self.count)
+        often = df * self.OFTEN > self.count
+        self.place = np.repeat(np.arange(len(df)), df)  # each posting's term
+        row = np.where(often, np.cumsum(often) - 1, -1)
+        self.matrix = np.zeros((int(often.sum()), self.count))
+        frequent = often[self.place]
+        self.matrix[row[self.place[frequent]], self.owner[frequent]] = self.weights[frequent]
+        self.row = row
+
+    def by_document(self) -> tuple[np.ndarray, np.ndarray]:
+        """The postings, document by document, and where each document's begin."""
+        sizes = np.bincount(self.owner, minlength=self.count)
+        return np.argsort(self.owner, kind="stable"), np.concatenate([[0], np.cumsum(sizes)])
+
+    def scores(self, at: np.ndarray) -> np.ndarray:
+        """Of all documents for distinct terms, given by their places in ``terms``."""
+        row = self.row[at]
+        rare, frequent = at[row < 0], np.zeros(len(self.matrix))
+        frequent[row[row >= 0]] = 1
+        first = self.first[rare]
+        postings = spread(first, self.last[rare] - first)
+        return np.bincount(self.owner[postings], self.weights[postings], self.count) + frequent @ self.matrix
 
 
 def keys(docs: list[np.ndarray], corpus: Corpus) -> np.ndarray:
     """Two terms of each document, of those that another document has: a weighted MinHash."""
-    index = Bm25(docs, corpus)
-    term = np.repeat(index.terms, index.last - index.first)
-    shared = np.flatnonzero(corpus.df[term] > 1)
-    draw = -np.log((mixed(term + 1) >> np.uint64(11)).astype(np.float64) / (1 << 53) + 1e-17) / index.weights
-    order = shared[np.lexsort((term[shared], draw[shared], index.owner[shared]))]
-    owner, term = index.owner[order], term[order]
+    sizes = np.array([len(d) for d in docs], np.int64)
+    coded, tf = np.unique(np.repeat(np.arange(len(docs)), sizes) << 32 | np.concatenate(docs), return_counts=True)
+    owner, term = coded >> 32, coded & 0xFFFFFFFF
+    weight = corpus.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[owner] / corpus.mean))
+    draw = np.where(corpus.df[term] > 1, corpus.draw[term] / weight, np.inf)
     out = np.zeros((len(docs), 2), np.int64)
-    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    first = np.searchsorted(owner, np.arange(len(docs)))
     for place in (0, 1):
-        out[owner[rank == place], place] = term[rank == place] + 1
+        least = np.minimum.reduceat(draw, first)
+        at = np.flatnonzero(draw == least[owner])
+        drawn, chosen = np.unique(owner[at], return_index=True)  # of equal draws the least term
+        at = at[chosen]
+        out[drawn, place] = np.where(draw[at] < np.inf, term[at] + 1, 0)
+        draw[at] = np.inf
     return out[:, 0] << 32 | out[:, 1]
 
 
 def packed(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[Piece]:
     """Pieces that cover each document's ids once, in full windows and then powers of two."""
     index = Bm25(docs, corpus)
+    postings, begins = index.by_document()
     unused = np.ones(len(docs), bool)
     pieces: list[Piece] = []
     sequence = filled = earliest = 0
@@ -109,8 +143,9 @@ def packed(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None =
         return earliest if earliest < len(docs) else -1
 
     def ranked(doc: int) -> Iterator[int]:
-        scores = np.where(unused, index.scores(docs[doc]), -1)
-        return (int(i) for i in np.argsort(-scores, kind="stable") if unused[i])
+        open_ = np.flatnonzero(unused)
+        scores = index.scores(index.place[postings[begins[doc] : begins[doc + 1]]])[open_]
+        return (i for i in open_[np.argsort(-scores, kind="stable")].tolist() if unused[i])
 
     doc, start = -1, 0
     while True:
@@ -159,44 +194,53 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", id_column: str =
     size = max(len(Vocabulary(vocabulary).text), END + 1)
 
     def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids of each document; a task's last row has the documents that hold each term, their number and tokens instead."""
         coder = encoder(name)
+        df, count, tokens = np.zeros(size, np.int64), 0, 0
         for rows_in in batches:
             for batch in bounded(rows_in, size=4 << 20):
-                ids = [np.append(i, END).astype("<u4").tobytes() for i in coder.encode(column(batch, "text"))]
-                yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(ids, pa.binary())], names=["id", "ids"])
+                held = [np.append(i, END).astype("<u4") for i in coder.encode(column(batch, "text"))]
+                flat, sizes = np.concatenate(held), np.array([len(h) for h in held], np.int64)
+                df += np.bincount(np.unique(np.repeat(np.arange(len(held)), sizes) << 32 | flat) & 0xFFFFFFFF, minlength=size)
+                count, tokens = count + len(held), tokens + len(flat)
+                ids = pa.array([h.tobytes() for h in held], pa.binary())
+                yield pa.RecordBatch.from_arrays([column(batch, "id"), ids, pa.nulls(len(held), pa.binary())], names=["id", "ids", "sums"])
+        if count:
+            sums = pa.array([np.concatenate([df, [count, tokens]]).astype("<i8").tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, column(batch, "id").type), pa.nulls(1, pa.binary()), sums], names=["id", "ids", "sums"])
+
+    def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of a task, number by number."""
+        total = np.zeros(size + 2, np.int64)
+        for batch in batches:
+            for sums in column(batch, "sums").to_pylist():
+                total += np.frombuffer(sums, "<i8")
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "n"])
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
         for rows_in in batches:
             for batch in bounded(rows_in, "ids", 4 << 20):
                 yield batch, [np.frombuffer(i, "<u4") for i in column(batch, "ids").to_pylist()]
 
-    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The documents that have each term, all documents (-1) and their tokens (-2)."""
-        df, count, tokens = np.zeros(size, np.int64), 0, 0
-        for _, held in read(batches):
-            owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
-            df += np.bincount(np.unique(np.concatenate(held).astype(np.int64) << 32 | owner) >> 32, minlength=size)
-            count, tokens = count + len(held), tokens + len(owner)
-        term = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(term, [-1, -2])), pa.array(np.append(df[term], [count, tokens]))], names=["term", "n"])
-
-    texts = scratch.keep(rows.mapInArrow(coded, f"id {kind}, ids binary"), "coded")
-    sums = texts.select("ids").mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    term, n = (sums.column(c).to_numpy() for c in ("term", "n"))
-    df = np.zeros(size, np.int64)
-    df[term[term >= 0]] = n[term >= 0]
-    count, tokens = int(n[term == -1].sum()), int(n[term == -2].sum())
-    corpus = Corpus(df, count, tokens / max(count, 1))
+    texts = scratch.keep(rows.mapInArrow(coded, f"id {kind}, ids binary, sums binary"), "coded")
+    counts = texts.select("sums").filter("sums is not null").mapInArrow(summed, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(size + 2, np.int64)
+    total[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
+    count, tokens = map(int, total[size:])
+    corpus = Corpus(total[:size], count, tokens / max(count, 1))
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch, held in read(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys(held, corpus))], names=["id", "ids", "key"])
 
     order = ["key", "salt", "row"]
-    near = texts.mapInArrow(keyed, f"id {kind}, ids binary, key long").select("*", F.xxhash64("id", "ids").alias("salt"), F.monotonically_increasing_id().alias("row"))
+    near = texts.filter("ids is not null").select("id", "ids").mapInArrow(keyed, f"id {kind}, ids binary, key long").select("*", F.xxhash64("id", "ids").alias("salt"), F.monotonically_increasing_id().alias("row"))
     near = near.repartitionByRange(max(1, math.ceil(tokens / SHARD_TOKENS / SHARDS)), *order).sortWithinPartitions(*order).select("id", "ids")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         first = TaskContext.get().partitionId() << 32
         held: list[np.ndarray] = []
         ids: list[pa.Array] = []

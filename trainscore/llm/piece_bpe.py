@@ -150,8 +150,8 @@ class Model:
     # ---- merging; what WordEncoder asks of a vocabulary
 
     @staticmethod
-    def pretokens(stretch: str) -> list[str]:
-        return [stretch]
+    def parts(stretches: list[str]) -> tuple[list[str], np.ndarray]:
+        return stretches, np.ones(len(stretches), np.int64)
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of each pair, NONE for pairs that are no piece."""
