@@ -181,6 +181,25 @@ def test_lines_of_repeated_rows_and_long_texts(odd, empty):
     assert line_dedup.without_recurring(empty)[0].count() == 0
 
 
+def test_pairs_are_found_in_a_crowded_table():
+    rng = np.random.default_rng(1)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 48, 3000), np.arange(2000) << 32]))
+    table = bpe.PairTable(keys, np.arange(len(keys), dtype=np.int32))
+    asked = np.concatenate([keys, keys + 1, [-1, -5, 1 << 60]])
+    ranks = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+    assert table.find(asked).tolist() == [ranks.get(k, bpe.NONE) for k in asked.tolist()]
+    assert bpe.PairTable(keys[:0], np.empty(0, np.int32)).find(asked[:3]).tolist() == [bpe.NONE] * 3
+
+
+def test_parts_of_words_in_any_script(tokenizer):
+    words = ["Don't", "\u00c9T\u00c9", "a1b2", "\u03a3\u03a3", "...x", "\u4e2d\u6587!", "\u0301a", "ok", "\u0130'LL"]
+    parts, counts = bpe.Vocabulary(WORD_BPE).parts(words)
+    assert len(parts) == counts.sum() and counts[0] == 2 and parts[0] == b"don"
+    coder = bpe.WordEncoder(bpe.Vocabulary(WORD_BPE))
+    for row, word in zip(coder.encode(pa.array(words)), words, strict=True):
+        assert row.tolist() == tokenizer.encode(word, add_special_tokens=False).ids
+
+
 # -- packing -------------------------------------------------------------------
 
 

@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import Words, bounded, column, whole
+from .words import MIX_A, Words, bounded, column, whole
 
 NONE = 1 << 30  # the rank of a pair that is not merged
 POSITION = 7  # low bits of a leaf's value: the place, so that the leftmost of equal ranks wins
@@ -48,6 +48,41 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
 
 
+class PairTable:
+    """Ranks of pairs in a hash table that is searched for many pairs at once; a pair lies at its place or soon after."""
+
+    def __init__(self, keys: np.ndarray, ranks: np.ndarray):
+        bits = max(len(keys), 1).bit_length() + 3
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32)
+        place, left = self._places(keys), np.arange(len(keys))
+        while len(left):  # the first of those at one free place stays there, the others move on
+            at = place[left]
+            free = np.flatnonzero(self.keys[at] == -1)
+            at, first = np.unique(at[free], return_index=True)
+            put = left[free[first]]
+            self.keys[at], self.ranks[at] = keys[put], ranks[put]
+            left = np.setdiff1d(left, put, assume_unique=True)
+            place[left] = (place[left] + 1) % (1 << bits)
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * MIX_A >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs, NONE for pairs that are not there or have a negative part."""
+        at = self._places(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.ranks[at], NONE)
+        left = np.flatnonzero((there != keys) & (there != -1))
+        while len(left):
+            at[left] = (at[left] + 1) % len(self.keys)
+            there = self.keys[at[left]]
+            match = there == keys[left]
+            out[left[match]] = self.ranks[at[left[match]]]
+            left = left[~match & (there != -1)]
+        return np.where(keys < 0, NONE, out)
+
+
 def cut(pieces: list, line: str | bytes, lines: int) -> tuple[list, np.ndarray]:
     """The pieces without the line breaks, and how many each line has."""
     if not lines:
@@ -78,8 +113,8 @@ class Vocabulary:
         keys = np.array([self.tokens[a] << 32 | self.tokens[b] for a, b in merges], np.int64)
         made = np.array([self.tokens[a + b] for a, b in merges], np.int32)
         order = np.argsort(keys, kind="stable")
-        self.pair_keys, self.pair_ranks, self.made = keys[order], order.astype(np.int32), made
-        self.rank_of = {int(k): int(r) for k, r in zip(self.pair_keys, self.pair_ranks, strict=True)}
+        self.pairs, self.made = PairTable(keys[order], order.astype(np.int32)), made
+        self.rank_of = {int(k): int(r) for k, r in zip(keys[order], order, strict=True)}
         letters = byte_letters()
         self.inner = np.array([self.tokens[c] for c in letters], np.int32)
         self.last = np.array([self.tokens[c + self.suffix] for c in letters], np.int32)
@@ -113,9 +148,7 @@ class Vocabulary:
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of the pairs, NONE for pairs that are not merged."""
-        keys = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NONE)
+        return self.pairs.find(left.astype(np.int64) << 32 | right)
 
     # ---- merging
 

@@ -198,10 +198,11 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", id_column: str =
         coder = encoder(name)
         df, count, tokens = np.zeros(size, np.int64), 0, 0
         for rows_in in batches:
-            for batch in bounded(rows_in, size=4 << 20):
+            for batch in bounded(rows_in, size=8 << 20):
                 held = [np.append(i, END).astype("<u4") for i in coder.encode(column(batch, "text"))]
                 flat, sizes = np.concatenate(held), np.array([len(h) for h in held], np.int64)
-                df += np.bincount(np.unique(np.repeat(np.arange(len(held)), sizes) << 32 | flat) & 0xFFFFFFFF, minlength=size)
+                pairs = np.sort(np.repeat(np.arange(len(held)), sizes) << 32 | flat)
+                df += np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] & 0xFFFFFFFF, minlength=size)
                 count, tokens = count + len(held), tokens + len(flat)
                 ids = pa.array([h.tobytes() for h in held], pa.binary())
                 yield pa.RecordBatch.from_arrays([column(batch, "id"), ids, pa.nulls(len(held), pa.binary())], names=["id", "ids", "sums"])
