@@ -12,6 +12,8 @@ SEQUENCE  ``key, value`` of a Hadoop sequence file
 HADOOP    ``key, value`` of any Hadoop input format, of the old or the new interface
 OBJECT    the fields of the records, as named in the schema: pickled ones, or
           with the option ``serialization: java`` those of a JVM program
+PLUGIN    the columns of a data source of one's own, a ``DataSource`` of
+          ``pyspark.sql.datasource`` that ``inputFormat`` names as ``module.Class``
 ========  =================================================================
 
 TEXT, JSON, WHOLE, CSV, PARQUET and key-value text are native scans. SEQUENCE and
@@ -21,14 +23,16 @@ once per record: convert such data to Parquet when it is read more than once.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
-from pyspark import RDD
+from pyspark import RDD, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource
 
 from ..functions.records import CORRUPT, csv_judged, kept
 from ..spec import SourceSpec
@@ -149,6 +153,24 @@ def _java_objects(spark: SparkSession, src: SourceSpec) -> DataFrame:
     return records.map(row).toDF(schema)
 
 
+def registered_source(spark: SparkSession, dotted: str) -> str:
+    """Make a ``DataSource`` class known to the session; returns the name of its format."""
+    from ..plugins import import_class
+
+    found = import_class(dotted, DataSource)
+    # The driver's process that plans a stream does not get files that were added: the class travels whole.
+    cloudpickle.register_pickle_by_value(sys.modules[found.__module__])
+    spark.dataSource.register(found)
+    return found.name()
+
+
+def _plugin(spark: SparkSession, src: SourceSpec) -> DataFrame:
+    if not src.inputFormat:
+        raise ValueError("PLUGIN sources need an inputFormat, the module.Class of the data source")
+    reader = spark.read.format(registered_source(spark, src.inputFormat)).options(**src.options)
+    return (reader.schema(src.schema) if src.schema else reader).load(src.source)
+
+
 _READERS: dict[str, Callable[[SparkSession, SourceSpec], DataFrame]] = {
     "TEXT": _text,
     "JSON": _whole_files,
@@ -158,6 +180,7 @@ _READERS: dict[str, Callable[[SparkSession, SourceSpec], DataFrame]] = {
     "SEQUENCE": _sequence,
     "HADOOP": _hadoop,
     "OBJECT": _pickled,
+    "PLUGIN": _plugin,
 }
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 # The source types a setting may name.
-SOURCE_TYPES = ("TEXT", "JSON", "CSV", "SEQUENCE", "OBJECT", "HADOOP", "WHOLE", "PARQUET")
+SOURCE_TYPES = ("TEXT", "JSON", "CSV", "SEQUENCE", "OBJECT", "HADOOP", "WHOLE", "PARQUET", "PLUGIN")
 
 # What a sink may write.
 SINK_FORMATS = ("parquet", "json", "csv", "orc")
@@ -63,6 +63,11 @@ def _positive_int(value: Any, what: str) -> int | None:
     return value
 
 
+def _request_format(value: Any) -> str:
+    """A file format, or the ``module.Class`` of a data source."""
+    return value if isinstance(value, str) and "." in value else _one_of(value, SINK_FORMATS, "requestFormat")
+
+
 def check_weights(weights: Any) -> tuple[float, float]:
     """Train weight in (0, 1], verify weight in [0, 1], their sum at most 1."""
     if isinstance(weights, Mapping):
@@ -290,7 +295,7 @@ class StreamSpec:
             **{
                 **raw,
                 "modelParameter": as_mapping(raw.get("modelParameter") or {}, "modelParameter"),
-                "requestFormat": _one_of(raw.get("requestFormat", "json"), SINK_FORMATS, "requestFormat"),
+                "requestFormat": _request_format(raw.get("requestFormat", "json")),
                 "requestOptions": dict(raw.get("requestOptions") or {}),
                 "responseFormat": _one_of(raw.get("responseFormat", "parquet"), SINK_FORMATS, "responseFormat"),
             }

@@ -17,16 +17,18 @@ from ..operators.sinks import current_model
 from ..operators.isolate import answered_apart, data_fault
 from ..plans.jobs import add_plugin_code
 from ..plugins import REQUEST_SCHEMA, Scorer, resolve_scorer
+from ..sources.readers import registered_source
 from ..spec import StreamSpec
 from ..storage import job_session, path_exists
 
 
 def read_requests(spark: SparkSession, spec: StreamSpec) -> DataFrame:
-    """Request files as a stream of ``request_id, data``."""
+    """Request files, or what a data source of one's own delivers, as a stream of ``request_id, data``."""
     options = dict(spec.requestOptions)
     if spec.maxFilesPerTrigger:
         options["maxFilesPerTrigger"] = str(spec.maxFilesPerTrigger)
-    reader = spark.readStream.format(spec.requestFormat).schema(REQUEST_SCHEMA).options(**options)
+    fmt = registered_source(spark, spec.requestFormat) if "." in spec.requestFormat else spec.requestFormat
+    reader = spark.readStream.format(fmt).schema(REQUEST_SCHEMA).options(**options)
     requests = reader.load(spec.requestPath)
     if spec.threadParallel:
         # Round robin over all cores, for few large request files.

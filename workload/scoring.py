@@ -19,6 +19,7 @@ from trainscore.storage import fresh_path
 from . import query
 from .common import LINEAR_FIT, SCORE_EVENTS, OrderRatings, als_job, linear_job, parquet_source, table
 
+SEGMENTS = str(Path(__file__).resolve().parent.parent / "examples" / "segments_plugin.py")
 PLUGIN = str(Path(__file__).resolve().parent.parent / "examples" / "deviation_plugin.py")
 
 # Micro-batches follow from the number of request files, which is chosen by size.
@@ -153,6 +154,32 @@ def score_pipeline_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_batch(spark, job).select("event_id", F.round("prediction", 4).alias("prediction"))
 
 
+@query(
+    f"""WITH {LINEAR_FIT} SELECT event_id AS request_id, round(intercept + slope * x, 4) AS prediction FROM pts, fit"""
+)
+def score_stream_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests from a data source of one's own, a model trained on rows of the same source."""
+    events = table(spark, sf_dir, "events")
+    model = fresh_path(spark, "linear")
+    job = linear_job(sf_dir, modelSavePath=model, algoPluginPath=SEGMENTS)
+    fields = F.to_json(F.struct("props", "value"))
+    job["sourceParameter"] = {"source": write_segments(events, "event_id", fields), "type": "plugin", "inputFormat": "segments_plugin.Segments"}
+    job["dataParameter"] = {
+        "columns": {
+            "event_id": "request_id",
+            "value": "cast(get_json_object(data, '$.value') as double)",
+            "k": "get_json_object(get_json_object(data, '$.props'), '$.k')",
+        },
+        "label": "value", "features": ["k"], "keep": ["event_id"],
+    }
+    run_train(spark, job)
+    requests = write_segments(events, "event_id", F.col("props"))
+    more = {"requestFormat": "segments_plugin.Segments", "algoPluginPath": SEGMENTS}
+    responses = _stream(spark, requests, "ml", model, modelParameter=K_REQUEST, **more)
+    prediction = F.get_json_object("result", "$.prediction").cast("double")
+    return responses.select("request_id", F.round(prediction, 4).alias("prediction"))
+
+
 @query(
     f"""WITH {LINEAR_FIT}
         SELECT event_id AS request_id,
@@ -213,6 +240,12 @@ def _write_requests(rows: DataFrame, request_id: str, data: Column) -> str:
     return path
 
 
+def write_segments(rows: DataFrame, request_id: str, data: Column) -> str:
+    path = fresh_path(rows.sparkSession, "segments")
+    rows.repartition(6, request_id).select(F.concat_ws("\t", F.col(request_id), data)).write.text(path)
+    return path
+
+
 def _stream(spark: SparkSession, requests: str, model_class: str, model_path: str, **more) -> DataFrame:
     """Answer all request files and return the responses."""
     responses = fresh_path(spark, "responses")
