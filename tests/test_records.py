@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trainscore import load_source, run_batch, run_train
-from trainscore.functions import apply_data_spec, divide, rejected_records
+from trainscore.functions import apply_data_spec, divide, parse, rejected_records
 from trainscore.spec import DataSpec
 
 GOOD = [(1, 2.5), (2, None), (None, 3.0)]
@@ -154,3 +154,16 @@ def test_reject_needs_a_path():
     for bad in ({"onInvalid": "reject"}, {"rejectPath": "/x"}):
         with pytest.raises(ValueError, match="rejectPath"):
             DataSpec.parse(bad)
+
+
+def test_divide_sorts_nothing_and_keeps_the_text_of_rejected_records_alone(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "part").write_text("1|2.5\n2|x\n3|4\n")
+    raw = load_source(spark, {"source": str(tmp_path / "in"), "type": "text"})
+    monkeypatch.setattr(parse, "working_path", lambda *_: f"{tmp_path}/parsed")
+    good, rejected = divide(raw, DataSpec.parse({"schema": "a int, b double", "delimiter": "|"}), "TEXT")
+    assert sorted(map(tuple, good.collect())) == [(1, 2.5), (3, 4.0)] and [r.text for r in rejected.collect()] == ["2|x"]
+    # Folders of parted rows would be written in their order, a sort of all that a task reads.
+    assert not [p for p in (tmp_path / "parsed").iterdir() if p.is_dir()]
+    stored = spark.read.parquet(f"{tmp_path}/parsed")
+    assert stored.where("__reason is null and (__text is not null or __path is not null)").count() == 0

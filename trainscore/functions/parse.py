@@ -201,15 +201,18 @@ def _as_rejects(rows: DataFrame) -> DataFrame:
 
 
 def divide(df: DataFrame, data: DataSpec, source_type: str = "PARQUET", *, with_label: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Model input of the good records, and the rejected ones: two parts of one table that is written in a single parse.
+    """Model input of the good records, and the rejected ones: rows of one table that is written in a single parse.
 
-    What reads the good ones again, such as an iterative fit, reads typed columns and does not parse anew.
+    What reads the good ones again, such as an iterative fit, reads typed columns and does not parse anew. Only
+    rejected records keep their path and text. A mark tells them apart and no folders do, as Spark would sort
+    each task's rows to write those.
     """
     spark = df.sparkSession
     rows, fields = traced(df, data, source_type, with_label=with_label)
     path = working_path(spark, "parsed")
-    rows = rows.withColumn(REJECTED, F.col(REASON).isNotNull())
-    rows.write.partitionBy(REJECTED).parquet(path)
+    rejected = F.col(REASON).isNotNull()
+    rows = rows.withColumns({REJECTED: rejected, PATH: F.when(rejected, F.col(PATH)), TEXT: F.when(rejected, F.col(TEXT))})
+    rows.write.parquet(path)
     table = spark.read.schema(rows.schema).parquet(path)
     good = table.where(~F.col(REJECTED)).drop(REJECTED, PATH, TEXT, REASON)
     return _finished(good, fields, data, with_label), _as_rejects(table.where(REJECTED))
