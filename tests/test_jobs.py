@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trainscore import run_batch, run_stream, run_train, start_stream
 from trainscore.__main__ import JOBS, main
-from trainscore.operators.estimators import MLAlgorithm, find_estimator
+from trainscore.operators.estimators import MLAlgorithm, als_blocks, find_estimator
 from trainscore.operators.scorers import MLScorer, PandasScorer, RecommendScorer, load_ml_model
 from trainscore.plugins import (
     Algorithm,
@@ -491,6 +491,12 @@ def als(spark, tmp_path_factory):
     return f"{base}/m"
 
 
+def test_factor_blocks_do_not_grow_before_they_are_full():
+    assert [als_blocks(n) for n in (0, 1, 600_000)] == [1, 1, 5]
+    assert als_blocks(3_600_000) == als_blocks(36_000_000) == als_blocks(216_000_000) == 8
+    assert als_blocks(10**10) == 313
+
+
 def test_recommendations_equal_brute_force(spark, als):
     scorer = RecommendScorer({"numItems": 5})
     scorer.load_model(spark, als)

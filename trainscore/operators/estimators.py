@@ -30,6 +30,12 @@ from .split import ROW_KEY
 ML_MODULES = (classification, regression, clustering, recommendation)
 
 RATINGS_PER_BLOCK_PAIR = 25_000
+# Each half-iteration sends a user's or item's factors once to every block that rates with it: with more blocks
+# than a user has ratings, once for each rating. Up to this number blocks follow the square root of the ratings.
+FACTOR_BLOCKS = 8
+# Beyond, only what a task can hold asks for more: 12 bytes a rating while a block is built, and no more than
+# a list of factors a rating in an iteration.
+RATINGS_PER_BLOCK = 32_000_000
 
 DISTRIBUTED_MODELS = (recommendation.ALSModel, clustering.DistributedLDAModel)
 
@@ -75,9 +81,11 @@ def _typed(estimator: Estimator, name: str, value: Any) -> Any:
 def als_blocks(n_ratings: int) -> int:
     """Factor blocks that follow the data: the same model on every cluster.
 
-    Users and items are cut into so many blocks each, and ratings into pairs of blocks.
+    Users and items are cut into so many blocks each, and ratings into pairs of blocks. The factors that are
+    shuffled grow with the users and items, times the blocks; so their number stays the same until blocks are full.
     """
-    return max(1, math.ceil(math.sqrt(n_ratings / RATINGS_PER_BLOCK_PAIR)))
+    wanted = math.ceil(math.sqrt(n_ratings / RATINGS_PER_BLOCK_PAIR))
+    return max(1, min(wanted, FACTOR_BLOCKS), math.ceil(n_ratings / RATINGS_PER_BLOCK))
 
 
 def settled(spark: SparkSession, model: Model) -> Model:
