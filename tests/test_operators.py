@@ -265,6 +265,25 @@ def test_top_items_against_brute_force(spark, monkeypatch, per_block):
         assert [r for _, r in got[u * 3]] == pytest.approx([row[i] for i in best], rel=1e-5)
 
 
+@pytest.mark.parametrize("many", [False, True])
+def test_items_in_chunks_and_ties_between_them(spark, monkeypatch, many):
+    monkeypatch.setattr(topn, "MIN_USERS_PER_BLOCK", 20)
+    monkeypatch.setattr(topn, "ITEMS_PER_CHUNK", 900 if many else 10**6)
+    monkeypatch.setattr(topn, "ITEMS_PER_STEP", 128)
+    rng = np.random.default_rng(5)
+    users, items = rng.integers(-4, 5, (60, 3)).astype(np.float32), rng.integers(-20, 21, (4000, 3)).astype(np.float32)
+    frame = lambda m: spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "id int, features array<float>")
+    found = topn.top_items(frame(users), frame(items), 7, 60, 64)
+    got = {r.user: [(x.item, x.rating) for x in r.recommendations] for r in found.collect()}
+    scores = users @ items.T
+    assert len(got) == 60
+    for user, row in enumerate(scores):
+        best = np.lexsort((np.arange(4000), -row))[:7]
+        assert got[user] == [(i, row[i]) for i in best.tolist()]
+    # A task rates one block of users with one chunk of items, however many items there are.
+    assert ("collect_list" in found._jdf.queryExecution().toString()) == many
+
+
 def test_top_items_with_fewer_items_than_asked(spark):
     user, item = (spark.createDataFrame([(1, [1.0, 2.0])], "id int, features array<float>") for _ in range(2))
     assert topn.top_items(user, item, 10, 1).select(F.size("recommendations")).collect() == [(1,)]
