@@ -50,6 +50,13 @@ def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
     assert run() == [0, 1, 2, 3, 4]
 
 
+def test_a_later_session_reads_it_too(spark, tmp_path):
+    add_plugin_code(spark, EXAMPLE)
+    path = segments(tmp_path / "s", a="1\tone\n")
+    for session in (spark, spark.newSession(), spark.newSession()):
+        assert load_source(session, {"source": path, "type": "plugin", "inputFormat": FORMAT}).collect() == [(1, "one")]
+
+
 def test_settings_are_checked(spark, tmp_path):
     with pytest.raises(ValueError, match="inputFormat"):
         load_source(spark, SourceSpec.parse({"source": str(tmp_path), "type": "plugin"}))

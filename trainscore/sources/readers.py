@@ -160,7 +160,14 @@ def registered_source(spark: SparkSession, dotted: str) -> str:
     found = import_class(dotted, DataSource)
     # The driver's process that plans a stream does not get files that were added: the class travels whole.
     cloudpickle.register_pickle_by_value(sys.modules[found.__module__])
-    spark.dataSource.register(found)
+    # Spark refuses a name that the thread's active session has, if that is another one. ``createDataFrame`` makes its session active.
+    before = SparkSession.getActiveSession()
+    spark.createDataFrame([], "none int")
+    try:
+        spark.dataSource.register(found)
+    finally:
+        if before is not None:
+            before.createDataFrame([], "none int")
     return found.name()
 
 
