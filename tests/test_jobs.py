@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from trainscore import run_batch, run_stream, run_train, start_stream
 from trainscore.__main__ import JOBS, main
-from trainscore.operators.estimators import MLAlgorithm, als_blocks, find_estimator
+from trainscore.operators import estimators
+from trainscore.operators.estimators import MLAlgorithm, als_blocks, factor_blocks, find_estimator, size_als
 from trainscore.operators.scorers import MLScorer, PandasScorer, RecommendScorer, load_ml_model
 from trainscore.plugins import (
     Algorithm,
@@ -497,6 +498,46 @@ def test_factor_blocks_do_not_grow_before_they_are_full():
     assert als_blocks(10**10) == 313
 
 
+@pytest.mark.parametrize("n, users, items, rank", [(216_000_000, 5_400_000, 7_200_000, 8), (216_000_000, 5_400_000, 7_200_000, 100), (10**9, 10**6, 1000, 50)])
+def test_a_factor_block_fits_a_task(n, users, items, rank):
+    for blocks, others in zip(factor_blocks(n, users, items, rank), (items, users), strict=True):
+        ratings, factors = n / blocks, 20 + 4 * rank
+        assert 36 * ratings <= estimators.TASK_BYTES
+        assert 8 * ratings + factors * min(ratings, others) <= estimators.TASK_BYTES
+
+
+def test_factor_blocks_grow_only_where_a_task_is_full():
+    assert factor_blocks(600_000, 15_000, 20_000, 8) == (5, 5)
+    assert factor_blocks(36_000_000, 900_000, 1_200_000, 8) == (8, 8)
+    # Few items take little room: only the ratings that a block of users is built from count.
+    assert factor_blocks(10**9, 10**6, 1000, 50)[0] == 63
+
+
+def test_a_fit_of_many_ratings_keeps_them_on_disk(spark, monkeypatch):
+    rows = spark.range(600).selectExpr("cast(id % 30 as int) user", "cast(id * 7 % 23 as int) item", "cast(id % 5 as double) rating").coalesce(2)
+    train = lambda: MLAlgorithm(find_estimator("ALS")).train(rows, read_parameter({"rank": 3, "maxIter": 3, "seed": 1}))
+    model = train()
+    monkeypatch.setattr(estimators, "KEPT", estimators.TASK_BYTES)
+    estimator = find_estimator("ALS")()
+    size_als(estimator, rows, {"finalStorageLevel": "MEMORY_ONLY"})
+    assert (estimator.getIntermediateStorageLevel(), estimator.getCheckpointInterval(), estimator.getNumItemBlocks()) == ("DISK_ONLY", 1, 1)
+    assert estimator.getFinalStorageLevel() == "MEMORY_AND_DISK"  # what is given is set by the caller
+    on_disk = train()
+    for factors in ("userFactors", "itemFactors"):
+        assert sorted(getattr(model, factors).collect()) == sorted(getattr(on_disk, factors).collect())
+
+
+def test_persisted_rows_take_no_memory_of_a_fit(spark, line):
+    class Watching(MLAlgorithm):
+        def train(self, rows, params):
+            self.level = rows.storageLevel
+            return super().train(rows, params)
+
+    watching = Watching(find_estimator("LinearRegression"))
+    run_train(spark, train_job(line, persist=True), watching)
+    assert watching.level.useDisk and not watching.level.useMemory
+
+
 def test_recommendations_equal_brute_force(spark, als):
     scorer = RecommendScorer({"numItems": 5})
     scorer.load_model(spark, als)

@@ -33,9 +33,17 @@ RATINGS_PER_BLOCK_PAIR = 25_000
 # Each half-iteration sends a user's or item's factors once to every block that rates with it: with more blocks
 # than a user has ratings, once for each rating. Up to this number blocks follow the square root of the ratings.
 FACTOR_BLOCKS = 8
-# Beyond, only what a task can hold asks for more: 12 bytes a rating while a block is built, and no more than
-# a list of factors a rating in an iteration.
+# Beyond, blocks are full.
 RATINGS_PER_BLOCK = 32_000_000
+# What a task of a fit may hold in objects that Spark does not count, so that it cannot spill them. Blocks that are
+# much smaller would shuffle more.
+TASK_BYTES = 576_000_000
+# Bytes a rating while its block is built: as received, in three arrays that double (to 2**24 at 16 million), and copied.
+BUILDING = 36
+# Bytes a rating in a finished block.
+BUILT = 8
+# Bytes a rating that a fit keeps: in a pair of blocks, in a block of users and in one of items.
+KEPT = 28
 
 DISTRIBUTED_MODELS = (recommendation.ALSModel, clustering.DistributedLDAModel)
 
@@ -88,6 +96,39 @@ def als_blocks(n_ratings: int) -> int:
     return max(1, min(wanted, FACTOR_BLOCKS), math.ceil(n_ratings / RATINGS_PER_BLOCK))
 
 
+def factor_blocks(n_ratings: int, n_users: int, n_items: int, rank: int) -> tuple[int, int]:
+    """Blocks of users and blocks of items: ``als_blocks``, or more where a task could not hold one in ``TASK_BYTES``.
+
+    A task holds the ratings of its block while it builds it. While it solves it, it holds the built block and the factors
+    of all that the block rates, which are no more than its ratings and no more than there are.
+    """
+    factors = 20 + 4 * rank
+
+    def blocks(n_others: int) -> int:
+        solved = max(TASK_BYTES / (BUILT + factors), (TASK_BYTES - n_others * factors) / BUILT)
+        return max(als_blocks(n_ratings), math.ceil(n_ratings / min(TASK_BYTES / BUILDING, solved)))
+
+    return blocks(n_items), blocks(n_users)
+
+
+def size_als(estimator: recommendation.ALS, rows: DataFrame, given: dict[str, Any]) -> None:
+    """Blocks that follow the data, and a fit of many ratings that keeps them on disk; what is ``given`` stays as it is.
+
+    What lies in memory on Spark's account does not yield to what a task builds beside it. A checkpoint in each
+    iteration lets the shuffles of the one before go.
+    """
+    if {"numUserBlocks", "numItemBlocks"} <= given.keys():
+        return
+    users, items = (F.approx_count_distinct(c) for c in (estimator.getUserCol(), estimator.getItemCol()))
+    n_ratings, n_users, n_items = rows.agg(F.count(F.lit(1)), users, items).first()
+    wanted = dict(zip(("numUserBlocks", "numItemBlocks"), factor_blocks(n_ratings, n_users, n_items, estimator.getRank()), strict=True))
+    if n_ratings * KEPT > TASK_BYTES:
+        wanted |= {"intermediateStorageLevel": "DISK_ONLY", "finalStorageLevel": "DISK_ONLY", "checkpointInterval": 1}
+    for name, value in wanted.items():
+        if name not in given:
+            estimator.set(estimator.getParam(name), value)
+
+
 def settled(spark: SparkSession, model: Model) -> Model:
     """The model as written to the shared folder and read back.
 
@@ -174,10 +215,7 @@ class MLAlgorithm(Algorithm):
         if estimator.hasParam("checkpointInterval"):
             ensure_checkpoint_dir(spark)
         if isinstance(estimator, recommendation.ALS):
-            free = [b for b in ("numUserBlocks", "numItemBlocks") if b not in params.values]
-            blocks = als_blocks(rows.count()) if free else 0
-            for block in free:
-                estimator.set(estimator.getParam(block), blocks)
+            size_als(estimator, rows, params.values)
         return estimator.fit(rows)
 
     def verify(self, rows: DataFrame, model: Any) -> DataFrame:

@@ -85,7 +85,8 @@ def _fit_and_verify(
         raw = with_row_key(raw)
     rows = algorithm.parse(raw, data, spec.sourceParameter.type)
     if spec.persist:
-        rows.persist(StorageLevel.MEMORY_AND_DISK)
+        # On disk alone: what a fit holds in a task beside Spark's account would not push cached rows out of memory.
+        rows.persist(StorageLevel.DISK_ONLY)
     split: Split | None = None
     try:
         split = _split(rows, spec)
