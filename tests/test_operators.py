@@ -284,6 +284,18 @@ def test_items_in_chunks_and_ties_between_them(spark, monkeypatch, many):
     assert ("collect_list" in found._jdf.queryExecution().toString()) == many
 
 
+def test_chunks_are_larger_where_blocks_make_enough_tasks(spark, monkeypatch):
+    monkeypatch.setattr(topn, "MIN_USERS_PER_BLOCK", 1)
+    monkeypatch.setattr(topn, "USERS_PER_BLOCK", 2)
+    monkeypatch.setattr(topn, "ITEMS_PER_CHUNK", 100)
+    cores = spark.sparkContext.defaultParallelism
+    frame = lambda n: spark.range(n).selectExpr("cast(id as int) id", "array(cast(id as float), float(1)) features")
+    for n_users, cells in ((8 * cores, 4 * cores * 4), (2, 2 * 16)):
+        found = topn.top_items(frame(n_users), frame(1600), 3, n_users, 16)
+        assert f", {cells}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+        assert [x.item for x in found.where("user = 1").first().recommendations] == [1599, 1598, 1597]
+
+
 def test_top_items_with_fewer_items_than_asked(spark):
     user, item = (spark.createDataFrame([(1, [1.0, 2.0])], "id int, features array<float>") for _ in range(2))
     assert topn.top_items(user, item, 10, 1).select(F.size("recommendations")).collect() == [(1,)]

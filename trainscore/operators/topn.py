@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 USERS_PER_BLOCK = 262_144
 ITEMS_PER_CHUNK = 262_144
+# Users go to each chunk and lists come from each: where blocks make enough tasks, so many chunks are one.
+CHUNKS_TOGETHER = 4
+TASKS_PER_CORE = 4
 # A user may be done with the items after any pack: small ones spare more pairs.
 ITEMS_PER_PACK = 2_048
 # Fewer users than this are not worth a task of their own.
@@ -163,7 +166,8 @@ def top_items(
     if n_items is None:
         n_items = items.agg(F.sum(F.length("ids") / 8)).first()[0] or 0 if "factors" in items.columns else items.count()
     blocks = max(1, math.ceil(n_users / USERS_PER_BLOCK), min(cores, math.ceil(n_users / MIN_USERS_PER_BLOCK)))
-    chunks = max(1, math.ceil(n_items / ITEMS_PER_CHUNK))
+    chunks = min(math.ceil(n_items / ITEMS_PER_CHUNK), math.ceil(TASKS_PER_CORE * cores / blocks))
+    chunks = max(1, chunks, math.ceil(n_items / (ITEMS_PER_CHUNK * CHUNKS_TOGETHER)))
     packed = items if "factors" in items.columns else packs(items, items_per_pack)
 
     def every(number: int) -> Column:
